@@ -17,14 +17,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.text import CASED, LINE_SPACE, HashMemo, column_words
 from quernstone.runtime import small_batches
 
 MARK = "▁"
-CACHE = 500_000  # entries of a generation; the one before stays readable
+CACHE = 100_000  # entries of a generation; the one before stays readable
+CACHE_KEYS = 2_000_000  # stretches as they stand, by hash
 CACHED_CHARS = 64  # longer stretches are merged each time
 
 
@@ -46,6 +50,7 @@ class Merger:
             raise ValueError("line feeds have no piece of their own")
         self.cache: list[dict[str, int]] = [{}, {}]  # of stretches without and with a mark before them
         self.older: list[dict[str, int]] = [{}, {}]
+        self.memo = HashMemo(CACHE_KEYS)
         joined = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.closing = "".join(c for c in ".,;:!?|*#$%&" if not any(x[1] == c and (x[0].isalnum() or x[0] == MARK) for x in joined))
 
@@ -120,6 +125,45 @@ class Merger:
         return total
 
 
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """The tokens of each text of a column.
+
+        Texts whose words stand between single spaces and line feeds are counted by array operations: each distinct
+        stretch of a piece of the column is looked up once, by its hash. The others take ``count``.
+        """
+        w = column_words(texts, LINE_SPACE, CASED)
+        raw, offsets = w.raw, w.offsets
+        tokens = np.zeros(len(w.starts), dtype=np.int64)
+        if len(w.starts):
+            begins = np.zeros(len(raw) + 1, dtype=bool)
+            begins[offsets] = True
+            marked = begins[w.starts] | (raw[w.starts - 1] == 32)
+            keys = w.hashes ^ (marked.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            counts, found = self.memo.find(distinct)
+            new = np.flatnonzero(~found)
+            if len(new):
+                data = raw.tobytes()
+                places = zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist(), marked[at[new]].tolist())
+                counts[new] = [self._stretch(data[a:b].decode("utf-8", "replace"), m) for a, b, m in places]
+                self.memo.add(distinct[new], counts[new])
+            tokens = counts[inverse]
+        out = w.per_text(tokens) + np.diff(np.searchsorted(np.flatnonzero(raw == 10), offsets)) * self.line
+        # runs of spaces, spaces or line feeds at a border, and space marks in the text itself
+        blank = raw == 32
+        after, before = np.append(LINE_SPACE[raw[1:]], True), np.zeros(len(raw), dtype=bool)
+        after[offsets[(offsets > 0) & (offsets < len(raw))] - 1] = True
+        first = offsets[:-1][np.diff(offsets) > 0]
+        before[first] = True
+        odd = np.concatenate([np.flatnonzero(blank & (after[: len(raw)] | before)), first[raw[first] == 10]])
+        mark = np.flatnonzero(raw == 0x96)
+        mark = mark[(mark > 0) & (mark < len(raw) - 1)]
+        mark = mark[(raw[mark - 1] == 0xE2) & (raw[mark + 1] == 0x81)]
+        for i in np.unique(np.searchsorted(offsets, np.concatenate([odd, mark]), side="right") - 1).tolist():
+            out[i] = self.count(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+        return out
+
+
 _MERGERS: dict[str, Merger] = {}
 
 
@@ -136,9 +180,9 @@ def count_tokens(docs: DataFrame, model_file: str, *, text_col: str = "text", li
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = merger(model_file).count
+        count = merger(model_file).count_column
         for texts in batches:
-            yield pd.Series([count(t) for t in texts], dtype="int64")
+            yield pd.Series(count(pa.array(texts, pa.large_string())), dtype="int64")
 
     n = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     return docs.withColumn("n_bytes", n).withColumn("n_tokens", counted(text_col)).withColumn("over_limit", F.col("n_tokens") > limit)
