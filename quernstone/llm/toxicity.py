@@ -22,18 +22,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.text import HashMemo, column_words
 from quernstone.runtime import small_batches
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5, 6)
 WINDOW = 64
-CACHE = 400_000
+CACHE = 2_000_000  # words whose margins a worker keeps
 
 
 def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+    """Lower-case pieces between ASCII white space, as column_words parts them."""
+    return [w.decode() for w in text.lower().encode("utf-8", "replace").split()] if text else []
 
 
 def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,43 +81,50 @@ class Model:
     top: np.ndarray  # DIM x 2
     bias: np.ndarray  # 2
     prior: float | None = None  # the score of everything, where there was nothing to learn
-    _cache: dict[str, float] = field(default_factory=dict, repr=False)
+    _memo: HashMemo = field(default_factory=lambda: HashMemo(CACHE), repr=False)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_cache"}
+        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self._cache = {}
+        self._memo = HashMemo(CACHE)
 
     def margins(self, words: list[str]) -> np.ndarray:
         """What each word adds to the mean logit difference of its window."""
         if not hasattr(self, "_row"):
             self._row = self.table @ (self.top[:, 1] - self.top[:, 0])
-        cache = self._cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                ids, starts = ngram_ids(some)
-                sums = np.add.reduceat(self._row[ids], starts) / np.diff(np.append(starts, len(ids)))
-                cache.update(zip(some, sums.tolist()))
-        return np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
+        out = []
+        for i in range(0, len(words), 5000):
+            ids, starts = ngram_ids(words[i : i + 5000])
+            out.append(np.add.reduceat(self._row[ids], starts) / np.diff(np.append(starts, len(ids))))
+        return np.concatenate(out)
+
+    def score_column(self, texts: pa.Array) -> np.ndarray:
+        """The score of each text of a column; distinct words are looked up once."""
+        if self.prior is not None:
+            return np.full(len(texts), self.prior)
+        w = column_words(pa.compute.utf8_lower(texts))
+        values = np.zeros(len(w.hashes))
+        if len(w.hashes):
+            keys, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+            known, found = self._memo.find(keys)
+            new = np.flatnonzero(~found)
+            if len(new):
+                data = w.raw.tobytes()
+                made = self.margins([data[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist())])
+                known[new] = made.view(np.int64)
+                self._memo.add(keys[new], known[new])
+            values = known.view(np.float64)[inverse]
+        best, at = np.zeros(len(w.sizes)), 0
+        for i, n in enumerate(w.sizes.tolist()):
+            if n:
+                best[i] = window_means(values[at : at + n] * fresh(w.hashes[at : at + n])).max()
+            at += n
+        return 1.0 / (1.0 + np.exp(-np.clip(best + self.bias[1] - self.bias[0], -60, 60)))
 
     def score(self, text: str | None) -> float:
-        if self.prior is not None:
-            return self.prior
-        words = words_of(text)
-        bias = self.bias[1] - self.bias[0]
-        best = 0.0
-        if words:
-            places: dict[str, int] = {}
-            codes = np.fromiter((places.setdefault(w, len(places)) for w in words), dtype=np.int64, count=len(words))
-            best = max(window_means(self.margins(words) * fresh(codes)))
-        return float(1.0 / (1.0 + np.exp(-np.clip(best + bias, -60, 60))))
+        return float(self.score_column(pa.array([text], pa.string()))[0])
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -137,8 +148,8 @@ def window_means(values: np.ndarray) -> np.ndarray:
     return (total[starts + size] - total[starts]) / size
 
 
-def train(texts: list[str | None], labels: list[int], *, epochs: int = 4, batch: int = 32, rate: float = 0.5, seed: int = 7) -> Model:
-    """Joint gradient steps (AdaGrad) on the table and the softmax; the rarer class is repeated, up to fourfold."""
+def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch: int = 32, rate: float = 0.5, seed: int = 7) -> Model:
+    """Joint gradient steps (AdaGrad) on the table and the softmax."""
     y = np.array(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
     rng = np.random.default_rng(seed)
@@ -152,8 +163,6 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 4, batch:
     counts = np.diff(np.append(starts, len(ids)))
     news = [fresh(d) for d in docs]
     squares = [np.full(model.table.shape[0], 1e-3), np.full(model.top.shape, 1e-3), np.full(2, 1e-3)]
-    rarer = share < 0.5
-    repeats = np.where(y == rarer, int(np.clip(round(max(share, 1 - share) / min(share, 1 - share)), 1, 4)), 1)
     for _ in range(epochs):
         margin = np.add.reduceat((model.table @ (model.top[:, 1] - model.top[:, 0]))[ids], starts) / counts
         bags, widths = [], []
@@ -162,7 +171,7 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 4, batch:
             one = d[at : at + WINDOW]
             bags.append(one[new[at : at + WINDOW]] if new[at : at + WINDOW].any() else one[:1])
             widths.append(len(one))
-        order = rng.permutation(np.repeat(np.arange(len(docs)), repeats))
+        order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
             words = np.concatenate([bags[i] for i in some])
@@ -218,7 +227,7 @@ def score_documents(docs: DataFrame, model: Model, *, threshold: float = 0.3) ->
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+            yield pd.Series(shared.value.score_column(pa.array(texts, pa.string())))
 
     return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
