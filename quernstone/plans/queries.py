@@ -157,9 +157,9 @@ def validate_file_id(spark, sf_dir):
 
 @query("""SELECT doc_id, CASE WHEN s < 1024 THEN printf('%.2f B', s) WHEN s < 1048576 THEN printf('%.2f KB', s / 1024) WHEN s < 1073741824 THEN printf('%.2f MB', s / 1048576)
   WHEN s < 1099511627776 THEN printf('%.2f GB', s / 1073741824) WHEN s < 1125899906842624 THEN printf('%.2f TB', s / 1099511627776) ELSE printf('%.2f PB', s / 1125899906842624) END AS size
-  FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) * power(64, doc_id % 9) AS s FROM documents)""")
+  FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) * 1.0000001::DOUBLE * power(64, doc_id % 9) AS s FROM documents)""")
 def human_size(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.human_size(F.col("n_chars").cast("double") * F.pow(F.lit(64.0), (F.col("doc_id") % 9).cast("double"))).alias("size"))
+    return documents(spark, sf_dir).select("doc_id", T.human_size(F.col("n_chars").cast("double") * 1.0000001 * F.pow(F.lit(64.0), (F.col("doc_id") % 9).cast("double"))).alias("size"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props ->> '$.k' END AS k, event_id % 3 <> 0 AS parsed FROM events""")
