@@ -30,17 +30,20 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm.text import HashMemo, column_words
 from quernstone.runtime import new_folder, small_batches, staged
 
 MAGIC, BLOCK, PERCENTILE = b"QPF1", 2048, 95
-CACHE = 400_000  # entries of a generation; the one before stays readable
+CACHE = 1_000_000  # distinct chunks that a worker keeps
+LOWER = {i: i + 32 for i in range(65, 91)}
+LOWER_BYTES = bytes(LOWER.get(i, i) for i in range(256))
 CLOSING = b".,;:!?|*#$%&()[]{}"
 
 
@@ -143,8 +146,10 @@ class Encoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks between ASCII
     white space, one after the other; closing ASCII punctuation is a token run of its own. The library encodes each
-    distinct chunk (many at once, with a special token between them) and a bounded cache holds the results. This way is
-    taken only for tokenizers whose pre-tokenizer removes white space (``by_chunk``); others get whole texts.
+    distinct chunk, many at once with a special token between them. Results lie in one array of ids; 64-bit hashes of
+    chunks find their place there, so a batch is put together with array operations. The store is bounded: when it is
+    full, it starts anew. This way is taken only for tokenizers whose pre-tokenizer removes white space (``by_chunk``), and
+    for texts without special strings that lowering A-Z leaves normalised; other texts go to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -155,71 +160,81 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])
         added = spec.get("added_tokens", [])
-        self.by_chunk = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
+        lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.by_chunk = lower and any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
         self.by_chunk &= bool(added) and all(t["special"] and t["content"].isascii() and not set(t["content"]) & set(" ") and not t["single_word"] for t in added)
-        self.lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.specials = [t["content"].encode() for t in added]
+        self.specials = [t["content"] for t in added]
         self.between, self.between_id = (added[0]["content"], added[0]["id"]) if added else ("", -1)
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks without special strings into the cache."""
-        if len(self.cache) + len(chunks) > CACHE:
-            self.older, self.cache = self.cache, {}
-        groups = [chunks[i : i + 64] for i in range(0, len(chunks), 64)]  # short texts: the library's work grows faster than their length
-        joined = [f"\n{self.between}\n".join([c.decode() for c in g]) for g in groups]
-        for some, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(got.ids, dtype="<u4")
+        self._reset()
+
+    def _reset(self) -> None:
+        self.memo = HashMemo(CACHE)  # chunk hash -> number
+        self.cores: dict[bytes, bytes] = {}  # chunk without closing punctuation -> ids
+        self.starts, self.sizes = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64)
+        self.store, self.used = np.zeros(CACHE * 4, np.uint32), 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Encode chunks without special strings into ``cores``."""
+        groups = [parts[i : i + 64] for i in range(0, len(parts), 64)]  # short texts: the library's work grows faster than their length
+        for some, ids in zip(groups, self._library([f"\n{self.between}\n".join([c.decode() for c in g]) for g in groups])):
             cuts = (np.flatnonzero(ids == self.between_id) * 4).tolist()
             raw = ids.tobytes()
-            self.cache.update((c, raw[a:b]) for c, a, b in zip(some, [0, *[x + 4 for x in cuts]], [*cuts, len(raw)], strict=True))
-
-    def _plain(self, text: str) -> bytes | None:
-        """The text in bytes, A-Z lowered if that changes nothing; None if it must go to the library whole."""
-        raw = text.encode("utf-8", "replace")
-        if any(s in raw for s in self.specials):
-            return None
-        if self.lower and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", (low := raw.lower()).decode()):
-            return low
-        return raw
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        texts = [t or "" for t in texts]
-        plain = [self._plain(t) for t in texts] if self.by_chunk else [None] * len(texts)
-        whole = [i for i, p in enumerate(plain) if p is None]
-        out = dict(zip(whole, self._library([texts[i] for i in whole]))) if whole else {}
-        chunks = {i: p.split() for i, p in enumerate(plain) if p is not None}
-        cut: dict[bytes, tuple[bytes, bytes]] = {}
-        want: dict[bytes, None] = {}
-        for c in set(chain.from_iterable(chunks.values())).difference(self.cache):
+            self.cores.update((c, raw[a:b]) for c, a, b in zip(some, [0, *[x + 4 for x in cuts]], [*cuts, len(raw)], strict=True))
+
+    def _add(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        """Number new chunks and store their ids."""
+        cut = []
+        for c in chunks:
             core = c.rstrip(CLOSING)
-            if core and core != c and chr(core[-1]).isascii() and chr(core[-1]).isalnum():
-                cut[c] = core, c[len(core) :]
-                want[core] = want[c[len(core) :]] = None
-            else:
-                want[c] = None
-        new = []
-        for c in want:
-            if c not in self.cache:
-                if c in self.older:
-                    self.cache[c] = self.older[c]
-                else:
-                    new.append(c)
-        kept = self.cache
-        self._learn(new)
-        cache = self.cache if self.cache is kept else {**{c: kept[c] for c in set(chain.from_iterable(chunks.values())).union(want).intersection(kept)}, **self.cache}
-        local = {c: cache[a] + cache[b] for c, (a, b) in cut.items()}
-        for i, some in chunks.items():
-            got = [cache.get(c) for c in some]
-            if None in got:
-                got = [local[c] if g is None else g for c, g in zip(some, got)]
-            out[i] = b"".join(got)
-        return [out[i] for i in range(len(texts))]
+            cut.append((core, c[len(core) :]) if core and 48 <= core[-1] < 128 and chr(core[-1]).isalnum() else (c, b""))
+        want = dict.fromkeys(x for pair in cut for x in pair if x and x not in self.cores)
+        self._learn(list(want))
+        got = [self.cores[a] + (self.cores[b] if b else b"") for a, b in cut]
+        sizes = np.array([len(g) // 4 for g in got], dtype=np.int64)
+        first, n = len(self.memo), int(sizes.sum())
+        while self.used + n > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.used : self.used + n] = np.frombuffer(b"".join(got), "<u4")
+        self.starts[first : first + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(keys)] = sizes
+        self.used += n
+        self.memo.add(keys, np.arange(first, first + len(keys)))
+        if len(self.cores) > CACHE // 8:
+            self.cores.clear()
+
+    def _plain(self, text: str) -> bool:
+        if any(s in text for s in self.specials):
+            return False
+        return text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.translate(LOWER)))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        listed = [t or "" for t in texts.to_pylist()]
+        plain = [self.by_chunk and self._plain(t) for t in listed]
+        whole = iter(self._library([t for t, p in zip(listed, plain) if not p]))
+        w = column_words(texts if all(plain) else pa.array([t for t, p in zip(listed, plain) if p], pa.large_string()))
+        if not len(w.starts):
+            made = iter([np.empty(0, np.uint32)] * len(w.sizes))
+            return [next(made) if p else next(whole) for p in plain]
+        keys, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+        if len(self.memo) + len(keys) > CACHE:
+            self._reset()
+        number, found = self.memo.find(keys)
+        new = np.flatnonzero(~found)
+        if len(new):
+            data = w.raw.tobytes().translate(LOWER_BYTES)
+            base = len(self.memo)
+            self._add(keys[new], [data[a:b] for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist())])
+            number[new] = np.arange(base, base + len(new))
+        number = number[inverse]
+        sizes = self.sizes[number]
+        total = np.cumsum(sizes)
+        ids = self.store[np.repeat(self.starts[number] - (total - sizes), sizes) + np.arange(total[-1])]
+        made = iter(np.split(ids, np.cumsum(w.per_text(sizes))[:-1]))
+        return [next(made) if p else next(whole) for p in plain]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -254,26 +269,26 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, *, end_
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file).encode
         part, seq, ids, lengths, held, total = None, 0, [], [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:06d}.qpf"
-            put(folder, name, encode_file(ids, lengths, np.frombuffer(b"".join(held), "<u4")))
-            return pd.DataFrame({"file": [name], "part": [part], "seq": [seq], "docs": [len(ids)], "ids": [total]})
-
-        for pdf in batches:
-            for p, d, t in zip(pdf["part"], pdf["doc_id"].astype("object").where(pdf["doc_id"].notna(), None), encode(pdf["text"].tolist())):
-                part = int(p)
-                ids.append(None if d is None else int(d))
-                held.append(t + end)
-                lengths.append((len(t) + len(end)) // 4)
+            put(folder, name, encode_file(ids, lengths, np.concatenate(held).astype(np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64())], ["file", "part", "seq", "docs", "ids"])
+
+        for batch in batches:
+            for p, d, t in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+                part = p
+                ids.append(d)
+                held += [t, end]
+                lengths.append(len(t) + len(end))
                 total += lengths[-1]
                 if total >= ids_per_file:
                     yield flush()
@@ -281,7 +296,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, *, end_
         if ids:
             yield flush()
 
-    made = staged(ordered.mapInPandas(write, "file string, part int, seq int, docs long, ids long"), "tokens")
+    made = staged(ordered.mapInArrow(write, "file string, part int, seq int, docs long, ids long"), "tokens")
     # one row per file of millions of ids, so one running sum is small
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
