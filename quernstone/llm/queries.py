@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontamination, embedding_dedup, language_model, minhash_dedup, mixing, sharding, token_counts, token_files, toxicity, url_rules
+from quernstone.llm.oracles import ORACLES
 from quernstone.runtime import new_folder, table
 
 #: The rules of the URL query: host, path, action.
@@ -84,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
