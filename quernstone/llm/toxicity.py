@@ -7,7 +7,7 @@ toxic window, in training (the gradient goes through that window) and in scoring
 
 Windows cover the whole text: ``WINDOW`` words each, the last one stretched back to full length.
 
-Training takes a bounded sample of labelled rows (``max_rows`` per class and ``max_chars`` in all, in hash order);
+Training takes a bounded sample of labelled rows (``max_rows`` toxic, twice as many others, ``max_chars`` in all, in hash order);
 scoring covers every document. As the model is linear in the word vectors, a word adds a fixed amount to its window,
 kept in a bounded cache per worker.
 
@@ -75,6 +75,17 @@ def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (ids % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(([0], np.cumsum(counts)[:-1]))
 
 
+def _all_ngrams(words: list[str], size: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table rows, starts, counts) of many words, made in small parts."""
+    parts, counts = [], []
+    for i in range(0, len(words), size):
+        ids, starts = ngram_ids(words[i : i + size])
+        parts.append(ids.astype(np.int32))
+        counts.append(np.diff(np.append(starts, len(ids))))
+    per_word = np.concatenate(counts)
+    return np.concatenate(parts), np.cumsum(per_word) - per_word, per_word
+
+
 @dataclass
 class Model:
     table: np.ndarray  # BUCKETS x DIM
@@ -158,9 +169,9 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch:
         model.prior = share
         return model
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)] or [vocabulary.setdefault("", len(vocabulary))], dtype=np.int64) for t in texts]
-    ids, starts = ngram_ids(list(vocabulary))
-    counts = np.diff(np.append(starts, len(ids)))
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)] or [vocabulary.setdefault("", len(vocabulary))], dtype=np.int32) for t in texts]
+    ids, starts, counts = _all_ngrams(list(vocabulary))
+    del vocabulary
     news = [fresh(d) for d in docs]
     squares = [np.full(model.table.shape[0], 1e-3), np.full(model.top.shape, 1e-3), np.full(2, 1e-3)]
     for _ in range(epochs):
@@ -199,19 +210,18 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 6000, max_chars: int = 24_000_000) -> pd.DataFrame:
-    """At most ``max_rows`` labelled documents of each class and ``max_chars`` characters, first in hash order."""
+def training_sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 3000, max_chars: int = 10_000_000) -> pd.DataFrame:
+    """At most ``max_rows`` labelled toxic documents and twice as many others, ``max_chars`` characters in all, first in hash order."""
     marked = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))  # a document marked twice counts as its higher mark
     pool = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_id")).select("_y", F.xxhash64("doc_id").alias("_h"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
     # each class by its own top-k, so that no sort or window holds all rows; huge single texts stay out of the sample
-    half = max_chars // 2
     out = []
-    for y in (1, 0):
+    for y, rows, chars in ((1, max_rows, max_chars * 3 // 10), (0, 2 * max_rows, max_chars * 7 // 10)):
         got, total = [], 0
-        for r in pool.filter((F.col("_y") == y) & (F.col("_n") <= 200_000)).orderBy("_h", "text").limit(max_rows).toLocalIterator():
+        for r in pool.filter((F.col("_y") == y) & (F.col("_n") <= 200_000)).orderBy("_h", "text").limit(rows).toLocalIterator():
             total += r._n
-            if total > half:
+            if total > chars:
                 break
             got.append(r.text)
         out.append(pd.DataFrame({"text": got, "y": y}))
@@ -236,4 +246,10 @@ def learn(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model for ``docs`` and ``labels``; callers leave held-out rows out of ``labels``."""
     fit = {k: options.pop(k) for k in ("epochs", "batch", "rate", "seed") if k in options}
     sample = training_sample(docs, labels, **options)
-    return train(sample["text"].tolist(), sample["y"].astype(int).tolist(), **fit)
+    marks = sample["y"].astype(int).tolist()
+    model = train(sample["text"].tolist(), marks, **fit)
+    if model.prior is None:  # the sample has another share of toxic documents than the labels: the bias makes up for it
+        name = options.get("label", "toxic")
+        seen = {r[0]: r[1] for r in labels.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("int")).count().collect()}
+        model.bias[1] += np.log(max(seen.get(1, 0), 1) / max(seen.get(0, 0), 1)) - np.log(sum(marks) / (len(marks) - sum(marks)))
+    return model
