@@ -210,14 +210,14 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 3000, max_chars: int = 10_000_000) -> pd.DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 3000, max_chars: int = 14_000_000) -> pd.DataFrame:
     """At most ``max_rows`` labelled toxic documents and twice as many others, ``max_chars`` characters in all, first in hash order."""
     marked = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))  # a document marked twice counts as its higher mark
     pool = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_id")).select("_y", F.xxhash64("doc_id").alias("_h"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
     # each class by its own top-k, so that no sort or window holds all rows; huge single texts stay out of the sample
     out = []
-    for y, rows, chars in ((1, max_rows, max_chars * 3 // 10), (0, 2 * max_rows, max_chars * 7 // 10)):
+    for y, rows, chars in ((1, max_rows, max_chars * 3 // 7), (0, 2 * max_rows, max_chars * 4 // 7)):
         got, total = [], 0
         for r in pool.filter((F.col("_y") == y) & (F.col("_n") <= 200_000)).orderBy("_h", "text").limit(rows).toLocalIterator():
             total += r._n
@@ -246,10 +246,4 @@ def learn(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model for ``docs`` and ``labels``; callers leave held-out rows out of ``labels``."""
     fit = {k: options.pop(k) for k in ("epochs", "batch", "rate", "seed") if k in options}
     sample = training_sample(docs, labels, **options)
-    marks = sample["y"].astype(int).tolist()
-    model = train(sample["text"].tolist(), marks, **fit)
-    if model.prior is None:  # the sample has another share of toxic documents than the labels: the bias makes up for it
-        name = options.get("label", "toxic")
-        seen = {r[0]: r[1] for r in labels.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("int")).count().collect()}
-        model.bias[1] += np.log(max(seen.get(1, 0), 1) / max(seen.get(0, 0), 1)) - np.log(sum(marks) / (len(marks) - sum(marks)))
-    return model
+    return train(sample["text"].tolist(), sample["y"].astype(int).tolist(), **fit)
