@@ -314,9 +314,9 @@ def hyde_combine(spark, sf_dir):
     return retrieval.expand("hyde", questions(spark, sf_dir), write=lambda t: F.concat(F.lit("answer: "), t), combine=True)
 
 
-@query("SELECT item_id AS query_id, CAST(i - 1 AS INTEGER) AS query_idx, string_split(text || '[SEP] ' || upper(substring(text, 1, 20)), '[SEP]')[i] AS text FROM benchmark, (SELECT unnest([1, 2]) AS i)")
+@query("SELECT item_id AS query_id, CAST(i - 1 AS INTEGER) AS query_idx, string_split(text || '[SEP] ' || substring(text, 1, 20), '[SEP]')[i] AS text FROM benchmark, (SELECT unnest([1, 2]) AS i)")
 def multi_query_expand(spark, sf_dir):
-    return retrieval.expand("multiQuery", questions(spark, sf_dir), write=lambda t: F.concat(t, F.lit("[SEP] "), F.upper(F.substring(t, 1, 20))))
+    return retrieval.expand("multiQuery", questions(spark, sf_dir), write=lambda t: F.concat(t, F.lit("[SEP] "), F.substring(t, 1, 20)))
 
 
 @query()

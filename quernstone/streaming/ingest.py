@@ -32,10 +32,19 @@ def ingest_stream(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], sink
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_of(spark: SparkSession, source: str, schema, **options) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of one file (streams watch folders)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    reader = spark.readStream.schema(schema).options(**options)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(source)
+    return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+
+
 def ingest_once(spark: SparkSession, source: str, schema, chunk: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run the stream over what ``source`` holds now; the sink's rows."""
     sink, checkpoint = new_folder(spark, "ingest"), new_folder(spark, "ingest-state")
-    stream = prepare(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source))
+    stream = prepare(stream_of(spark, source, schema, maxFilesPerTrigger=4))
     ingest_stream(stream, chunk, sink, checkpoint).awaitTermination()
     return spark.read.parquet(f"{sink}/batch=*")
 
@@ -49,7 +58,7 @@ def live_counts(events: DataFrame, *, width: str = "1 day", late: str = "1 hour"
 def counts_once(spark: SparkSession, source: str, schema, prepare: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
     """The windowed counts of what ``source`` holds now, by a streaming query: each batch's changed windows, newest last."""
     sink, checkpoint = new_folder(spark, "counts"), new_folder(spark, "counts-state")
-    counted = live_counts(prepare(spark.readStream.schema(schema).parquet(source)), **options)
+    counted = live_counts(prepare(stream_of(spark, source, schema)), **options)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/b{number}")
