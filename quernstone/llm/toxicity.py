@@ -214,12 +214,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
     """At most ``max_rows`` labelled toxic documents and twice as many others, ``max_chars`` characters in all, first in hash order."""
     marked = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))  # a document marked twice counts as its higher mark
-    pool = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_id")).select("_y", F.xxhash64("doc_id").alias("_h"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
-    # each class by its own top-k, so that no sort or window holds all rows; huge single texts stay out of the sample
     out = []
     for y, rows, chars in ((1, max_rows, max_chars * 3 // 7), (0, 2 * max_rows, max_chars * 4 // 7)):
+        # twice as many labels as wanted, as some have no document or a huge one; a bounded table, so texts aren't shuffled
+        drawn = marked.filter(F.col("_y") == y).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(2 * rows)
+        pool = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_h", "text", F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
         got, total = [], 0
-        for r in pool.filter((F.col("_y") == y) & (F.col("_n") <= 200_000)).orderBy("_h", "text").limit(rows).toLocalIterator():
+        for r in pool.filter("_n <= 200000").orderBy("_h", "text").limit(rows).toLocalIterator():
             total += r._n
             if total > chars:
                 break
