@@ -155,9 +155,7 @@ def link_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
     known = staged(known.withColumn("root", F.coalesce("root", "node")), "vector-roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_key = known.join(least, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    # a key that many rows share is joined once per salt, so its rows spread
-    salts = 16
-    salted = by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = rows.select("id", "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["key", "salt"], "left")
+    # a key that many rows share is a skewed join, which Spark splits at run time
+    out = rows.select("id", "key").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
