@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.text import HashMemo, column_words
+from quernstone.llm.text import HashMemo, column_bytes, column_words
 from quernstone.runtime import new_folder, small_batches, staged
 
 MAGIC, BLOCK, PERCENTILE = b"QPF1", 2048, 95
@@ -205,15 +205,18 @@ class Encoder:
         if len(self.cores) > CACHE // 8:
             self.cores.clear()
 
-    def _plain(self, text: str) -> bool:
+    def _plain(self, text: str, high: bool) -> bool:
+        """Whether a text's chunks can be encoded on their own; ``high``: it has characters from U+0300 on, below which nothing combines."""
         if any(s in text for s in self.specials):
             return False
-        return text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.translate(LOWER)))
+        return not high or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.translate(LOWER)))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         listed = [t or "" for t in texts.to_pylist()]
-        plain = [self.by_chunk and self._plain(t) for t in listed]
+        raw, offsets = column_bytes(texts)
+        high = np.diff(np.searchsorted(np.flatnonzero(raw >= 0xCC), offsets)) > 0
+        plain = [self.by_chunk and self._plain(t, h) for t, h in zip(listed, high.tolist())]
         whole = iter(self._library([t for t, p in zip(listed, plain) if not p]))
         w = column_words(texts if all(plain) else pa.array([t for t, p in zip(listed, plain) if p], pa.large_string()))
         if not len(w.starts):
