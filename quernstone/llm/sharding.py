@@ -37,11 +37,14 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return max((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), default=0)
 
+    def _no_entries(self) -> DataFrame:
+        return self.spark.range(0).selectExpr("cast(null as string) as shard", "id as bytes", "id as rows", "cast(id as int) as generation")
+
     def manifest(self, version: int | None = None) -> DataFrame:
         """The live shards of a version: shard, bytes, rows, generation."""
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], ENTRY)
+            return self._no_entries()
         return self.spark.read.schema(ENTRY).parquet(f"{self.root}/versions/v{version:012d}")
 
     def _commit(self, entries: DataFrame, after: int) -> int:
@@ -75,7 +78,7 @@ class ShardStore:
     def _written(self, run: str, generation: int) -> DataFrame:
         """Manifest rows for the files of one run, from their footers."""
         if not any(s.getPath().getName().endswith(".parquet") for s in self._fs.listStatus(self._path(run))):
-            return self.spark.createDataFrame([], ENTRY)
+            return self._no_entries()
         meta = self.spark.read.parquet(f"{self.root}/{run}").select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"))
         return meta.groupBy("name", "bytes").agg(F.count(F.lit(1)).alias("rows")).select(F.concat(F.lit(run + "/"), "name").alias("shard"), "bytes", "rows", F.lit(generation).alias("generation"))
 

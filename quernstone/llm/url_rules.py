@@ -14,6 +14,7 @@ an empty rule set gives the default verdict; repeated pages are judged each; ext
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -69,7 +70,8 @@ def url_path(url: Column) -> Column:
 def index_rules(urls: DataFrame, rules: Sequence[Rule], tokens: Column) -> DataFrame:
     """(token, name, action, regex, rank): each rule under its rarest sure token as counted over ``urls``."""
     spark = urls.sparkSession
-    listed = spark.createDataFrame([(r.name, r.action, r.regex, r.rank, list(dict.fromkeys(r.tokens))) for r in rules], "name string, action string, regex string, rank int, tokens array<string>")
+    text = json.dumps([{"name": r.name, "action": r.action, "regex": r.regex, "rank": r.rank, "tokens": list(dict.fromkeys(r.tokens))} for r in rules])
+    listed = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<name:string,action:string,regex:string,rank:int,tokens:array<string>>>")).alias("r")).select("r.*")
     sure = listed.filter(F.size("tokens") > 0).select("name", "action", "regex", "rank", F.explode("tokens").alias("token"))
     wanted = broadcast_if_small(sure.select("token").distinct(), BROADCAST_RULES)
     counts = urls.select(F.explode(tokens).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
