@@ -184,6 +184,21 @@ def test_language_model_is_a_distribution(spark):
     assert language_model.score_corpus(docs.limit(0), train_where=F.lit(True)).count() == 0
 
 
+def test_language_model_knows_the_two_words_before():
+    # the third word's class follows from the two words before it together (equal or not), from neither of them alone
+    rng = random.Random(6)
+    texts = [f"{a} {b} {'ccos' if a == b else 'dduq'}" for a, b in ((rng.choice(["pxxen", "qxxen"]), rng.choice(["pxxen", "qxxen"])) for _ in range(400))]
+    hashes, codes, first, _ = language_model.column_tokens(pa.array(texts))
+    target = np.where(codes == codes[0], 0, np.where(codes == 0, 1, 2))
+    target[hashes == language_model.column_tokens(pa.array(["ccos"]))[0][0]] = 3
+    table, rows = language_model.empty_table(), language_model.features(hashes, np.minimum(target, 2), first)
+    squares, seen = np.full(len(table), 1e-2, dtype=np.float32), np.zeros(len(table), dtype=np.float32)
+    for at in range(40):
+        language_model.update(table, squares, seen, rows, target, 0.15, np.random.default_rng(at))
+    third = language_model.log_probabilities(table, rows, target)[first + 2]
+    assert np.exp(third).min() > 0.8
+
+
 def brute_overlap(text, items, window=10):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: (t or "").translate({i: i + 32 for i in range(65, 91)})
