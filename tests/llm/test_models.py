@@ -199,6 +199,27 @@ def test_language_model_knows_the_two_words_before():
     assert np.exp(third).min() > 0.8
 
 
+@pytest.mark.parametrize("head", [1 << 19, 2])
+def test_language_model_knows_collocations_within_a_class(spark, monkeypatch, head):
+    # words of one ending, so of one class, and equally frequent: only the word before tells which one follows
+    monkeypatch.setattr(language_model, "HEAD", head)
+    texts = ["red pxxen", "blue qxxen"] * 1000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5000, "red qxxen"), (5001, "blue pxxen"), (5002, "red unseenxen")], "doc_id long, text string")
+    out = {r.doc_id: r.score for r in language_model.score_corpus(docs, train_where=F.col("doc_id") < 5000, epochs=4).collect()}
+    assert out[0] > out[5000] + 0.5 and out[1] > out[5001] + 0.5 and out[5002] < out[5000]
+
+
+def test_tree_of_a_class_is_a_distribution():
+    rng = np.random.default_rng(2)
+    hashes, n = rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(1, 50, 300) + 0.1
+    leaves = np.zeros((language_model.CLASSES, language_model.WAYS**2))
+    np.add.at(leaves[3], language_model.Tree(leaves).leaf(hashes), n)
+    tree, keys = language_model.Tree(leaves), np.repeat(rng.integers(0, 1 << 63, (language_model.FAMILIES, 1), dtype=np.uint64), 300, axis=1)
+    table = rng.normal(0, 1, language_model.empty_tree_table().shape).astype(np.float32)
+    lift = tree.log_lift(table, hashes, np.full(300, 3), keys)
+    assert np.abs(lift).max() > 0.1 and (n / n.sum() * 10**lift).sum() == pytest.approx(1, abs=1e-4)
+
+
 def brute_overlap(text, items, window=10):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: (t or "").translate({i: i + 32 for i in range(65, 91)})
