@@ -130,7 +130,7 @@ class Model:
         best, at = np.zeros(len(w.sizes)), 0
         for i, n in enumerate(w.sizes.tolist()):
             if n:
-                best[i] = window_means(values[at : at + n] * fresh(w.hashes[at : at + n])).max()
+                best[i] = window_means(values[at : at + n], *counted(previous(w.hashes[at : at + n]))).max()
             at += n
         return 1.0 / (1.0 + np.exp(-np.clip(best + self.bias[1] - self.bias[0], -60, 60)))
 
@@ -145,18 +145,27 @@ def window_starts(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - WINDOW, WINDOW // 2), n - WINDOW)
 
 
-def fresh(codes: np.ndarray) -> np.ndarray:
-    """False where the same word stands less than WINDOW words before: a repeat adds nothing to its window."""
+def previous(codes: np.ndarray) -> np.ndarray:
+    """The place where each word stood last before, -1 if nowhere."""
     order = np.argsort(codes, kind="stable")
-    near = np.zeros(len(codes), dtype=bool)
-    near[order[1:]] = (codes[order[1:]] == codes[order[:-1]]) & (np.diff(order) < WINDOW)
-    return ~near
+    out = np.full(len(codes), -1, dtype=np.int64)
+    same = codes[order[1:]] == codes[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
 
-def window_means(values: np.ndarray) -> np.ndarray:
-    starts, size = window_starts(len(values)), min(WINDOW, len(values))
-    total = np.concatenate(([0.0], np.cumsum(values)))
-    return (total[starts + size] - total[starts]) / size
+def counted(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the windows in which each word counts: those that hold it and start after the place ``before``
+    where it stood last, so that a window counts each of its words once."""
+    n = len(before)
+    starts, at = window_starts(n), np.arange(n)
+    return np.searchsorted(starts, np.maximum(before, at - min(WINDOW, n)), side="right"), np.searchsorted(starts, at, side="right")
+
+
+def window_means(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    windows = len(window_starts(len(values)))
+    change = np.bincount(first, values, windows + 1) - np.bincount(end, values, windows + 1)
+    return np.cumsum(change[:windows]) / min(WINDOW, len(values))
 
 
 def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch: int = 32, rate: float = 0.5, seed: int = 7) -> Model:
@@ -172,15 +181,15 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch:
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)] or [vocabulary.setdefault("", len(vocabulary))], dtype=np.int32) for t in texts]
     ids, starts, counts = _all_ngrams(list(vocabulary))
     del vocabulary
-    news = [fresh(d) for d in docs]
+    befores = [previous(d).astype(np.int32) for d in docs]
     squares = [np.full(model.table.shape[0], 1e-3), np.full(model.top.shape, 1e-3), np.full(2, 1e-3)]
     for _ in range(epochs):
         margin = np.add.reduceat((model.table @ (model.top[:, 1] - model.top[:, 0]))[ids], starts) / counts
         bags, widths = [], []
-        for d, new in zip(docs, news):
-            at = window_starts(len(d))[int(np.argmax(window_means(margin[d] * new)))] if len(d) > WINDOW else 0
+        for d, before in zip(docs, befores):
+            at = window_starts(len(d))[int(np.argmax(window_means(margin[d], *counted(before))))] if len(d) > WINDOW else 0
             one = d[at : at + WINDOW]
-            bags.append(one[new[at : at + WINDOW]] if new[at : at + WINDOW].any() else one[:1])
+            bags.append(one[before[at : at + WINDOW] < at])
             widths.append(len(one))
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):

@@ -151,6 +151,21 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(odd.limit(0), both).count() == 0
 
 
+def test_toxicity_counts_a_word_once_in_each_window():
+    rng = random.Random(9)
+    model = toxicity.train(["vile wretch", "good day"] * 20, [1, 0] * 20)
+    for n in (1, 5, 63, 64, 65, 96, 128, 400):
+        words = [f"w{rng.randint(0, 40)}" for _ in range(n)]
+        if n == 96:
+            words = [f"x{i}" for i in range(n)]
+            words[0] = words[62] = "vile"
+            words[60] = words[90] = "wretch"
+        value = dict(zip(sorted(set(words)), model.margins(sorted(set(words)))))
+        size = min(n, toxicity.WINDOW)
+        best = max(sum(value[w] for w in set(words[s : s + size])) / size for s in toxicity.window_starts(n))
+        assert model.score(" ".join(words)) == pytest.approx(1 / (1 + math.exp(model.bias[0] - model.bias[1] - best)), abs=1e-9)
+
+
 def base_score(words, counts):
     n, v = sum(counts.values()), len(counts)
     return sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
