@@ -7,7 +7,7 @@ task writes one file. A version lists the live shards; it becomes visible by one
 exists, so of two writers one wins and readers always see a whole version. Old files stay until ``vacuum``.
 
 Defined cases: an empty table appends no shard but commits a version; null values, repeated rows and extra columns
-are kept as they are; nothing is dropped, and no text is looked at.
+are kept as they are, also columns that only some arrivals have (null in the others); nothing is dropped, and no text is looked at.
 """
 
 from __future__ import annotations
@@ -82,6 +82,10 @@ class ShardStore:
         meta = self.spark.read.parquet(f"{self.root}/{run}").select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"))
         return meta.groupBy("name", "bytes").agg(F.count(F.lit(1)).alias("rows")).select(F.concat(F.lit(run + "/"), "name").alias("shard"), "bytes", "rows", F.lit(generation).alias("generation"))
 
+    def _rows_of(self, names: list[str]) -> DataFrame:
+        """The rows of shards, with every column that any of them has."""
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{n}" for n in names])
+
     def append(self, df: DataFrame, *, rows_per_shard: int = 50_000) -> int:
         """Write arrivals as small immutable shards and commit a version that lists them too."""
         after, run = self.version(), f"runs/{uuid.uuid4().hex}"
@@ -105,8 +109,11 @@ class ShardStore:
             generation = chosen.filter(F.col("tier") == tier).agg(F.max("generation")).head()[0] + 1
             run = f"runs/{uuid.uuid4().hex}"
             with self._packed():
-                self.spark.read.parquet(*[f"{self.root}/{n}" for n in names]).write.option("compression", "zstd").parquet(f"{self.root}/{run}")
-            merged.append(self._written(run, generation))
+                self._rows_of(names).write.option("compression", "zstd").parquet(f"{self.root}/{run}")
+            made = self._written(run, generation)
+            if made.agg(F.sum("rows")).head()[0] != chosen.filter(F.col("tier") == tier).agg(F.sum("rows")).head()[0]:
+                raise RuntimeError(f"{run} doesn't hold the rows of the shards merged into it")
+            merged.append(made)
             gone.append(tier)
         if not merged:
             return after
@@ -129,7 +136,7 @@ class ShardStore:
         if not names:  # only empty arrivals so far: their files still carry the schema
             empty = self.spark.read.parquet(f"{self.root}/runs/*").limit(0)
             return empty.withColumn("shard", F.lit(None).cast("string")) if with_shard else empty
-        df = self.spark.read.parquet(*[f"{self.root}/{n}" for n in names])
+        df = self._rows_of(names)
         return df.withColumn("shard", F.col("_metadata.file_name")) if with_shard else df
 
     def vacuum(self, keep: int) -> int:

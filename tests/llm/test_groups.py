@@ -134,6 +134,19 @@ def test_shards_keep_every_row_and_version(spark):
     assert store.read(with_shard=True).filter("shard is null").count() == 0
 
 
+def test_shards_with_other_columns(spark):
+    store = sharding.ShardStore(spark, new_folder(spark, "s"))
+    for k in range(6):
+        df = spark.range(10 * k, 10 * k + 10).coalesce(1)
+        store.append(df.withColumn(f"more{k}", F.col("id") * 2) if k % 2 else df)
+    for _ in range(2):
+        rows = store.read()
+        assert sorted(rows.columns) == ["id", "more1", "more3", "more5"] and rows.count() == 60
+        assert rows.filter("more1 = id * 2").count() == rows.filter("more3 = id * 2").count() == rows.filter("more5 = id * 2").count() == 10
+        store.compact_all()
+    assert store.manifest().count() == 1
+
+
 def test_empty_shards(spark):
     store = sharding.ShardStore(spark, new_folder(spark, "s"))
     store.append(table(spark, DATA, "documents").limit(0))
