@@ -20,9 +20,10 @@ from hashlib import sha256
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.columns import free_name, own
 from quernstone.runtime import small_batches
 
 #: Bytes that part words: ASCII other than digits and letters.
@@ -102,11 +103,8 @@ def matchers(benchmark: DataFrame, window: int, max_words: int) -> list[Matcher]
     return out + [Matcher(held, window)] if held else out
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_words: int = 500_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: ``keep``, n_words, n_hit, n_items, items_sha256, contaminated, items, spans; no shuffle.
-
-    ``spans`` are the [start, end) character ranges of the original text that the hits cover.
-    """
+def overlap_column(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> Column:
+    """n_words, n_hit, n_items, items_sha256, items and spans of each text of ``docs``, as one struct."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(matchers(benchmark, window, max_words))  # the test set, whose size doesn't follow the corpus
@@ -128,5 +126,25 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
                 rows.append((len(words), sum(b - a for a, b in ranges), len(items), digest, items, [{"start": a, "end": b} for a, b in spans(text, ranges)]))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "items", "spans"])
 
-    out = docs.withColumn("_hit", scanned("text"))
-    return out.select(*keep, "_hit.n_words", "_hit.n_hit", "_hit.n_items", "_hit.items_sha256", (F.col("_hit.n_hit") > 0).alias("contaminated"), "_hit.items", "_hit.spans")
+    return scanned("text")
+
+
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_words: int = 500_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: ``keep``, n_words, n_hit, n_items, items_sha256, contaminated, items, spans; no shuffle.
+
+    ``spans`` are the [start, end) character ranges of the original text that the hits cover. Columns of ``keep`` that are named like
+    a result give way to it.
+    """
+    hit = free_name(docs, "hit")
+    out = docs.withColumn(hit, overlap_column(docs, benchmark, window, max_words))
+    made = [(F.col(f"{hit}.n_hit") > 0).alias(c) if c == "contaminated" else F.col(f"{hit}.{c}") for c in RESULTS]
+    return out.select(*[c for c in keep if c.lower() not in RESULTS], *made)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_words: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` without any hit, with all their columns, whatever their names."""
+    hit = free_name(docs, "hit")
+    return docs.withColumn(hit, overlap_column(docs, benchmark, window, max_words)).filter(F.col(f"{hit}.n_hit") == 0).select(*own(docs))

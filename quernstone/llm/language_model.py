@@ -18,7 +18,8 @@ Scoring reads each text once in numpy batches. Words among the commonest ``HEAD`
 counts keeps them below that) find their counts in a shared array; the others are joined to the count table by hash.
 
 Defined cases: null and empty texts are the end token alone; without any training row counts and N are 0 and classes equally likely;
-repeated rows count each; text columns of any length are read whole.
+repeated rows count each; texts of any length are read whole; an empty table gives an empty result; other columns, whatever their names, are carried
+along, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.columns import own
 from quernstone.llm.text import pieces, word_hashes, word_spans
 from quernstone.runtime import small_batches, staged
 
@@ -324,11 +326,17 @@ def train_table(docs: DataFrame, class_of: np.ndarray, tree: Tree, *, epochs: in
     return tables
 
 
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def score_corpus(docs: DataFrame, *, train_where: Column, epochs: int = 1) -> DataFrame:
-    """``docs`` (with a text column) plus n_tokens, n_known, train_tokens, base_score, score."""
+    """``docs`` without text, plus n_tokens, n_known, train_tokens, base_score, score; columns of these names give way to the results."""
     spark = docs.sparkSession
     small_batches(spark, 256)
-    train = docs.filter(train_where)
+    train = docs.filter(train_where).select("text")
+    carried = [c for c in docs.columns if c.lower() not in ("text", *RESULTS)]
+    columns = dict(zip(docs.columns, own(docs)))
+    docs = docs.select("text", *[columns[name].alias(f"c{i}") for i, name in enumerate(carried)])
     counts, follows = count_words(train)
     n_all, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
     class_of = cluster(follows)
@@ -398,6 +406,6 @@ def score_corpus(docs: DataFrame, *, train_where: Column, epochs: int = 1) -> Da
         joined = scored.join(per_row, "_row", "left")
     counted = F.col("counted") + F.coalesce("tail", F.lit(0.0))
     return joined.select(
-        *[c.name for c in keep], "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        *[F.col(f.name).alias(name) for f, name in zip(keep, carried)], "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (counted - F.col("n_tokens") * F.lit(log_total)).alias("base_score"), (counted + F.col("model") + F.coalesce("tail_lift", F.lit(0.0))).alias("score"),
     )

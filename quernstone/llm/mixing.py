@@ -9,7 +9,9 @@ Streams: within a source, documents follow a seeded hash order. Prefix sums are
 of a bucket), so a source that holds most rows is spread over all buckets. All sums are integers; reruns agree.
 
 Defined cases: null text has size 0; null source is a source of its own, sorted last; documents of size 0 take
-nothing; an empty table gives an empty result; repeated rows are separate documents; extra columns are ignored.
+nothing; an empty table gives an empty result; repeated rows are separate documents (rows that differ in their texts alone are told apart
+by a hash of those, also where doc_id is null); texts of any length count whole; extra columns, whatever their names, are ignored by
+``plan_mix`` and kept by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm.columns import own
 from quernstone.runtime import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,10 +118,13 @@ def plan_mix(
         *carry,
         F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source"))).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string")).cast("binary")))
+        F.xxhash64("text").alias("tie"),
+    )
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("tie").cast("string")))  # rows without an id are spread too
+    wide = wide.withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), name, F.col("size").cast("string")).cast("binary")))
     base = staged(wide.drop(*carry), "mix")
-    digits = 1
-    while digits < 4 and base.count() > rows_per_bucket * 16**digits:
+    digits, n = 1, base.count()
+    while n > rows_per_bucket * 16**digits:
         digits += 1
     bucket = F.substring("key", 1, digits)
     rows = (wide if carry else base).withColumn("bucket", bucket)
@@ -127,7 +133,7 @@ def plan_mix(
     targets = source_targets(buckets.groupBy("src").agg(F.sum("bucket_size").alias("source_size")), weights, budget, epochs)
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     info = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size").join(targets, "src")
-    inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(info, ["src", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     demand = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(demand / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -151,8 +157,8 @@ def copy_position(k: Column, curriculum: Sequence[Sequence[tuple[float, float]]]
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, whole copies in training order, with the input's columns only."""
     columns = docs.columns
-    plan = plan_mix(docs.select(F.struct(*columns).alias("row"), "doc_id", "source", "text"), cut="document", carry=("row",), **options)
+    plan = plan_mix(docs.select(F.struct(*own(docs)).alias("row"), "doc_id", "source", "text"), cut="document", carry=("row",), **options)
     curriculum = options.get("curriculum", CURRICULUM)
-    copies = plan.filter("copies > 0").select("row", "at", "source_size", "target", "place", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("k"))
-    due = copies.withColumn("due", copy_position(F.col("k"), curriculum)).select("due", "key", "k", "row")
-    return due.repartitionByRange("due", "key", "k").sortWithinPartitions("due", "key", "k").select(*[F.col("row").getField(c).alias(c) for c in columns])
+    copies = plan.filter("copies > 0").select("row", "at", "source_size", "target", "place", "key", "tie", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("k"))
+    due = copies.withColumn("due", copy_position(F.col("k"), curriculum)).select("due", "key", "tie", "k", "row")
+    return due.repartitionByRange("due", "key", "tie", "k").sortWithinPartitions("due", "key", "tie", "k").select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -1,24 +1,25 @@
 """Size-tiered compaction of immutable shards under a versioned manifest; DataFrame functions only.
 
 Arrivals are written once as small shards and never changed. Shards of similar size (the same power of ``fanout``)
-form a tier; a tier with at least ``fanout`` of them is merged into files of about ``target_bytes``. Merging needs no
-shuffle: the shards are scanned with splits of the target size, so Spark packs small files into one task, and each
-task writes one file. A version lists the live shards; it becomes visible by one rename that fails if the version
+form a tier; a tier with at least ``fanout`` of them that fill at most half of ``target_bytes`` is merged into files of about that size.
+Merging needs no shuffle: the shards are scanned with splits of the target size, so Spark packs small files into one task, and each
+task writes one file. Any two of them fit one split, so every merge leaves fewer shards and compaction ends. A version lists the live shards; it becomes visible by one rename that fails if the version
 exists, so of two writers one wins and readers always see a whole version. Old files stay until ``vacuum``.
 
 Defined cases: an empty table appends no shard but commits a version; null values, repeated rows and extra columns
-are kept as they are, also columns that only some arrivals have (null in the others); nothing is dropped, and no text is looked at.
+are kept as they are, also columns that only some arrivals have (null in the others) and a column named like the shard's; texts of any
+length are rows like others; nothing is dropped, and no text is looked at.
 """
 
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = "shard string, bytes long, rows long, generation int"
+from quernstone.llm.columns import free_name
+
+ENTRY = "shard string, bytes long, rows long, generation int, run_files int"
 
 
 class ShardStore:
@@ -38,10 +39,10 @@ class ShardStore:
         return max((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), default=0)
 
     def _no_entries(self) -> DataFrame:
-        return self.spark.range(0).selectExpr("cast(null as string) as shard", "id as bytes", "id as rows", "cast(id as int) as generation")
+        return self.spark.range(0).selectExpr("cast(null as string) as shard", "id as bytes", "id as rows", "cast(id as int) as generation", "cast(id as int) as run_files")
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """The live shards of a version: shard, bytes, rows, generation."""
+        """The live shards of a version: shard, bytes, rows, generation, and how many files their run wrote."""
         version = self.version() if version is None else version
         if not version:
             return self._no_entries()
@@ -62,29 +63,34 @@ class ShardStore:
             raise RuntimeError(f"version {after + 1} is there already; read it and try again") from e
         return after + 1
 
-    @contextmanager
-    def _packed(self):
-        """Scans pack files up to the target size into one split."""
-        want = {"spark.sql.files.maxPartitionBytes": str(self.target_bytes), "spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
-        had = {k: self.spark.conf.get(k, None) for k in want}
-        for k, v in want.items():
-            self.spark.conf.set(k, v)
-        try:
-            yield
-        finally:
-            for k, v in had.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+    def _packing(self) -> SparkSession:
+        """A session of its own, whose scans pack files up to the target size into one split."""
+        session = self.spark.newSession()
+        for k, v in {"spark.sql.files.maxPartitionBytes": str(self.target_bytes), "spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}.items():
+            session.conf.set(k, v)
+        return session
 
     def _written(self, run: str, generation: int) -> DataFrame:
         """Manifest rows for the files of one run, from their footers."""
-        if not any(s.getPath().getName().endswith(".parquet") for s in self._fs.listStatus(self._path(run))):
+        made = sum(s.getPath().getName().endswith(".parquet") for s in self._fs.listStatus(self._path(run)))
+        if not made:
             return self._no_entries()
         meta = self.spark.read.parquet(f"{self.root}/{run}").select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"))
-        return meta.groupBy("name", "bytes").agg(F.count(F.lit(1)).alias("rows")).select(F.concat(F.lit(run + "/"), "name").alias("shard"), "bytes", "rows", F.lit(generation).alias("generation"))
-
-    def _rows_of(self, names: list[str]) -> DataFrame:
-        """The rows of shards, with every column that any of them has."""
-        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{n}" for n in names])
+        rows = meta.groupBy("name", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+        return rows.select(F.concat(F.lit(run + "/"), "name").alias("shard"), "bytes", "rows", F.lit(generation).alias("generation"), F.lit(made).alias("run_files"))
+
+    def _rows_of(self, entries: DataFrame, spark: SparkSession) -> DataFrame | None:
+        """The rows of shards, with every column that any of them has; None if there are none.
+
+        A run that is live as a whole is read by its folder, so the driver holds a name for each run and for the shards of
+        runs that were merged in part only.
+        """
+        runs = entries.withColumn("run", F.regexp_extract("shard", "^(.*)/", 1))
+        whole = F.col("live") == F.col("run_files")
+        counted = runs.groupBy("run").agg(F.count(F.lit(1)).alias("live"), F.max("run_files").alias("run_files"))
+        paths = [r.run for r in counted.filter(whole).orderBy("run").toLocalIterator()]
+        paths += [r.shard for r in runs.join(counted.filter(~whole).select("run"), "run").orderBy("shard").select("shard").toLocalIterator()]
+        return spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else None
 
     def append(self, df: DataFrame, *, rows_per_shard: int = 50_000) -> int:
         """Write arrivals as small immutable shards and commit a version that lists them too."""
@@ -98,46 +104,39 @@ class ShardStore:
         return self.manifest(version).withColumn("tier", F.floor(F.log(float(self.fanout), size)).cast("int"))
 
     def compact(self) -> int:
-        """Merge each tier with enough shards below the target size; commits one version, or none if nothing is due."""
+        """Merge each tier with enough shards of up to half the target size; commits one version, or none if nothing is due."""
         after = self.version()
         shards = self.tiers(after)
-        due = shards.filter(F.col("bytes") < self.target_bytes * 3 // 4).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= self.fanout)
-        chosen = shards.filter(F.col("bytes") < self.target_bytes * 3 // 4).join(F.broadcast(due.select("tier")), "tier", "left_semi")  # few tiers: a logarithm of the size
-        merged, gone = [], []
-        for tier in [r.tier for r in due.orderBy("tier").collect()]:
-            names = [r.shard for r in chosen.filter(F.col("tier") == tier).orderBy("shard").select("shard").toLocalIterator()]
-            generation = chosen.filter(F.col("tier") == tier).agg(F.max("generation")).head()[0] + 1
+        small = shards.filter(2 * F.col("bytes") <= self.target_bytes)
+        due = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.max("generation").alias("generation")).filter(F.col("n") >= self.fanout)
+        due = due.orderBy("tier").collect()  # few tiers: a logarithm of the size
+        if not due:
+            return after
+        kept = shards.filter((2 * F.col("bytes") > self.target_bytes) | ~F.col("tier").isin([r.tier for r in due])).drop("tier")
+        session = self._packing()
+        for tier in due:
             run = f"runs/{uuid.uuid4().hex}"
-            with self._packed():
-                self._rows_of(names).write.option("compression", "zstd").parquet(f"{self.root}/{run}")
-            made = self._written(run, generation)
-            if made.agg(F.sum("rows")).head()[0] != chosen.filter(F.col("tier") == tier).agg(F.sum("rows")).head()[0]:
+            self._rows_of(small.filter(F.col("tier") == tier.tier), session).write.option("compression", "zstd").parquet(f"{self.root}/{run}")
+            made = self._written(run, tier.generation + 1)
+            if made.agg(F.sum("rows")).head()[0] != tier.rows:
                 raise RuntimeError(f"{run} doesn't hold the rows of the shards merged into it")
-            merged.append(made)
-            gone.append(tier)
-        if not merged:
-            return after
-        kept = shards.join(chosen.select("shard"), "shard", "left_anti").select("shard", "bytes", "rows", "generation")
-        for m in merged:
-            kept = kept.unionByName(m)
+            kept = kept.unionByName(made)
         return self._commit(kept, after)
 
-    def compact_all(self, rounds: int = 16) -> int:
-        """Compact until no tier is due; merged files climb at least one tier, so ``rounds`` is not reached in practice."""
-        for _ in range(rounds):
+    def compact_all(self) -> int:
+        """Compact until no tier is due."""
+        while True:
             before = self.version()
             if self.compact() == before:
-                break
-        return self.version()
+                return before
 
     def read(self, version: int | None = None, *, with_shard: bool = False) -> DataFrame:
-        """The rows of a version; ``with_shard`` adds the shard's name and row count."""
-        names = [r.shard for r in self.manifest(version).orderBy("shard").select("shard").toLocalIterator()]
-        if not names:  # only empty arrivals so far: their files still carry the schema
-            empty = self.spark.read.parquet(f"{self.root}/runs/*").limit(0)
-            return empty.withColumn("shard", F.lit(None).cast("string")) if with_shard else empty
-        df = self._rows_of(names)
-        return df.withColumn("shard", F.col("_metadata.file_name")) if with_shard else df
+        """The rows of a version; ``with_shard`` adds the name of each row's shard as ``shard`` (with underscores after it where that is taken)."""
+        df = self._rows_of(self.manifest(version), self.spark)
+        if df is None:  # only empty arrivals so far: their files still carry the schema
+            df = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/runs/*").limit(0)
+            return df.withColumn(free_name(df, "shard"), F.lit(None).cast("string")) if with_shard else df
+        return df.withColumn(free_name(df, "shard"), F.col("_metadata.file_name")) if with_shard else df
 
     def vacuum(self, keep: int) -> int:
         """Delete the shard files that no version from ``keep`` on lists, and older versions; the count of deleted files."""

@@ -12,7 +12,9 @@ scoring covers every document. As the model is linear in the word vectors, a wor
 kept in a bounded cache per worker.
 
 Defined cases: null and empty texts score as the softmax's bias alone; without labelled rows of both classes every score is
-the share of positive labels (0 if there is none); a label of null is no label; repeated doc_ids are scored each.
+the share of positive labels (0 if there is none); a label of null is no label; repeated doc_ids are scored each; texts of any length
+are scored whole; an empty table gives an empty result; labels of documents that aren't there count for nothing; columns other than doc_id and
+text are carried along (``score_documents`` replaces score and predicted, ``keep_clean`` replaces none).
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.columns import free_name, own
 from quernstone.llm.text import HashMemo, column_words
 from quernstone.runtime import small_batches
 
@@ -220,26 +223,28 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 3000, max_chars: int = 14_000_000) -> pd.DataFrame:
-    """At most ``max_rows`` labelled toxic documents and twice as many others, ``max_chars`` characters in all, first in hash order."""
+    """At most ``max_rows`` labelled toxic documents and twice as many others, first in hash order.
+
+    ``max_chars`` bounds their characters, three sevenths for the toxic ones; a text that no longer fits is passed over.
+    """
     marked = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))  # a document marked twice counts as its higher mark
+    there = docs.select(F.col("doc_id").alias("_id")).join(marked, "_id").withColumn("_h", F.xxhash64("_id"))
     out = []
     for y, rows, chars in ((1, max_rows, max_chars * 3 // 7), (0, 2 * max_rows, max_chars * 4 // 7)):
-        # twice as many labels as wanted, as some have no document or a huge one; a bounded table, so texts aren't shuffled
-        drawn = marked.filter(F.col("_y") == y).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(2 * rows)
+        drawn = there.filter(F.col("_y") == y).orderBy("_h", "_id").limit(rows).distinct()  # a bounded table, so texts aren't shuffled
         pool = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_h", "text", F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
         got, total = [], 0
-        for r in pool.filter("_n <= 200000").orderBy("_h", "text").limit(rows).toLocalIterator():
-            total += r._n
-            if total > chars:
-                break
-            got.append(r.text)
+        for r in pool.filter(F.col("_n") <= chars).orderBy("_h", "text").limit(rows).toLocalIterator():
+            if total + r._n <= chars:
+                total += r._n
+                got.append(r.text)
         out.append(pd.DataFrame({"text": got, "y": y}))
     return pd.concat(out, ignore_index=True)
 
 
-def score_documents(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score (double) and predicted (1 if score >= threshold), for whole texts."""
+def score_column_of(docs: DataFrame, model: Model) -> Column:
+    """The score of each whole text of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x DIM numbers, whatever the input
@@ -249,7 +254,18 @@ def score_documents(docs: DataFrame, model: Model, *, threshold: float = 0.3) ->
         for texts in batches:
             yield pd.Series(shared.value.score_column(pa.array(texts, pa.string())))
 
-    return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored("text")
+
+
+def score_documents(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
+    """``docs`` with score (double) and predicted (1 if score >= threshold), which replace columns of these names."""
+    return docs.withColumn("score", score_column_of(docs, model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever their names."""
+    name = free_name(docs, "toxicity_score")
+    return docs.withColumn(name, score_column_of(docs, model)).filter(F.col(name) < threshold).select(*own(docs))
 
 
 def learn(docs: DataFrame, labels: DataFrame, **options) -> Model:

@@ -151,6 +151,14 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(odd.limit(0), both).count() == 0
 
 
+def test_training_sample_is_bounded_and_full(spark):
+    docs = spark.createDataFrame([(i, "x" * (500 if i == 3 else 10)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(-5000, 100)], "doc_id long, toxic int")  # most labels have no document
+    got = toxicity.training_sample(docs, labels, max_rows=20, max_chars=2100)
+    assert got.groupby("y").size().to_dict() == {0: 40, 1: 20}
+    assert toxicity.training_sample(docs, labels, max_rows=20, max_chars=700).text.str.len().sum() <= 700
+
+
 def test_toxicity_counts_a_word_once_in_each_window():
     rng = random.Random(9)
     model = toxicity.train(["vile wretch", "good day"] * 20, [1, 0] * 20)
@@ -177,7 +185,7 @@ def test_language_model(spark, monkeypatch, head):
     rng = random.Random(8)
     left, right = [f"l{i}en" for i in range(60)], [f"r{i}os" for i in range(60)]
     texts = [" ".join(rng.choice(side).title() for _ in range(rng.randint(1, 60))) for side in [left, right] * 150] + ODD
-    docs = spark.createDataFrame([(i, t, i % 10 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    docs = spark.createDataFrame([(i, t, i % 10 == 0, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean, n_tokens string, model string")
     out = {r.doc_id: r for r in language_model.score_corpus(docs, train_where=~F.col("held_out")).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
     counts = Counter(w for i, ws in tokens.items() if i % 10 for w in ws)
@@ -185,6 +193,7 @@ def test_language_model(spark, monkeypatch, head):
         r = out[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), sum(counts.values()))
         assert r.base_score == pytest.approx(base_score(ws, counts), abs=1e-6)
+    assert all(r.model == "y" for r in out.values())
     held = [r for i, r in out.items() if i % 10 == 0]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 50
 
