@@ -36,18 +36,28 @@ def factory_of(name: str) -> Callable[[], Model]:
 
 
 def apply_model(name: str, returns: str, *inputs: Column, fail_open: bool = True) -> Column:
-    """The model's answer for each row, the inputs joined by line feeds; a failing batch gives nulls if ``fail_open``."""
+    """The model's answer for each row, the inputs joined by line feeds.
+
+    If a batch fails its rows are asked one by one; a row that fails by itself is null if ``fail_open``, else an error.
+    """
     factory = factory_of(name)
 
+    def one(model: Model, text: str) -> object:
+        try:
+            return model([text])[0]
+        except Exception:
+            if not fail_open:
+                raise
+            return None
+
     @F.pandas_udf(returns)
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
+            model, asked = _load(name, factory), [t or "" for t in texts]
             try:
-                yield pd.Series(_load(name, factory)([t or "" for t in texts]))
+                yield pd.Series(model(asked))
             except Exception:
-                if not fail_open:
-                    raise
-                yield pd.Series([None] * len(texts))
+                yield pd.Series([one(model, t) for t in asked])
 
     return answer(F.concat_ws("\n", *inputs) if len(inputs) > 1 else inputs[0])
 

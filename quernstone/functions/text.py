@@ -106,12 +106,16 @@ def partition_of_model(model: Column, prefix: str) -> Column:
     return F.when(found != "", found)
 
 
+#: What parts keyword tokens of lower-case text.
+NO_TOKEN = "[^a-z0-9à-ÿ]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case keyword tokens."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9à-ÿ]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), NO_TOKEN), lambda t: t != "")
 
 
 def source_label(filename: Column, page: Column) -> Column:
-    """A file's name, with the page for paged formats."""
-    paged = F.rlike(F.lower(filename), F.lit(r"\.(pdf|pptx|docx|doc)$"))
+    """A file's name, with the page for paged formats (suffixes in lower case)."""
+    paged = F.rlike(filename, F.lit(r"\.(pdf|pptx|docx|doc)$"))
     return F.when(paged, F.concat(filename, F.lit(" (page: "), page.cast("string"), F.lit(")"))).otherwise(filename)

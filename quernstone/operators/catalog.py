@@ -7,15 +7,21 @@ an atomic rename, so readers see a whole state and a failed writer leaves nothin
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.operators import search
+
 SCHEMA = "chunk_id long, partition string, file_id string, chunk_no int, text string, page int, vector array<float>, metadata map<string,string>, created_at timestamp"
 
 
+COLUMNS = ("chunk_id", "partition", "file_id", "chunk_no", "text", "page", "vector", "metadata", "created_at")
+
+
 class NotFound(ValueError):
     pass
 
@@ -86,25 +92,41 @@ class ChunkStore:
 
     def chunks(self) -> DataFrame:
         """All current rows."""
-        dirs = [d for some in self._state()["dirs"].values() for d in some]
+        return self._read([d for some in self._state()["dirs"].values() for d in some])
+
+    def _read(self, dirs: list[str]) -> DataFrame:
         if not dirs:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*[f"{self.root}/{d}" for d in dirs])
 
     def _write(self, rows: DataFrame, version: int) -> str:
         name = f"data/v{version:012d}-{uuid.uuid4().hex}"
-        rows.select([F.col(f.strip().split(" ")[0]) for f in SCHEMA.replace("map<string,string>", "map").split(",")]).write.parquet(f"{self.root}/{name}")
+        rows.select(*COLUMNS).write.parquet(f"{self.root}/{name}")
         return name
 
     def insert(self, rows: DataFrame) -> None:
-        """Append chunks; if any of their files is there already, nothing is inserted."""
-        clash = files(rows).join(files(self.chunks()), ["partition", "file_id"], "left_semi").limit(1).collect()
-        if clash:
-            raise AlreadyThere(f"file {clash[0].file_id!r} is in partition {clash[0].partition!r} already")
+        """Append chunks in one job; if any of their files is there already, nothing is inserted.
+
+        Rows are dealt by partition (large ones are split) and written below one new folder, a directory for each
+        partition; they are checked against the catalog before the commit makes them visible.
+        """
         state = self._state()
         version = state["version"] + 1
-        for (name,) in rows.select("partition").distinct().toLocalIterator():
-            state["dirs"].setdefault(name, []).append(self._write(rows.filter(F.col("partition") == name), version))
+        name = f"data/v{version:012d}-{uuid.uuid4().hex}"
+        dealt = rows.select(*COLUMNS, F.md5(F.col("partition").cast("binary")).alias("part")).hint("rebalance", "part")
+        dealt.write.partitionBy("part").parquet(f"{self.root}/{name}")
+        if not any(s.isDirectory() for s in self._fs.listStatus(self._path(name))):
+            return
+        fresh = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{name}")
+        made = [r[0] for r in fresh.select("partition").distinct().toLocalIterator()]
+        before = [d for p in made for d in state["dirs"].get(p, [])]
+        if before:
+            clash = files(fresh).join(files(self._read(before)), ["partition", "file_id"], "left_semi").limit(1).collect()
+            if clash:
+                self._fs.delete(self._path(name), True)
+                raise AlreadyThere(f"file {clash[0].file_id!r} is in partition {clash[0].partition!r} already")
+        for p in made:
+            state["dirs"].setdefault(p, []).append(f"{name}/part={hashlib.md5(p.encode()).hexdigest()}")
         self._commit({"version": version, "dirs": state["dirs"]})
 
     def _rewrite(self, partition: str, rows: DataFrame) -> None:
@@ -117,7 +139,7 @@ class ChunkStore:
         self._commit({"version": version, "dirs": dirs})
 
     def _of(self, partition: str) -> DataFrame:
-        return self.chunks().filter(F.col("partition") == partition)
+        return self._read(self._state()["dirs"].get(partition, []))
 
     def file_exists(self, partition: str, file_id: str) -> bool:
         return self.file_chunks(partition, file_id).limit(1).count() > 0
@@ -159,7 +181,7 @@ class ChunkStore:
         return files(self.chunks(), partition)
 
     def file_chunks(self, partition: str, file_id: str) -> DataFrame:
-        return self.chunks().filter((F.col("partition") == partition) & (F.col("file_id") == file_id))
+        return self._of(partition).filter(F.col("file_id") == file_id)
 
     def chunk(self, chunk_id: int) -> DataFrame:
         return self.chunks().filter(F.col("chunk_id") == chunk_id).limit(1)
@@ -171,6 +193,13 @@ class ChunkStore:
     def sample_chunks(self, partition: str, n: int = 200, seed: int = 0) -> DataFrame:
         return sample(self._of(partition), n, seed)
 
+    def search(self, queries: DataFrame, **options) -> DataFrame:
+        """``search.search`` of queries (query_id, text, vector) over the store; only the wanted partitions' directories are read."""
+        wanted = search.partitions_of(options.get("partitions", ["all"]))
+        dirs = self._state()["dirs"]
+        rows = self._read([d for p, some in dirs.items() if wanted == search.ALL or p in wanted for d in some])
+        return search.search(queries, rows, **options)
+
     def models(self, prefix: str) -> DataFrame:
         """One model name per partition and one for all."""
         names = self.partitions().select(F.concat(F.lit(prefix + "-"), "partition").alias("model"))

@@ -91,8 +91,15 @@ def regroup(pieces: list[str], size: int, length: Callable[[str], int] = len) ->
 
 
 def split_markdown(text: str | None, size: int, overlap: int, length: Callable[[str], int] = len) -> list[str]:
-    """Sections at # to #### headers, overlapped, split to ``size``, regrouped."""
-    sections = [s.strip() for s in re.split(r"(?m)^(?=#{1,4} )", text or "") if s.strip()]
+    """Sections at # to #### headers outside code fences, overlapped, split to ``size``, regrouped."""
+    starts, fenced, at = [0], False, 0
+    for line in (text or "").splitlines(keepends=True):
+        if line.lstrip().startswith(("```", "~~~")):
+            fenced = not fenced
+        elif not fenced and re.match(r"#{1,4} ", line):
+            starts.append(at)
+        at += len(line)
+    sections = [s for a, b in zip(starts, [*starts[1:], at]) if (s := (text or "")[a:b].strip())]
     sections = _overlapped(sections, overlap) if overlap > 0 else sections
     return regroup([c for s in sections for c in split_recursive(s, size, overlap, length)], size, length)
 
@@ -102,6 +109,37 @@ def word_length(text: str) -> int:
 
 
 LENGTHS: dict[str, Callable[[str], int]] = {"characters": len, "words": word_length}
+_TOKENIZERS: dict[str, object] = {}
+
+
+def token_length(tokenizer_file: str) -> Callable[[str], int]:
+    """Length in a model's tokens, by its tokenizer file; loaded once in each worker."""
+
+    def length(text: str) -> int:
+        if tokenizer_file not in _TOKENIZERS:
+            from tokenizers import Tokenizer
+
+            _TOKENIZERS[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
+        return len(_TOKENIZERS[tokenizer_file].encode(text, add_special_tokens=False).ids)
+
+    return length
+
+
+def measure_of(length: str) -> Callable[[str], int]:
+    """``characters``, ``words``, or the tokens of a tokenizer file (a path that ends with .json)."""
+    return token_length(length) if length.endswith(".json") else LENGTHS[length]
+
+
+def length_totals(rows: DataFrame, by: str, *, length: str = "words", text: str = "chunk") -> DataFrame:
+    """The summed length of each group's texts: by, n."""
+    small_batches(rows.sparkSession)
+    measure = measure_of(length)
+
+    @F.pandas_udf("long")
+    def measured(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: measure(t or "")).astype("int64")
+
+    return rows.select(by, measured(text).alias("n")).groupBy(by).agg(F.sum("n").alias("n"))
 
 
 def chunk_with(docs: DataFrame, splitter: str, *, size: int = 200, overlap: int = 20, length: str = "characters", keep: tuple[str, ...] = ("doc_id",), min_length: int = 3) -> DataFrame:
@@ -109,7 +147,7 @@ def chunk_with(docs: DataFrame, splitter: str, *, size: int = 200, overlap: int
     if splitter not in SPLITTERS:
         raise ValueError(f"unknown splitter {splitter!r}; there are {sorted(SPLITTERS)} and 'semantic' (semantic_chunks)")
     small_batches(docs.sparkSession)
-    split, measure = SPLITTERS[splitter], LENGTHS[length]
+    split, measure = SPLITTERS[splitter], measure_of(length)
 
     @F.pandas_udf("array<string>")
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,8 +176,8 @@ def semantic_chunks(docs: DataFrame, embed: Callable[[Column], Column], *, perce
     rows = rows.withColumn("group", F.concat_ws(" ", F.lag("sentence").over(doc), "sentence", F.lead("sentence").over(doc)))
     rows = rows.withColumn("vector", embed(F.col("group")))
     rows = rows.withColumn("distance", 1 - V.cosine(F.col("vector"), F.lead("vector").over(doc)))
-    limits = rows.groupBy(*keep).agg(F.expr(f"percentile(distance, {percentile})").alias("limit"))
-    rows = rows.join(limits, list(keep)).withColumn("cut", F.coalesce(F.col("distance") > F.col("limit"), F.lit(False)))
+    rows = rows.withColumn("limit", F.percentile("distance", F.lit(percentile)).over(Window.partitionBy(*keep)))
+    rows = rows.withColumn("cut", F.coalesce(F.col("distance") > F.col("limit"), F.lit(False)))
     listed = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("i", "sentence", "cut"))).alias("s"))
     # a fold over a document's sentences: (finished chunks, the one being filled)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -187,6 +225,16 @@ def contextualise(chunks: DataFrame, context: Callable[[Column, Column, Column,
     return rows.withColumn("chunk", F.when(F.col("n_chunks") < 2, F.col("chunk")).otherwise(whole))
 
 
+def finished(chunks: DataFrame, *, context: Callable[[Column, Column, Column, Column], Column] | None = None, source: str = "source", keep: tuple[str, ...] = ("doc_id",), min_length: int = 3) -> DataFrame:
+    """All chunks of documents as they are stored: page, then context, then without those of up to ``min_length`` characters.
+
+    Short chunks still move the page on, and are the context of their neighbours. ``context`` is a model's (see contextualise).
+    """
+    rows = pages(chunks, keep=keep).withColumn("_plain", F.col("chunk"))
+    rows = contextualise(rows, context, source=source, keep=keep) if context is not None else rows
+    return rows.filter(F.length(T.strip(F.col("_plain"))) > min_length).drop("_plain", "page_end", "prev_chunk", "first_chunks", "n_chunks")
+
+
 def regroup_chunks(chunks: DataFrame, size: int, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Neighbouring chunks joined by line feeds while their lengths add up to at most ``size``: a fold inside the JVM."""
     listed = chunks.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def join_qrels(queries: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def zip_rows(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
-    """Positional join of two tables in their orders, as long as the shorter."""
+    """Positional join of two tables in their orders, as long as the shorter. Evaluation sets: a few thousand rows, numbered in one task."""
     number = lambda df, o: df.withColumn("_pos", F.row_number().over(Window.orderBy(o)))
     return number(left, order_left).join(number(right, order_right), "_pos").drop("_pos")
 
@@ -52,13 +54,37 @@ def cluster_members(rows: DataFrame) -> DataFrame:
 
 
 def sample_per_cluster(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n members of each cluster in seeded hash order."""
+    """n members of each cluster in seeded hash order; noise (-1) goes."""
     order = Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
     return rows.filter(F.col("label") != -1).withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= n)
 
 
+def question_groups(rows: DataFrame, *, per_cluster: int = 10, n_min: int = 1, n_max: int = 2, seed: int = 0) -> DataFrame:
+    """The members that each of ``per_cluster`` questions of a cluster is written from: label, question, members.
+
+    A question takes ``n_min`` to ``n_max`` members (never more than there are), their number and choice by seeded hashes.
+    """
+    ids = rows.filter(F.col("label") != -1).select("label", "vec_id")
+    sizes = ids.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    asked = sizes.select("label", "size", F.explode(F.sequence(F.lit(0), F.lit(per_cluster - 1))).alias("question"))
+    wide = F.least(F.lit(n_max), F.col("size")) - n_min + 1
+    asked = asked.withColumn("n", n_min + F.pmod(F.xxhash64("label", "question", F.lit(seed)), F.greatest(wide, F.lit(1))))
+    # a question starts at a hashed place of the cluster's hash order and takes the members from there on
+    order = Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
+    placed = ids.withColumn("place", F.row_number().over(order) - 1)
+    starts = asked.withColumn("start", F.pmod(F.xxhash64("question", "label", F.lit(seed + 1)), F.col("size")))
+    wanted = starts.select("label", "question", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.pmod(F.col("start") + i, F.col("size")))).alias("place"))
+    return wanted.join(placed, ["label", "place"]).groupBy("label", "question").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
+
+
+def mark_noise(rows: DataFrame, *, label: str = "cluster", min_size: int = 5) -> DataFrame:
+    """Clusters of fewer than ``min_size`` members are noise (-1)."""
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    return rows.join(sizes, label).withColumn(label, F.when(F.col("_size") >= min_size, F.col(label)).otherwise(-1)).drop("_size")
+
+
 def reduce_and_cluster(rows: DataFrame, *, dims: int = 5, clusters: int = 10, seed: int = 1) -> DataFrame:
-    """Principal components, then k-means: vec_id, cluster. Another algorithm than density clustering: no noise label."""
+    """Principal components, then k-means: vec_id, cluster; clusters of fewer than five are noise (-1). Another algorithm than density clustering."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
@@ -66,9 +92,15 @@ def reduce_and_cluster(rows: DataFrame, *, dims: int = 5, clusters: int = 10, se
     vectors = rows.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
     reduced = PCA(k=dims, inputCol="v", outputCol="p").fit(vectors).transform(vectors)
     model = KMeans(k=clusters, seed=seed, featuresCol="p", predictionCol="cluster").fit(reduced)
-    return model.transform(reduced).select("vec_id", "cluster")
+    return mark_noise(model.transform(reduced).select("vec_id", "cluster"))
 
 
 def judge_distribution(judgements: DataFrame, label: str) -> DataFrame:
     """Verdicts by count; failed judgements ("error") don't count."""
     return judgements.filter(F.col(label) != "error").groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def judge_axes(judgements: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Verdicts by count of each label axis: axis, verdict, n."""
+    rows = judgements.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("verdict")) for a in axes])).alias("x")).select("x.*")
+    return rows.filter(F.col("verdict") != "error").groupBy("axis", "verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 
+# fixed values: texts that outputs must hold to the letter
 NO_DOCUMENT = "No document found from the database"
 CONTEXT_HEAD = "Extracted documents:\n"
 INDENT = " " * 8
+COMPLETION_CONTEXT = "Given the context: \n"
+COMPLETION_HEAD = "Complete the following prompt: "
+QUERY_REQUEST = "Given the following chat, generate a query. \n"
 
 
 def joined(rows: DataFrame, by: str, order: str, line: Column, glue: str = "") -> DataFrame:
@@ -66,9 +70,17 @@ def prepare_chat(messages: DataFrame, contexts: DataFrame, system: str, depth: i
     return rows.select("conv_id", F.concat(F.array(first), rest).alias("payload"))
 
 
+def query_request(messages: DataFrame, system: str) -> DataFrame:
+    """What a query writer is asked for each conversation, from its last messages: conv_id, payload (array of role, content)."""
+    asked = transcript(messages).select("conv_id", F.concat(F.lit(QUERY_REQUEST), "transcript", F.lit("\n")).alias("asked"))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return asked.select("conv_id", F.array(message("system", F.lit(system)), message("user", F.col("asked"))).alias("payload"))
+
+
 def prepare_completion(prompts: DataFrame) -> DataFrame:
-    """prompts (query_id, prompt, context or null) -> query_id, prompt with the context before it where there is one."""
-    return prompts.select("query_id", F.when(F.col("context").isNotNull(), F.concat(F.lit("Given the content\n"), "context", F.lit("\nComplete the following prompt: "), "prompt")).otherwise(F.col("prompt")).alias("prompt"))
+    """prompts (query_id, prompt, context or null) -> query_id, prompt, with the context before it where there is one."""
+    context = F.coalesce(F.concat(F.lit(COMPLETION_CONTEXT), "context", F.lit("\n")), F.lit(""))
+    return prompts.select("query_id", F.concat(context, F.lit(COMPLETION_HEAD), "prompt").alias("prompt"))
 
 
 def qa_block(chunks: DataFrame, by: str) -> DataFrame:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.runtime import small_batches
+from quernstone.runtime import small_batches, staged
 
 RRF_K = 100
 ALL = ["all"]
-#: Queries of one block; a block's vectors are what is sent to the workers.
-QUERY_BLOCK = 2048
+QUERY_SCAN = 65_536  # queries of one scan of the chunks, which bounds what is broadcast
+QUERY_BLOCK = 2048  # queries that are compared with a batch of chunks at a time
 
 
 def partitions_of(value: str | Sequence[str] | None) -> list[str]:
@@ -45,73 +46,212 @@ def top(scored: DataFrame, k: int, *, by: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, columns: Sequence[str]) -> Iterator[list]:
+    """The queries on the driver, ``QUERY_SCAN`` at a time: what one scan of the chunks is compared with."""
+    held: list = []
+    for row in queries.select(*columns).toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_SCAN:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+class _Best:
+    """The k best chunks of each query that a task has seen, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.scores, self.ids, self.k = np.full((n, 0), -np.inf), np.empty((n, 0), dtype=np.int64), k
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, floor: float) -> None:
+        """Take in the scores of chunks in the order of their ids; those at ``floor`` or below don't count."""
+        scores = np.where(scores > floor, scores, -np.inf)
+        if scores.shape[1] > self.k:
+            near = np.sort(np.argsort(-scores, axis=1, kind="stable")[:, : self.k], axis=1)
+            scores, ids = np.take_along_axis(scores, near, axis=1), ids[near]
+        else:
+            ids = np.broadcast_to(ids, scores.shape)
+        scores, ids = np.concatenate([self.scores, scores], axis=1), np.concatenate([self.ids, ids], axis=1)
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def _kept(blocks: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray) -> pa.RecordBatch:
+    scores, ids = (np.concatenate(x) for x in zip(*blocks))
+    fine = np.isfinite(scores)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, fine.sum(axis=1))), pa.array(ids[fine]), pa.array(scores[fine])], ["query_id", "chunk_id", "score"])
+
+
+def _task_best(blocks: list, batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, k: int, score: Callable, floor: float) -> Iterator[pa.RecordBatch]:
+    """Run ``score(block, batch)`` for every block of queries over a task's batches; yields each query's best once."""
+    best = [_Best(min(QUERY_BLOCK, len(query_ids) - i * QUERY_BLOCK), k) for i in range(len(blocks))]
+    seen = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seen = True
+        ids = batch.column("chunk_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        for one, block in zip(best, blocks):
+            one.add(score(block, batch)[:, order], ids[order], floor)
+    if seen:
+        yield _kept([(b.scores, b.ids) for b in best], query_ids)
+
+
+SCORED = "query_id long, chunk_id long, score double"
+
+
+def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], SCORED)
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, threshold: float | None = None, decimals: int = 6) -> DataFrame:
     """Exact cosine top-k: query_id, chunk_id, score, rank.
 
-    ``queries`` (query_id, vector) are read in blocks of ``QUERY_BLOCK``; each block goes to the workers, every chunk
-    batch (chunk_id, vector) keeps its own top k of each query, and one window picks among those. Only scores above
-    ``threshold`` count. Scores are capped at 1 and rounded, then ranked, so ranks don't depend on summation noise.
+    One scan of the chunks serves ``QUERY_SCAN`` queries (query_id, vector): their vectors go to the workers as a broadcast of
+    that size at most, each task multiplies its batches with them in blocks of ``QUERY_BLOCK`` and keeps k for each query, and one
+    window picks among those. Only scores above ``threshold`` count. Scores are capped at 1 and rounded, then ranked, so ranks
+    don't depend on summation noise. Chunks (chunk_id, vector) without a vector are left out; vectors are of one length.
     """
-    small_batches(chunks.sparkSession, 4096)
-    out, block = None, []
-
-    def search(block: list) -> DataFrame:
-        ids = np.array([r.query_id for r in block])
-        matrix = np.array([r.vector for r in block], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                rows = np.stack(pdf["vector"].to_list()).astype(np.float64)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                scores = np.round(np.minimum(matrix @ rows.T, 1.0), decimals)
-                chunk_ids = pdf["chunk_id"].to_numpy()
-                order = np.argsort(chunk_ids, kind="stable")
-                scores, chunk_ids = scores[:, order], chunk_ids[order]
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                picked = np.take_along_axis(scores, best, axis=1)
-                ok = np.ones_like(picked, dtype=bool) if threshold is None else picked > threshold
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1])[ok.ravel()], "chunk_id": chunk_ids[best].ravel()[ok.ravel()], "score": picked.ravel()[ok.ravel()]})
-
-        return chunks.filter("vector is not null").select("chunk_id", "vector").mapInPandas(run, "query_id long, chunk_id long, score double")
-
-    for row in queries.filter("vector is not null").select("query_id", "vector").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part, block = search(block), []
-            out = part if out is None else out.unionAll(part)
-    if block or out is None:
-        part = search(block) if block else chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
-        out = part if out is None else out.unionAll(part)
-    return top(out, k)
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index: term, chunk_id, tf, dl (terms of the chunk)."""
-    terms = chunks.select("chunk_id", T.tokens(F.col("text")).alias("terms"))
-    rows = terms.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(queries: DataFrame, chunks: DataFrame, *, k1: float = 1.2, b: float = 0.75, decimals: int = 6) -> DataFrame:
-    """BM25 of every (query_id, chunk_id) that share a term. ``queries`` (query_id, text); ``chunks`` (chunk_id, text).
-
-    Only query terms are indexed: rows of other terms are cut inside the scan's stage, before any shuffle.
+    spark = chunks.sparkSession
+    small_batches(spark, 4096)
+    floor = -np.inf if threshold is None else threshold
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+    def search(held: list) -> DataFrame:
+        ids = np.array([r.query_id for r in held], dtype=np.int64)
+        shared = spark.sparkContext.broadcast(unit(np.array([r.vector for r in held], dtype=np.float64)))
+
+        def score(block: tuple, batch: pa.RecordBatch) -> np.ndarray:
+            return np.round(np.minimum(block[0] @ block[1](batch).T, 1.0), decimals)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last: list = [None, None]
+
+            def rows(batch: pa.RecordBatch) -> np.ndarray:
+                if last[0] is not batch:
+                    last[:] = batch, unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+                return last[1]
+
+            blocks = [(shared.value[i : i + QUERY_BLOCK], rows) for i in range(0, len(ids), QUERY_BLOCK)]
+            yield from _task_best(blocks, batches, ids, k, score, floor)
+
+        return chunks.filter("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(run, SCORED)
+
+    return top(_union([search(b) for b in _blocks(queries.filter("vector is not null"), ("query_id", "vector"))], spark), k)
+
+
+def _term_rows(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """chunk_id, dl (its terms), terms and tf: what each chunk has of the vocabulary, by number. One pass over the texts, written once."""
+    shared = chunks.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = max(len(shared.value), 1)
+        for batch in batches:
+            lists = pc.split_pattern(pc.replace_substring_regex(batch.column("text"), T.NO_TOKEN, " "), " ")
+            words = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            dl = np.bincount(row[pc.not_equal(words, "").to_numpy(zero_copy_only=False)], minlength=len(lists))
+            term = pc.fill_null(pc.index_in(words, value_set=shared.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            key, tf = np.unique(row[term >= 0] * width + term[term >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(key, np.arange(len(lists) + 1) * width).astype(np.int32))
+            made = [pa.ListArray.from_arrays(ends, pa.array((key % width).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(dl.astype(np.int32)), *made], ["chunk_id", "dl", "terms", "tf"])
+
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return staged(rows.mapInArrow(run, "chunk_id long, dl int, terms array<int>, tf array<int>"), "term-rows")
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, k1: float = 1.2, b: float = 0.75, decimals: int = 6) -> DataFrame:
+    """BM25 top-k of ``queries`` (query_id, text) over ``chunks`` (chunk_id, text): query_id, chunk_id, score, rank.
+
+    Texts are read once, for what each chunk has of the query terms. One aggregate counts the chunks, their terms and the chunks
+    of each query term, summed in each task before its one row a term is shuffled. Then each task adds up its own chunks' term
+    weights for every query and keeps k, and one window picks among those. No (query, chunk) pair leaves a task, and a frequent
+    term is nobody's hot key; what is broadcast comes from ``QUERY_SCAN`` queries at most. Chunks that share no term with a
+    query aren't listed.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    terms = chunks.select("chunk_id", T.tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    rows = terms.select("chunk_id", "dl", F.explode("terms").alias("term"))
-    rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = scored.withColumn("w", weight).join(wanted, "term")
-    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), decimals).alias("score"))
+    spark = chunks.sparkSession
+    small_batches(spark)
+
+    def search(held: list) -> DataFrame:
+        ids = np.array([r.query_id for r in held], dtype=np.int64)
+        vocabulary: dict[str, int] = {}
+        wanted = [[vocabulary.setdefault(t, len(vocabulary)) for t in dict.fromkeys(r.terms)] for r in held]
+        rows, size = _term_rows(chunks, list(vocabulary)), len(vocabulary)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df, n, length = np.zeros(size, dtype=np.int64), 0, 0
+            for batch in batches:
+                df += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=size)
+                n, length = n + batch.num_rows, length + int(batch.column("dl").to_numpy().sum())
+            met = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((met, [-1, -2]))), pa.array(np.concatenate((df[met], [n, length])))], ["term", "n"])
+
+        counted = rows.select("terms", "dl").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        sums = {r.term: r.n for r in counted.toLocalIterator()}  # a row for each query term
+        n, length = sums.pop(-1, 0), sums.pop(-2, 0)
+        df = np.zeros(size)
+        df[list(sums)] = list(sums.values())
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = length / n if n else 1.0
+        # a block of queries: terms that many of them have as a matrix, and the (term, query) places of the others in the order of the terms
+        blocks = []
+        for lo in range(0, len(ids), QUERY_BLOCK):
+            some = wanted[lo : lo + QUERY_BLOCK]
+            term, query = np.array([t for ts in some for t in ts], dtype=np.int64), np.repeat(np.arange(len(some)), [len(ts) for ts in some])
+            common = np.flatnonzero(np.bincount(term, minlength=size) > max(2, len(some) // 64))
+            column = np.full(size, -1)
+            column[common] = np.arange(len(common))
+            dense = np.zeros((len(common), len(some)))
+            often = column[term] >= 0
+            dense[column[term[often]], query[often]] = 1.0
+            order = np.argsort(term[~often], kind="stable")
+            blocks.append((len(some), column, dense, query[~often][order], np.searchsorted(term[~often][order], np.arange(size + 1))))
+        shared = spark.sparkContext.broadcast((blocks, idf))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks, idf = shared.value
+            last: list = [None, None]
+
+            def weighted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                if last[0] is not batch:
+                    lists = batch.column("terms")
+                    row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                    term, tf = lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy().astype(np.float64)
+                    dl = batch.column("dl").to_numpy()
+                    last[:] = batch, (row, term, idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / mean)))
+                return last[1]
+
+            def score(block: tuple, batch: pa.RecordBatch) -> np.ndarray:
+                row, term, weight = weighted(batch)
+                n_queries, column, dense, query, first = block
+                at, out = column[term], np.zeros((n_queries, batch.num_rows))
+                for lo in range(0, len(dense), 4096):
+                    here = (at >= lo) & (at < lo + 4096)
+                    part = np.zeros((batch.num_rows, min(4096, len(dense) - lo)))
+                    part[row[here], at[here] - lo] = weight[here]
+                    out += (part @ dense[lo : lo + 4096]).T
+                rest = np.flatnonzero(at < 0)
+                for lo in range(0, len(rest), 65_536):
+                    some = rest[lo : lo + 65_536]
+                    times = first[term[some] + 1] - first[term[some]]
+                    place = np.repeat(first[term[some]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    out += np.bincount(query[place] * batch.num_rows + np.repeat(row[some], times), np.repeat(weight[some], times), out.size).reshape(out.shape)
+                return np.round(out, decimals)
+
+            yield from _task_best(blocks, batches, ids, k, score, 0.0)
+
+        return rows.mapInArrow(run, SCORED)
+
+    tokens = queries.select("query_id", T.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    return top(_union([search(held) for held in _blocks(tokens, ("query_id", "terms"))], spark), k)
 
 
 def rrf(legs: Sequence[DataFrame], k: int, *, constant: int = RRF_K) -> DataFrame:
@@ -126,19 +266,33 @@ def rrf(legs: Sequence[DataFrame], k: int, *, constant: int = RRF_K) -> DataFram
 
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, threshold: float | None = None) -> DataFrame:
     """Dense and keyword lists of k each, fused. ``queries`` (query_id, text, vector); the threshold is the dense leg's."""
-    dense = dense_topk(queries, chunks, k, threshold=threshold)
-    sparse = top(bm25(queries, chunks), k)
-    return rrf([dense, sparse], k)
+    return rrf([dense_topk(queries, chunks, k, threshold=threshold), bm25_topk(queries, chunks, k)], k)
 
 
-def merge_queries(found: DataFrame) -> DataFrame:
-    """Results of several queries as one list: (query_idx, rank, chunk_id, score) -> chunk_id, score, first_pos, position.
+def search(queries: DataFrame, chunks: DataFrame, *, partitions: str | Sequence[str] | None = ("all",), filters: Mapping[str, object] | None = None, top_k: int = 5, threshold: float | None = 0.8, hybrid: bool = True) -> DataFrame:
+    """The ``top_k`` chunks of each query within partitions and column filters: query_id, rank, score and the chunk's columns but its vector.
+
+    ``queries`` (query_id, text, vector) against chunk-store rows. ``hybrid`` fuses the dense and the keyword list; else only
+    chunks whose cosine is above ``threshold`` count.
+    """
+    some = scope(chunks, partitions, filters)
+    found = hybrid_topk(queries, some, top_k, threshold=threshold) if hybrid else dense_topk(queries, some, top_k, threshold=threshold)
+    return found.select("query_id", "chunk_id", "score", "rank").join(some.drop("vector", "score", "rank"), "chunk_id")
+
+
+def page(rows: DataFrame, order: str | Sequence[str], *, offset: int, limit: int) -> DataFrame:
+    """One page of rows in a stated order."""
+    return rows.orderBy(*([order] if isinstance(order, str) else order)).offset(offset).limit(limit)
+
+
+def merge_queries(found: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Results of several queries as one list for each ``by``: (query_idx, rank, chunk_id, score) -> chunk_id, score, first_query, first_rank, position.
 
     The last query's copy of a chunk counts, at the place where the chunk first came up; best score first.
     """
-    one = found.groupBy("chunk_id").agg(F.max_by("score", "query_idx").alias("score"), F.min(F.struct("query_idx", "rank")).alias("first"))
-    ranked = one.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "first")))
-    return ranked.select("chunk_id", "score", F.col("first.query_idx").alias("first_query"), F.col("first.rank").alias("first_rank"), "position")
+    one = found.groupBy(*by, "chunk_id").agg(F.max_by("score", "query_idx").alias("score"), F.min(F.struct("query_idx", "rank")).alias("first"))
+    ranked = one.withColumn("position", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"), "first")))
+    return ranked.select(*by, "chunk_id", "score", F.col("first.query_idx").alias("first_query"), F.col("first.rank").alias("first_rank"), "position")
 
 
 def lsh_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, bucket: float = 0.5, tables: int = 8, distance: float = 1.2) -> DataFrame:
@@ -151,9 +305,3 @@ def lsh_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, bucket: float
     pairs = model.approxSimilarityJoin(as_vector(queries, "query_id"), as_vector(chunks, "chunk_id"), distance, "d")
     cosine = F.round(1 - F.col("d") * F.col("d") / 2, 6)
     return top(pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), cosine.alias("score")), k)
-
-
-def score_of(a: Column, b: Column, decimals: int = 6) -> Column:
-    from quernstone.functions.vectors import cosine
-
-    return F.round(cosine(a, b), decimals)

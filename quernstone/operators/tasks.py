@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The states of a task that hasn't ended, in order.
@@ -15,6 +15,33 @@ def latest(events: DataFrame, *, tie: str = "event_id") -> DataFrame:
     return events.groupBy("task_id").agg(F.max_by(F.struct("state", "ts"), F.struct("ts", tie)).alias("x")).select("task_id", "x.state", "x.ts")
 
 
+#: The states that may follow each state; a task can fail from any open one.
+NEXT = {None: ("QUEUED",), "QUEUED": ("SERIALIZING", FAILED), "SERIALIZING": ("CHUNKING", FAILED), "CHUNKING": ("INSERTING", DONE, FAILED), "INSERTING": (DONE, FAILED), DONE: (), FAILED: ()}
+
+
+def transitions(events: DataFrame, *, tie: str = "event_id") -> DataFrame:
+    """Events with the state before (null for a task's first) and whether the step is allowed."""
+    order = Window.partitionBy("task_id").orderBy("ts", tie)
+    rows = events.withColumn("before", F.lag("state").over(order))
+    allowed = F.lit(False)
+    for state, follow in NEXT.items():
+        here = F.col("before").isNull() if state is None else F.col("before").eqNullSafe(F.lit(state))
+        allowed = F.when(here, F.col("state").isin(*follow) if follow else F.lit(False)).otherwise(allowed)
+    return rows.withColumn("allowed", allowed)
+
+
+def last_entries(log: DataFrame, n: int, *, by: str = "task_id", order: tuple[str, ...] = ("timestamp", "message")) -> DataFrame:
+    """The newest ``n`` log entries of each task."""
+    newest = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    return log.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= n).drop("age")
+
+
+def errors(states: DataFrame, log: DataFrame) -> DataFrame:
+    """Failed tasks with their newest error message: task_id, error."""
+    said = log.filter(F.col("level") == "ERROR").groupBy("task_id").agg(F.max_by("message", F.struct("timestamp", "message")).alias("error"))
+    return states.filter(F.col("state") == FAILED).select("task_id").join(said, "task_id", "left")
+
+
 def by_status(states: DataFrame, status: str | None) -> DataFrame:
     """``active`` is the four open states, other names match without case, None is all."""
     if status is None:

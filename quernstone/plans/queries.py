@@ -246,6 +246,33 @@ def greedy_regroup(spark, sf_dir):
     return chunking.regroup_chunks(chunked(spark, sf_dir), 1000)
 
 
+@query(f"""WITH {PAGED}, {PAGE_COLUMNS}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)
+SELECT doc_id, chunk_no, CAST(CASE WHEN len(m) > 0 AND prefix(chunk, '[PAGE_' || m[1] || ']') THEN m[1] + 1 ELSE prev END AS INTEGER) AS page, CASE WHEN n < 2 THEN chunk ELSE 'Context: s' || chr(10) || chr(10) || 'Chunk: ' || chunk END AS chunk
+FROM carried JOIN n USING (doc_id) WHERE length(regexp_replace(chunk, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) > 3""")
+def chunk_output(spark, sf_dir):
+    rows = paged(spark, sf_dir).withColumn("source", F.lit("s"))
+    return chunking.finished(rows, context=lambda source, first, prev, chunk: source).select("doc_id", "chunk_no", "page", "chunk")
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(sum(len(list_filter(regexp_split_to_array(chunk, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS n FROM chunks GROUP BY doc_id")
+def chunk_length_totals(spark, sf_dir):
+    return chunking.length_totals(chunked(spark, sf_dir), "doc_id", length="words")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, n_chars FROM documents")
+def json_round_trip(spark, sf_dir):
+    folder = new_folder(spark, "json")
+    loaders.write_json(documents(spark, sf_dir), folder)
+    return loaders.read_json(spark, folder, "doc_id long, text string, n_chars long").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_chars")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, n_chars FROM documents")
+def csv_round_trip(spark, sf_dir):
+    folder = new_folder(spark, "csv")
+    loaders.write_csv(documents(spark, sf_dir).select("doc_id", "text", "n_chars"), folder)
+    return loaders.read_csv(spark, folder, "doc_id long, text string, n_chars long").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_chars")
+
+
 # --- search ------------------------------------------------------------------------------------------------------
 
 
@@ -278,20 +305,114 @@ def dense_file_filter(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return search.top(search.bm25(questions(spark, sf_dir), texts(spark, sf_dir)), 5)
+    return search.bm25_topk(questions(spark, sf_dir), texts(spark, sf_dir), 5)
+
+
+#: Benchmark items and documents with the vector of the same number, where there is one.
+WITH_VECTORS = """qv AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM benchmark JOIN embeddings ON item_id = vec_id),
+dv AS (SELECT doc_id AS chunk_id, source, CAST(doc_id AS VARCHAR) AS file_id, CAST(embedding AS DOUBLE[]) AS w FROM documents JOIN embeddings ON doc_id = vec_id),
+dense AS (SELECT query_id, chunk_id, source, file_id, round(least(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 1.0), 6) AS score FROM qv, dv)"""
 
 
-@query(f"""WITH {BM25}, overlap AS (SELECT query_id, chunk_id, CAST(count(*) AS DOUBLE) AS score FROM tf JOIN qt USING (term) GROUP BY query_id, chunk_id),
-legs AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm UNION ALL
-  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM overlap),
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return questions(spark, sf_dir).join(vectors, "query_id", "left")
+
+
+def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as chunk-store rows, with the vector of their number."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("partition"), F.col("doc_id").cast("string").alias("file_id"), "text", "lang")
+    rows = docs.join(vectors, "chunk_id", "left")
+    meta = F.create_map(F.lit("lang"), "lang", F.lit("file_id"), "file_id", F.lit("filename"), F.concat(F.lit("file "), "file_id", F.lit("?.txt")), F.lit("source"), "partition")
+    return rows.select("chunk_id", "partition", "file_id", F.lit(0).alias("chunk_no"), "text", F.lit(1).alias("page"), "vector", meta.alias("metadata"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+
+
+def vector_store(spark: SparkSession, sf_dir: str) -> catalog.ChunkStore:
+    store = catalog.ChunkStore(spark, new_folder(spark, "store"))
+    store.insert(vector_rows(spark, sf_dir))
+    return store
+
+
+@query(f"""WITH {BM25}, {WITH_VECTORS}, legs AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm UNION ALL
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense),
 fused AS (SELECT query_id, chunk_id, round(sum(1 / (100.0::DOUBLE + rank)), 9) AS score FROM legs WHERE rank <= 10 GROUP BY query_id, chunk_id)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fused) WHERE rank <= 10""")
 def hybrid_rrf(spark, sf_dir):
-    q, chunks = questions(spark, sf_dir), texts(spark, sf_dir)
-    wanted = q.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    have = chunks.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    overlap = have.join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return search.rrf([search.top(search.bm25(q, chunks), 10), search.top(overlap, 10)], 10)
+    return search.hybrid_topk(vector_queries(spark, sf_dir), vector_rows(spark, sf_dir), 10)
+
+
+SEARCHED = "SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM dense WHERE score > 0.1{where}) WHERE rank <= 5"
+
+
+@query(f"WITH {WITH_VECTORS} {SEARCHED.format(where='')}")
+def search_all(spark, sf_dir):
+    return vector_store(spark, sf_dir).search(vector_queries(spark, sf_dir), threshold=0.1, hybrid=False).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {WITH_VECTORS} {SEARCHED.format(where=" AND source IN ('src1', 'src2')")}")
+def search_partitions(spark, sf_dir):
+    return vector_store(spark, sf_dir).search(vector_queries(spark, sf_dir), partitions=["src1", "src2"], threshold=0.1, hybrid=False).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {WITH_VECTORS} {SEARCHED.format(where=" AND source = 'src3' AND file_id = '3'")}")
+def search_file(spark, sf_dir):
+    return vector_store(spark, sf_dir).search(vector_queries(spark, sf_dir), partitions="src3", filters={"file_id": "3"}, threshold=0.1, hybrid=False).select("query_id", "chunk_id", "score", "rank")
+
+
+SCOPED_BM25 = BM25.replace("AS terms FROM documents)", "AS terms FROM documents WHERE source IN ('src1', 'src2'))")
+
+
+@query(f"""WITH {SCOPED_BM25}, {WITH_VECTORS}, legs AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm UNION ALL
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense WHERE source IN ('src1', 'src2') AND score > 0.1),
+fused AS (SELECT query_id, chunk_id, round(sum(1 / (100.0::DOUBLE + rank)), 9) AS score FROM legs WHERE rank <= 5 GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fused) WHERE rank <= 5""")
+def search_hybrid(spark, sf_dir):
+    return vector_store(spark, sf_dir).search(vector_queries(spark, sf_dir), partitions=["src1", "src2"], threshold=0.1).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {WITH_VECTORS}, found AS ({SEARCHED.format(where='')})
+SELECT query_id, chunk_id, rank, 'http://host/static/file%20' || chunk_id || '%3F.txt' AS file_url, 'http://host/extract/' || chunk_id AS chunk_url FROM found""")
+def source_links(spark, sf_dir):
+    store = vector_store(spark, sf_dir)
+    found = store.search(vector_queries(spark, sf_dir), threshold=0.1, hybrid=False).select("query_id", "rank", "chunk_id")
+    return retrieval.source_links(found, store.chunks(), "http://host/").select("query_id", "chunk_id", "rank", "file_url", "chunk_url")
+
+
+#: A vector that SQL can make from a text as well.
+TOY = "[length({0}) % 97 + 1.0::DOUBLE, length({0}) % 89 + 1.0::DOUBLE, length({0}) % 83 + 1.0::DOUBLE]"
+COSINE = "round(least(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 1.0), 6)"
+
+
+def toy_vector(text: F.Column) -> F.Column:
+    return F.array(*[(F.length(text) % n + 1).cast("float") for n in (97, 89, 83)])
+
+
+def toy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_rows(spark, sf_dir).withColumn("vector", toy_vector(F.col("text")))
+
+
+def toy_found(questions: str, k: int, threshold: float) -> str:
+    """hits: the k best documents of each question by the toy vectors, above the threshold."""
+    return f"""asked AS ({questions}), pairs AS (SELECT query_id, asked.text AS question, doc_id AS chunk_id, d.text, {TOY.format('asked.text')} AS v, {TOY.format('d.text')} AS w FROM asked, documents d),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, question, chunk_id, text, {COSINE} AS score FROM pairs) WHERE score > {threshold}) WHERE rank <= {k})"""
+
+
+@query(f"""WITH {toy_found("SELECT item_id AS query_id, text FROM benchmark", 20, 0.9)}, graded AS (SELECT *, CAST((length(question) * length(text)) % 101 AS DOUBLE) AS rerank_score FROM hits WHERE length(text) % 7 <> 0)
+SELECT query_id, chunk_id, score, rerank_score, rank FROM (SELECT query_id, chunk_id, score, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS INTEGER) AS rank FROM graded) WHERE rank <= 5""")
+def retrieve_chain(spark, sf_dir):
+    grade = lambda question, text: F.when(F.length(text) % 7 == 0, "irrelevant").otherwise("highly_relevant")
+    score = lambda question, text: (F.length(question).cast("long") * F.length(text) % 101).cast("double")
+    rows = retrieval.retrieve(questions(spark, sf_dir), toy_chunks(spark, sf_dir), embed=toy_vector, top_k=20, threshold=0.9, hybrid=False, grade=grade, rerank_by=score)
+    return rows.select("query_id", "chunk_id", "score", "rerank_score", "rank")
+
+
+@query(f"""WITH {toy_found("SELECT item_id * 2 + i AS query_id, CASE i WHEN 0 THEN 'answer: ' || text ELSE text END AS text FROM benchmark, (SELECT unnest([0, 1]) AS i)", 6, 0.95)},
+one AS (SELECT query_id // 2 AS query_id, chunk_id, arg_max(score, query_id) AS score, min((query_id, rank)) AS f FROM hits GROUP BY query_id // 2, chunk_id)
+SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f) AS INTEGER) AS rank FROM one) WHERE rank <= 5""")
+def retrieve_hyde(spark, sf_dir):
+    rows = retrieval.retrieve(questions(spark, sf_dir), toy_chunks(spark, sf_dir), kind="hyde", embed=toy_vector, hybrid=False, write=lambda t: F.concat(F.lit("answer: "), t), combine=True)
+    return rows.select("query_id", "chunk_id", "score", "rank")
 
 
 @query()
@@ -327,7 +448,7 @@ def lsh_topk(spark, sf_dir):
 @query(f"""WITH {BM25}, found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm)
 SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM found LEFT JOIN labels ON chunk_id = doc_id WHERE rank <= 20 AND (quality IS NULL OR quality <> 0)""")
 def retrieve_grade_filter(spark, sf_dir):
-    found = search.top(search.bm25(questions(spark, sf_dir), texts(spark, sf_dir)), 20)
+    found = search.bm25_topk(questions(spark, sf_dir), texts(spark, sf_dir), 20)
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("quality") == 0, "irrelevant").otherwise("highly_relevant").alias("grade"))
     return retrieval.keep_relevant(found.join(marks, "chunk_id", "left"), F.col("grade")).select("query_id", "chunk_id", "score", "rank")
 
@@ -367,7 +488,7 @@ t AS (SELECT query_id, string_agg(chr(10) || '{_I}*source*: [doc_' || rank || ']
 SELECT item_id AS query_id, coalesce('Extracted documents:' || chr(10) || c, 'No document found from the database') AS context FROM benchmark LEFT JOIN t ON item_id = query_id""")
 def format_context(spark, sf_dir):
     q = questions(spark, sf_dir)
-    found = search.top(search.bm25(q, texts(spark, sf_dir)), 3).join(texts(spark, sf_dir).withColumnRenamed("text", "content"), "chunk_id")
+    found = search.bm25_topk(q, texts(spark, sf_dir), 3).join(texts(spark, sf_dir).withColumnRenamed("text", "content"), "chunk_id")
     return prompts.format_context(q, found)
 
 
@@ -395,12 +516,65 @@ def chat_prompt(spark, sf_dir):
     return out.select("conv_id", F.array_join(F.transform("payload", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "|").alias("payload"))
 
 
-@query("""SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'Given the content' || chr(10) || 'ctx' || chr(10) || 'Complete the following prompt: ' || text ELSE text END AS prompt FROM benchmark""")
+@query("""SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'Given the context: ' || chr(10) || 'ctx' || chr(10) ELSE '' END || 'Complete the following prompt: ' || text AS prompt FROM benchmark""")
 def completion_prompt(spark, sf_dir):
     rows = questions(spark, sf_dir).select("query_id", F.col("text").alias("prompt"), F.when(F.col("query_id") % 2 == 0, "ctx").alias("context"))
     return prompts.prepare_completion(rows)
 
 
+STRIPPED = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+CONTEXT = f"""ctx AS (SELECT query_id, 'Extracted documents:' || chr(10) || string_agg(chr(10) || '{_I}*source*: [doc_' || rank || ']' || chr(10) || '{_I}content: ' || chr(10) || {STRIPPED} || chr(10) || chr(10) || '{_I}' || '{_R}' || chr(10) || chr(10), '' ORDER BY rank) AS context,
+  string_agg(chunk_id, ',' ORDER BY rank) AS sources FROM hits WHERE rank <= 5 GROUP BY query_id)"""
+LAST = "h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations)"
+
+
+@query(f"""WITH {LAST}, {toy_found("SELECT conv_id AS query_id, text FROM h WHERE age = 1", 6, 0.9999)}, {CONTEXT}
+SELECT conv_id, coalesce(any_value(sources), '') AS sources, md5('system: Use ' || coalesce(any_value(context), 'No document found from the database') || '|' || string_agg(role || ': ' || text, '|' ORDER BY turn)) AS payload_md5
+FROM h LEFT JOIN ctx ON conv_id = query_id WHERE age <= 4 GROUP BY conv_id""")
+def chat_chain(spark, sf_dir):
+    out = retrieval.chat(table(spark, sf_dir, "conversations"), toy_chunks(spark, sf_dir), "Use {context}", depth=4, embed=toy_vector, threshold=0.9999, hybrid=False)
+    said = F.array_join(F.transform("payload", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "|")
+    return out.select("conv_id", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.md5(said.cast("binary")).alias("payload_md5"))
+
+
+@query(f"""WITH {LAST}, asked0 AS (SELECT conv_id AS query_id, string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) AS text FROM h WHERE age <= 3 GROUP BY conv_id),
+{toy_found("SELECT query_id, 'about ' || text AS text FROM asked0", 6, 0.9999)}
+SELECT query_id AS conv_id, string_agg(chunk_id, ',' ORDER BY rank) AS sources FROM hits WHERE rank <= 5 GROUP BY query_id""")
+def chat_rewrite(spark, sf_dir):
+    out = retrieval.chat(table(spark, sf_dir, "conversations"), toy_chunks(spark, sf_dir), "Use {context}", depth=3, rewrite=lambda t: F.concat(F.lit("about "), t), embed=toy_vector, threshold=0.9999, hybrid=False)
+    return out.filter(F.size("sources") > 0).select("conv_id", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+
+
+@query("""WITH t AS (SELECT conv_id, string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'system: rules|user: Given the following chat, generate a query. ' || chr(10) || t || chr(10) AS payload FROM t""")
+def query_request(spark, sf_dir):
+    out = prompts.query_request(table(spark, sf_dir, "conversations"), "rules")
+    return out.select("conv_id", F.array_join(F.transform("payload", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "|").alias("payload"))
+
+
+@query(f"""WITH {toy_found("SELECT item_id AS query_id, text FROM benchmark", 6, 0.99999)}, {CONTEXT}
+SELECT item_id AS query_id, context IS NOT NULL AS found, md5(CASE WHEN context IS NULL THEN '' ELSE 'Given the context: ' || chr(10) || context || chr(10) END || 'Complete the following prompt: ' || text) AS prompt_md5 FROM benchmark LEFT JOIN ctx ON item_id = query_id""")
+def completion_chain(spark, sf_dir):
+    out = retrieval.complete(questions(spark, sf_dir), toy_chunks(spark, sf_dir), embed=toy_vector, threshold=0.99999, hybrid=False)
+    return out.select("query_id", F.startswith(F.col("prompt"), F.lit("Given")).alias("found"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+@query(f"""WITH {FOUND} SELECT query_id, 'Extracted documents:' || chr(10) || string_agg('about ' || chunk_id || chr(10) || '{_R}' || chr(10), '' ORDER BY rank) AS context FROM found GROUP BY query_id""")
+def mapreduce_context(spark, sf_dir):
+    found = search.dense_topk(*vectors(spark, sf_dir), 10)
+    return prompts.map_reduce_context(found.withColumn("synthesis", F.concat(F.lit("about "), F.col("chunk_id").cast("string"))))
+
+
+@query(f"""WITH {FOUND}, toks AS (SELECT vec_id AS id, list_transform(range(0, 4), lambda i: CAST(embedding[i * 16 + 1:i * 16 + 16] AS DOUBLE[])) AS t FROM embeddings)
+SELECT query_id, chunk_id, round(list_sum(list_transform(x.t, lambda a: list_max(list_transform(y.t, lambda b: list_dot_product(a, b))))), 4) AS rerank_score FROM found JOIN toks x ON x.id = query_id JOIN toks y ON y.id = chunk_id""")
+def rerank_max_sim(spark, sf_dir):
+    small_batches(spark)
+    q, chunks = vectors(spark, sf_dir)
+    tokens = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(v, i * 16 + 1, 16))
+    found = search.dense_topk(q, chunks, 10).join(q.select("query_id", tokens(F.col("vector")).alias("q")), "query_id").join(chunks.select("chunk_id", tokens(F.col("vector")).alias("d")), "chunk_id")
+    return found.select("query_id", "chunk_id", F.round(retrieval.max_sim(F.col("q"), F.col("d")), 4).alias("rerank_score"))
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, regexp_replace(string_agg('Document ' || (chunk_no + 1) || ':' || chr(10) || chunk || chr(10) || '{_R}' || chr(10), '' ORDER BY chunk_no), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS text FROM chunks GROUP BY doc_id")
 def qa_prompt_block(spark, sf_dir):
     return prompts.qa_block(chunked(spark, sf_dir).withColumn("n", F.col("chunk_no") + 1), "doc_id")
@@ -416,12 +590,12 @@ def list_partitions(spark, sf_dir):
 
 @query("SELECT source AS partition, CAST(doc_id AS VARCHAR) AS file_id FROM documents WHERE source = 'src1'")
 def list_files(spark, sf_dir):
-    return catalog.files(store_rows(spark, sf_dir), "src1")
+    return _store(spark, sf_dir).files("src1")
 
 
 @query("SELECT item_id, EXISTS (SELECT 1 FROM documents WHERE doc_id = item_id AND source = 'src1') AS found FROM benchmark")
 def file_exists(spark, sf_dir):
-    there = catalog.files(store_rows(spark, sf_dir), "src1").select(F.col("file_id").cast("long").alias("item_id"), F.lit(True).alias("there"))
+    there = _store(spark, sf_dir).files("src1").select(F.col("file_id").cast("long").alias("item_id"), F.lit(True).alias("there"))
     return table(spark, sf_dir, "benchmark").join(there, "item_id", "left").select("item_id", F.coalesce("there", F.lit(False)).alias("found"))
 
 
@@ -432,17 +606,18 @@ def partition_file_count(spark, sf_dir):
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, chunk AS text FROM chunks WHERE source = 'src3' AND doc_id = 3")
 def get_file_chunks(spark, sf_dir):
-    return search.scope(store_rows(spark, sf_dir), "src3", {"file_id": "3"}).select("chunk_id", "text")
+    return _store(spark, sf_dir).file_chunks("src3", "3").select("chunk_id", "text")
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk AS text FROM chunks WHERE chunk_id = 300001")
 def get_chunk_by_id(spark, sf_dir):
-    return store_rows(spark, sf_dir).filter(F.col("chunk_id") == 300001).limit(1).select("chunk_id", F.col("file_id").cast("long").alias("doc_id"), "text")
+    return _store(spark, sf_dir).chunk(300001).select("chunk_id", F.col("file_id").cast("long").alias("doc_id"), "text")
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, source AS partition, md5(chunk) AS text_md5 FROM chunks")
+@query(f"WITH {CHUNKS} SELECT chunk_id, source AS partition, md5(chunk) AS text_md5 FROM chunks WHERE source = 'src2'")
 def all_chunks_no_vector(spark, sf_dir):
-    return store_rows(spark, sf_dir).drop("vector").select("chunk_id", "partition", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    rows = _store(spark, sf_dir).all_chunks("src2", include_embedding=False)
+    return rows.select("chunk_id", "partition", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT vec_id, count(*) AS dims, round(sum(CAST(x AS DOUBLE)), 4) AS total FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
@@ -494,16 +669,26 @@ def replace_file(spark, sf_dir):
 
 @query()
 def sample_chunks(spark, sf_dir):
-    return catalog.sample(store_rows(spark, sf_dir).filter("partition = 'src1'"), 200, seed=7).select("chunk_id", "file_id")
+    return _store(spark, sf_dir).sample_chunks("src1", 200, seed=7).select("chunk_id", "file_id")
 
 
 @query("SELECT 'engine-' || source AS model, source AS name FROM documents GROUP BY source UNION ALL SELECT 'engine-all', 'all'")
 def model_list(spark, sf_dir):
-    names = catalog.partitions(store_rows(spark, sf_dir)).select(F.concat(F.lit("engine-"), "partition").alias("model"))
-    names = names.unionAll(spark.createDataFrame([("engine-all",)], "model string"))
+    names = _store(spark, sf_dir).models("engine")
     return names.select("model", T.partition_of_model(F.col("model"), "engine").alias("name"))
 
 
+@query("SELECT doc_id, lang, 2 AS keys FROM documents")
+def user_metadata(spark, sf_dir):
+    meta = catalog.user_metadata(F.col("metadata"))
+    return vector_rows(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), F.element_at(meta, "lang").alias("lang"), F.size(meta).alias("keys"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, source AS partition FROM chunks ORDER BY chunk_id LIMIT 100 OFFSET 200")
+def page_of_chunks(spark, sf_dir):
+    return search.page(_store(spark, sf_dir).chunks(), "chunk_id", offset=200, limit=100).select("chunk_id", "partition")
+
+
 @query("""SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN source || '.pdf (page: ' || (doc_id % 5) || ')' ELSE source || '.txt' END AS label FROM documents""")
 def source_labels(spark, sf_dir):
     name = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(".pdf"))).otherwise(F.concat("source", F.lit(".txt")))
@@ -535,8 +720,24 @@ def tasks_by_status(spark, sf_dir):
 
 @query(f"WITH {TASKS} SELECT task_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS n FROM events_t) WHERE n <= 3")
 def log_tail(spark, sf_dir):
-    newest = Window.partitionBy("task_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return task_events(spark, sf_dir).withColumn("n", F.row_number().over(newest)).filter("n <= 3").select("task_id", "event_id")
+    folder = new_folder(spark, "log")
+    entries = task_events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("timestamp"), F.lit("INFO").alias("level"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("message"), F.struct(F.col("task_id").cast("string").alias("task_id")).alias("extra"))
+    loaders.write_json(entries, folder)
+    return tasks.last_entries(loaders.read_log(spark, folder), 3).select(F.col("task_id").cast("long").alias("task_id"), F.col("message").cast("long").alias("event_id"))
+
+
+@query(f"""WITH {TASKS} SELECT task_id, error FROM (SELECT task_id FROM latest WHERE state = 'FAILED') LEFT JOIN (SELECT task_id, arg_max('failed at ' || event_id, (ts, event_id)) AS error FROM events_t WHERE state = 'FAILED' GROUP BY task_id) USING (task_id)""")
+def task_errors(spark, sf_dir):
+    events = task_events(spark, sf_dir)
+    log = events.select("task_id", F.col("ts").alias("timestamp"), F.when(F.col("state") == "FAILED", "ERROR").otherwise("INFO").alias("level"), F.concat(F.lit("failed at "), F.col("event_id").cast("string")).alias("message"))
+    return tasks.errors(tasks.latest(events), log)
+
+
+@query(f"""WITH {TASKS}, w AS (SELECT *, lag(state) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS before FROM events_t)
+SELECT count(*) AS n, count(*) FILTER (before IS NULL AND state = 'QUEUED' OR before = 'QUEUED' AND state IN ('SERIALIZING', 'FAILED') OR before = 'SERIALIZING' AND state IN ('CHUNKING', 'FAILED')
+  OR before = 'CHUNKING' AND state IN ('INSERTING', 'COMPLETED', 'FAILED') OR before = 'INSERTING' AND state IN ('COMPLETED', 'FAILED')) AS allowed FROM w""")
+def task_transitions(spark, sf_dir):
+    return tasks.transitions(task_events(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("allowed"))
 
 
 @query(f"WITH {TASKS} SELECT date_trunc('day', ts) AS start, state, count(*) AS n FROM events_t GROUP BY ALL")
@@ -546,12 +747,15 @@ def stream_task_counts(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "state", "n")
 
 
-@query("SELECT source AS partition, count(DISTINCT doc_id) AS n FROM documents GROUP BY source")
+@query(f"WITH {CHUNKS} SELECT source AS partition, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_files FROM chunks GROUP BY source")
 def stream_ingest_dedup(spark, sf_dir):
+    """Every file arrives twice in a batch, and all of them again in a second run."""
     source = f"{sf_dir}/documents.parquet"
-    as_files = lambda df: df.select(F.col("source").alias("partition"), F.col("doc_id").alias("file_id"), "text")
-    rows = ingest.ingest_once(spark, source, spark.read.parquet(source).schema, lambda df: chunking.fixed_chunks(df, keep=("partition", "file_id")), as_files)
-    return rows.groupBy("partition").agg(F.count_distinct("file_id").alias("n"))
+    as_files = lambda df: df.select(F.col("source").alias("partition"), F.col("doc_id").cast("string").alias("file_id"), "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    chunk = lambda df: chunking.fixed_chunks(df, size=SIZE, overlap=OVERLAP, keep=("partition", "file_id"))
+    rows, files = ingest.ingest_once(spark, source, spark.read.parquet(source).schema, chunk, as_files, runs=2)
+    counted = rows.groupBy("partition").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return counted.join(files.groupBy("partition").agg(F.count(F.lit(1)).alias("n_files")), "partition")
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
@@ -606,6 +810,24 @@ def ndcg_by_nchunks(spark, sf_dir):
     return evaluation.ndcg(found, qrels).join(n, "query_id").groupBy("n_chunks").agg(F.round(F.avg("ndcg"), 4).alias("ndcg"))
 
 
+@query(f"WITH {NDCG}, s AS (SELECT round(dcg / (idcg + 1e-7), 6) AS ndcg FROM ideal) SELECT round(avg(ndcg), 3) AS mean_ndcg, round(stddev_samp(ndcg), 3) AS std_ndcg FROM s")
+def ndcg_mean_std(spark, sf_dir):
+    return evaluation.ndcg_summary(evaluation.ndcg(*found_and_qrels(spark, sf_dir), epsilon=1e-7))
+
+
+@query("WITH a AS (SELECT text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark), b AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations) SELECT md5(text) AS item, conv_id FROM a JOIN b USING (n)")
+def positional_zip(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.col("text").cast("binary")).alias("item"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    return evaluation.zip_rows(items, turns, "item_id", "at").select("item", "conv_id")
+
+
+@query("SELECT verdict, count(*) AS n, axis FROM (SELECT CASE WHEN toxic = 1 THEN 'complete' ELSE 'partial' END AS verdict, 'completeness' AS axis FROM labels UNION ALL SELECT CASE WHEN quality = 1 THEN 'precise' ELSE 'mixed' END, 'precision' FROM labels) GROUP BY verdict, axis")
+def judge_axes(spark, sf_dir):
+    marks = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "complete").otherwise("partial").alias("completeness"), F.when(F.col("quality") == 1, "precise").otherwise("mixed").alias("precision"))
+    return evaluation.judge_axes(marks, ("completeness", "precision"))
+
+
 @query("SELECT CASE WHEN toxic = 1 THEN 'precise' ELSE 'mixed' END AS verdict, count(*) AS n FROM labels WHERE quality <> 0 GROUP BY 1")
 def judge_distribution(spark, sf_dir):
     verdict = F.when(F.col("quality") == 0, "error").when(F.col("toxic") == 1, "precise").otherwise("mixed")
@@ -623,6 +845,12 @@ def cluster_sample_questions(spark, sf_dir):
     return evaluation.sample_per_cluster(table(spark, sf_dir, "embeddings").drop("embedding"), 3, seed=5).select("label", "vec_id", "pick")
 
 
+@query()
+def cluster_question_groups(spark, sf_dir):
+    groups = evaluation.question_groups(table(spark, sf_dir, "embeddings"), per_cluster=10, n_max=2, seed=3)
+    return groups.select("label", "question", F.size("members").alias("n"), F.element_at("members", 1).alias("first_id"))
+
+
 @query()
 def pca_kmeans(spark, sf_dir):
     return evaluation.reduce_and_cluster(table(spark, sf_dir, "embeddings"))
@@ -631,4 +859,4 @@ def pca_kmeans(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top-5 chunks of every benchmark item."""
     chunks = chunked(spark, sf_dir).select("chunk_id", F.col("chunk").alias("text"))
-    return search.top(search.bm25(questions(spark, sf_dir), chunks), 5)
+    return search.bm25_topk(questions(spark, sf_dir), chunks, 5)

@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
@@ -169,10 +169,32 @@ def scan_files(spark: SparkSession, folder: str, *, known: DataFrame | None = No
     return out if known is None else out.join(known.select("partition", "file_id"), ["partition", "file_id"], "left_anti")
 
 
-def load_files(files: DataFrame) -> DataFrame:
-    """scan_files rows with their text; files whose format nobody parses, or whose parser fails, get a null text and an error."""
+def decoded(content: Column) -> Column:
+    """``decode`` in the JVM: by byte-order mark, else UTF-8 where it is valid, else Windows Latin."""
+    mark = lambda n: F.hex(F.substring(content, 1, n))
+    whole = content.cast("string")
+    high = bytes(range(0x80, 0xA0))
+    western = F.translate(F.decode(content, "iso-8859-1"), high.decode("latin-1"), high.decode("cp1252", "replace"))
+    rest = F.when(F.is_valid_utf8(whole), whole).otherwise(western)
+    return F.when(mark(3) == "EFBBBF", F.substring(content, 4, 1 << 30).cast("string")).when(mark(2).isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).otherwise(rest)
+
+
+def load_files(files: DataFrame, *, caption: Callable[[Column], Column] | None = None) -> DataFrame:
+    """scan_files rows with their text; files whose format nobody parses, or whose parser fails, get a null text and an error.
+
+    Text, Markdown and HTML stay in the JVM; only other contents, and HTML with entities that ``html_to_text`` doesn't know, go to
+    a parser. With ``caption`` (of a link) images that Markdown links become blocks with their captions.
+    """
     small_batches(files.sparkSession, 64)
     parsers = dict(_PARSERS)
+    text = T.strip(decoded(F.col("content")))
+    if caption is not None:
+        link = F.regexp_extract(text, r"!\[[^\]]*\]\((https?://[^)]*)\)", 1)
+        text = F.when((F.col("extension") == "md") & (link != ""), T.replace_linked_images(text, T.caption_block(caption(link)))).otherwise(text)
+    is_html = F.col("extension").isin("html", "htm")
+    native = F.when(is_html, T.with_page_marker(T.html_to_text(decoded(F.col("content"))), F.lit(1))).otherwise(text)
+    odd = F.rlike(decoded(F.col("content")), F.lit(r"&(?!(?:nbsp|lt|gt|quot|amp|#39|#160);)#?\w+;"))
+    is_native = F.col("extension").isin(*NATIVE) & ~(is_html & odd)
 
     @F.pandas_udf("text string, error string")
     def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -180,8 +202,10 @@ def load_files(files: DataFrame) -> DataFrame:
             rows = []
             for ext, data in zip(extensions, contents):
                 try:
-                    if ext in NATIVE:
-                        rows.append((parse_html(data) if NATIVE[ext] == "html" else decode(data).strip(), None))
+                    if data is None:
+                        rows.append((None, None))
+                    elif ext in ("html", "htm"):
+                        rows.append((parse_html(data), None))
                     elif ext in parsers:
                         rows.append((parsers[ext](data), None))
                     else:
@@ -190,13 +214,29 @@ def load_files(files: DataFrame) -> DataFrame:
                     rows.append((None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["text", "error"])
 
-    return files.withColumn("_p", parsed("extension", "content")).drop("content").select("*", "_p.text", "_p.error").drop("_p")
+    parts = files.withColumn("_p", parsed("extension", F.when(~is_native, F.col("content"))))
+    return parts.withColumn("text", F.when(is_native, native).otherwise(F.col("_p.text"))).withColumn("error", F.col("_p.error")).drop("content", "_p")
 
 
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """Whole text files, JVM only: path, text (stripped)."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder)
-    return files.select(F.input_file_name().alias("path"), T.strip(F.col("value")).alias("text"))
+    """Whole text files, JVM only: path, text (decoded as ``decode`` does, stripped)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", T.strip(decoded(F.col("content"))).alias("text"))
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines, null fields included."""
+    rows.write.option("ignoreNullFields", "false").json(path)
+
+
+def save_markdown(docs: DataFrame, folder: str) -> None:
+    """The text of each file (file_id, text) as Markdown below a directory of its own, ``file_id=<name>``."""
+    docs.select("file_id", "text").write.option("lineSep", "\n").partitionBy("file_id").text(folder)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -204,14 +244,26 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').schema(schema).csv(path)
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """What read_csv reads."""
+    rows.write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+
+
 def corpus_rows(rows: DataFrame, *, min_words: int = 16, max_rows: int | None = None, order: str = "id") -> DataFrame:
     """Rows with more than ``min_words`` words, of the first ``max_rows`` in ``order``."""
     rows = rows.orderBy(order).limit(max_rows) if max_rows is not None else rows
     return rows.filter(T.word_count(F.col("text")) > min_words)
 
 
+LOG = "timestamp timestamp, level string, message string, extra struct<task_id:string>"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON-lines log: timestamp, level, message, task_id."""
+    return spark.read.schema(LOG).json(path).select("timestamp", "level", "message", F.col("extra.task_id").alias("task_id"))
+
+
 def log_tail(spark: SparkSession, path: str, task_id: str, n: int) -> DataFrame:
     """The last ``n`` entries of a task in a JSON-lines log, oldest first."""
-    log = spark.read.schema("timestamp timestamp, level string, message string, extra struct<task_id:string>").json(path)
-    last = log.filter(F.col("extra.task_id") == task_id).orderBy(F.desc("timestamp"), F.desc("message")).limit(n)
+    last = read_log(spark, path).filter(F.col("task_id") == task_id).orderBy(F.desc("timestamp"), F.desc("message")).limit(n)
     return last.orderBy("timestamp", "message")

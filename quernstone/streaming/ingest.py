@@ -8,26 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quernstone.runtime import new_folder
+from quernstone.runtime import new_folder, staged
 
+FILES = "partition string, file_id string"
 
-def ingest_stream(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Chunk new files into a Parquet sink; a (partition, file_id) that came before, in any batch, is refused.
 
-    Each batch writes below its own number and overwrites it when it is run again, so a restart repeats nothing.
+def _batches(spark: SparkSession, folder: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/run=*/batch=*")
+    return [s.getPath().toString() for s in (path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or [])]
+
+
+def ingest_stream(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, *, run: str = "0") -> StreamingQuery:
+    """Chunk new files into ``sink``/chunks; a (partition, file_id) that came before, in any batch or run, is refused.
+
+    The catalog of accepted files, also of those without chunks, is a narrow table of its own (``sink``/files), so a batch is
+    compared with names and never with chunks. Each batch writes below its own number and overwrites it when it is run again,
+    so a restart repeats nothing; the catalog is written last. ``run`` names a stream with a checkpoint of its own.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, own = batch.sparkSession, f"run={run}/batch={number}"
         fresh = batch.dropDuplicates(["partition", "file_id"])
-        known = f"{sink}/batch=*"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(known)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        earlier = [s.getPath().toString() for s in (found or []) if int(s.getPath().getName().split("=")[1]) < number]
+        earlier = [b for b in _batches(spark, f"{sink}/files") if not b.endswith(f"/{own}")]
         if earlier:
-            before = spark.read.parquet(*earlier).select("partition", "file_id").distinct()
-            fresh = fresh.join(before, ["partition", "file_id"], "left_anti")
-        chunk(fresh).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            fresh = fresh.join(spark.read.schema(FILES).parquet(*earlier), ["partition", "file_id"], "left_anti")
+        fresh = staged(fresh, "fresh")
+        chunk(fresh).write.mode("overwrite").parquet(f"{sink}/chunks/{own}")
+        fresh.select("partition", F.col("file_id").cast("string").alias("file_id")).write.mode("overwrite").parquet(f"{sink}/files/{own}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -41,12 +48,13 @@ def stream_of(spark: SparkSession, source: str, schema, **options) -> DataFrame:
     return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
 
 
-def ingest_once(spark: SparkSession, source: str, schema, chunk: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run the stream over what ``source`` holds now; the sink's rows."""
-    sink, checkpoint = new_folder(spark, "ingest"), new_folder(spark, "ingest-state")
-    stream = prepare(stream_of(spark, source, schema, maxFilesPerTrigger=4))
-    ingest_stream(stream, chunk, sink, checkpoint).awaitTermination()
-    return spark.read.parquet(f"{sink}/batch=*")
+def ingest_once(spark: SparkSession, source: str, schema, chunk: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame], *, runs: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Run the stream over what ``source`` holds now, ``runs`` times from the start; the sink's chunks and its catalog of files."""
+    sink = new_folder(spark, "ingest")
+    for run in range(runs):
+        stream = prepare(stream_of(spark, source, schema, maxFilesPerTrigger=4))
+        ingest_stream(stream, chunk, sink, new_folder(spark, "ingest-state"), run=str(run)).awaitTermination()
+    return spark.read.parquet(*_batches(spark, f"{sink}/chunks")), spark.read.schema(FILES).parquet(*_batches(spark, f"{sink}/files"))
 
 
 def live_counts(events: DataFrame, *, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -66,8 +74,3 @@ def counts_once(spark: SparkSession, source: str, schema, prepare: Callable[[Dat
     counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{sink}/b*")
     return rows.groupBy("start", "state").agg(F.max_by("n", "batch").alias("n"))
-
-
-def latest_states(events: DataFrame) -> DataFrame:
-    """Streaming: the newest state of each task (update mode)."""
-    return events.groupBy("task_id").agg(F.max_by("state", "ts").alias("state"), F.max("ts").alias("ts"))
