@@ -62,10 +62,10 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
 
     Null ends and self-links are ignored; nodes without other links are not listed.
     """
-    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = staged(pairs, "links")
-    if now.count() <= ONE_TASK:
-        return staged(_in_one_task(now), "components")
+    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if pairs.count() <= ONE_TASK:
+        return staged(_in_one_task(pairs), "components")
+    now = staged(pairs.distinct(), "links")
     before = _mark(now)
     for _ in range(rounds):
         if not before[0]:

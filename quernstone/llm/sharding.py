@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.columns import free_name
+from quernstone.runtime import staged
 
 ENTRY = "shard string, bytes long, rows long, generation int, run_files int"
 
@@ -46,7 +47,7 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return self._no_entries()
-        return self.spark.read.schema(ENTRY).parquet(f"{self.root}/versions/v{version:012d}")
+        return self.spark.read.schema(ENTRY).parquet(f"{self.root}/versions/v{version:012d}").coalesce(1)  # one file, so nothing that follows needs a shuffle
 
     def _commit(self, entries: DataFrame, after: int) -> int:
         """Write the whole manifest aside and rename it to version ``after`` + 1; raises if another writer was first."""
@@ -77,7 +78,7 @@ class ShardStore:
             return self._no_entries()
         meta = self.spark.read.parquet(f"{self.root}/{run}").select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"))
         rows = meta.groupBy("name", "bytes").agg(F.count(F.lit(1)).alias("rows"))
-        return rows.select(F.concat(F.lit(run + "/"), "name").alias("shard"), "bytes", "rows", F.lit(generation).alias("generation"), F.lit(made).alias("run_files"))
+        return staged(rows.select(F.concat(F.lit(run + "/"), "name").alias("shard"), "bytes", "rows", F.lit(generation).alias("generation"), F.lit(made).alias("run_files")).coalesce(1), "shard-entries")
 
     def _rows_of(self, entries: DataFrame, spark: SparkSession) -> DataFrame | None:
         """The rows of shards, with every column that any of them has; None if there are none.
@@ -88,8 +89,10 @@ class ShardStore:
         runs = entries.withColumn("run", F.regexp_extract("shard", "^(.*)/", 1))
         whole = F.col("live") == F.col("run_files")
         counted = runs.groupBy("run").agg(F.count(F.lit(1)).alias("live"), F.max("run_files").alias("run_files"))
-        paths = [r.run for r in counted.filter(whole).orderBy("run").toLocalIterator()]
-        paths += [r.shard for r in runs.join(counted.filter(~whole).select("run"), "run").orderBy("shard").select("shard").toLocalIterator()]
+        found = sorted(counted.select("run", whole.alias("whole")).collect())  # a row for each run
+        paths, partly = [r.run for r in found if r.whole], [r.run for r in found if not r.whole]
+        if partly:
+            paths += sorted(r.shard for r in runs.filter(F.col("run").isin(partly)).select("shard").toLocalIterator())
         return spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else None
 
     def append(self, df: DataFrame, *, rows_per_shard: int = 50_000) -> int:
@@ -109,7 +112,7 @@ class ShardStore:
         shards = self.tiers(after)
         small = shards.filter(2 * F.col("bytes") <= self.target_bytes)
         due = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.max("generation").alias("generation")).filter(F.col("n") >= self.fanout)
-        due = due.orderBy("tier").collect()  # few tiers: a logarithm of the size
+        due = sorted(due.collect())  # few tiers: a logarithm of the size
         if not due:
             return after
         kept = shards.filter((2 * F.col("bytes") > self.target_bytes) | ~F.col("tier").isin([r.tier for r in due])).drop("tier")
