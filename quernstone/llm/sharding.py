@@ -2,8 +2,8 @@
 
 Arrivals are written once as small shards and never changed. Shards of similar size (the same power of ``fanout``)
 form a tier; a tier with at least ``fanout`` of them that fill at most half of ``target_bytes`` is merged into files of about that size.
-Merging needs no shuffle: the shards are scanned with splits of the target size, so Spark packs small files into one task, and each
-task writes one file. Any two of them fit one split, so every merge leaves fewer shards and compaction ends. A version lists the live shards; it becomes visible by one rename that fails if the version
+Merging needs no shuffle: the shards are scanned with splits of the target size, splits are put together until there are as few as
+the bytes fill, and each task writes one file. Any two shards fit one file, so every merge leaves fewer and compaction ends. A version lists the live shards; it becomes visible by one rename that fails if the version
 exists, so of two writers one wins and readers always see a whole version. Old files stay until ``vacuum``.
 
 Defined cases: an empty table appends no shard but commits a version; null values, repeated rows and extra columns
@@ -25,6 +25,8 @@ ENTRY = "shard string, bytes long, rows long, generation int, run_files int"
 
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 64 << 20, fanout: int = 4, base_bytes: int = 1 << 20):
+        if fanout < 2:
+            raise ValueError("fanout is 2 or more")
         self.spark, self.root, self.target_bytes, self.fanout, self.base_bytes = spark, root.rstrip("/"), target_bytes, fanout, base_bytes
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -111,7 +113,7 @@ class ShardStore:
         after = self.version()
         shards = self.tiers(after)
         small = shards.filter(2 * F.col("bytes") <= self.target_bytes)
-        due = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.max("generation").alias("generation")).filter(F.col("n") >= self.fanout)
+        due = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max("generation").alias("generation")).filter(F.col("n") >= self.fanout)
         due = sorted(due.collect())  # few tiers: a logarithm of the size
         if not due:
             return after
@@ -119,7 +121,8 @@ class ShardStore:
         session = self._packing()
         for tier in due:
             run = f"runs/{uuid.uuid4().hex}"
-            self._rows_of(small.filter(F.col("tier") == tier.tier), session).write.option("compression", "zstd").parquet(f"{self.root}/{run}")
+            files = -(-tier.bytes // self.target_bytes)  # at most half as many as there were, rounded up
+            self._rows_of(small.filter(F.col("tier") == tier.tier), session).coalesce(files).write.option("compression", "zstd").parquet(f"{self.root}/{run}")
             made = self._written(run, tier.generation + 1)
             if made.agg(F.sum("rows")).head()[0] != tier.rows:
                 raise RuntimeError(f"{run} doesn't hold the rows of the shards merged into it")
