@@ -48,7 +48,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     column ``shard`` (``shard_`` where the documents have one); every row stays as it is."""
     store = sharding.ShardStore(spark, new_folder(spark, "corpus-shards"))
     store.append(docs)
-    store.compact_all()
+    store.vacuum(store.compact_all())  # nobody reads the versions before
     return store.read(with_shard=True)
 
 
