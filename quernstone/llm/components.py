@@ -2,7 +2,7 @@
 
 Up to ``ONE_TASK`` links (their number is checked, 16 bytes each) one task joins them in a union-find. Beyond that, star rounds take over:
 each is one aggregate and one join by node, written to the shared folder, so lineage stays short; rounds end when no
-link changes. Links are never collected to the driver, which sees two numbers a round.
+link changes, which alternating stars reach for any graph. Links are never collected to the driver, which sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def _in_one_task(links: DataFrame) -> DataFrame:
     return links.repartition(1).mapInArrow(run, "node long, root long")
 
 
-def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): for every node of ``links`` (a long, b long; any direction, repeats allowed) its smallest reachable node.
 
     Null ends and self-links are ignored; nodes without other links are not listed.
@@ -67,9 +67,7 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
         return staged(_in_one_task(pairs), "components")
     now = staged(pairs.distinct(), "links")
     before = _mark(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         # large star: neighbours above a node go to the least of the node and its neighbours
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -84,7 +82,5 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("links did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

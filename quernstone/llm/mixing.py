@@ -100,7 +100,7 @@ def plan_mix(
     curriculum: Sequence[Sequence[tuple[float, float]]] = CURRICULUM,
     cut: str = "word",
     seed: int = 1,
-    rows_per_bucket: int = 10_000,
+    rows_per_bucket: int = 2_000,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, position, and ``carry`` columns.
