@@ -35,6 +35,8 @@ from quernstone.runtime import small_batches
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5, 6)
 WINDOW = 64
+STANDS_OUT = 3  # standard errors from which on a row's evidence is taken for more than chance
+SMALL = 0.1  # what is left of the other components' first values, so that the evidence leads at the start
 CACHE = 2_000_000  # words whose margins a worker keeps
 
 
@@ -171,8 +173,32 @@ def window_means(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.n
     return np.cumsum(change[:windows]) / min(WINDOW, len(values))
 
 
-def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch: int = 32, rate: float = 0.5, seed: int = 7) -> Model:
-    """Joint gradient steps (AdaGrad) on the table and the softmax."""
+def evidence(docs: list[np.ndarray], y: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each table row the log of its rate in documents of label 1 over that in the others; 0 for rows whose count in documents
+    of label 1 lies within ``STANDS_OUT`` standard errors of what their share of all documents gives."""
+    held = np.zeros((2, BUCKETS))
+    for d, label in zip(docs, y.tolist()):
+        words = np.unique(d)
+        per_word = counts[words]
+        before = np.cumsum(per_word) - per_word
+        seen = np.zeros(BUCKETS, dtype=bool)
+        seen[ids[np.repeat(starts[words] - before, per_word) + np.arange(per_word.sum())]] = True
+        held[label] += seen
+    rows, ones = len(y), int(y.sum())
+    both = held.sum(axis=0)
+    expected = both * ones / rows
+    error = np.sqrt(np.maximum(expected * (1 - ones / rows), 1e-9))
+    prior = (both + 1) / (rows + 2)
+    log_ratio = np.log((held[1] + prior) / (ones + 1)) - np.log((held[0] + prior) / (rows - ones + 1))
+    return np.where(np.abs(held[1] - expected) >= STANDS_OUT * error, log_ratio, 0.0)
+
+
+def train(texts: list[str | None], labels: list[int], *, epochs: int = 4, batch: int = 32, rate: float = 0.02, seed: int = 7, first: float = 32.0) -> Model:
+    """Joint gradient steps (AdaGrad) on the table and the softmax.
+
+    The vectors' first component starts at the row's ``evidence``, which the softmax weighs by ``first``, so that few labels don't leave the
+    table to the chance of its first values.
+    """
     y = np.array(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
     rng = np.random.default_rng(seed)
@@ -184,6 +210,10 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch:
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)] or [vocabulary.setdefault("", len(vocabulary))], dtype=np.int32) for t in texts]
     ids, starts, counts = _all_ngrams(list(vocabulary))
     del vocabulary
+    model.table[:, 0] = evidence(docs, y, ids, starts, counts)
+    model.table[:, 1:] *= SMALL
+    model.top[0] = (-first, first)
+    model.bias[:] = np.log([1 - share, share]) / 2
     befores = [previous(d).astype(np.int32) for d in docs]
     squares = [np.full(model.table.shape[0], 1e-3), np.full(model.top.shape, 1e-3), np.full(2, 1e-3)]
     for _ in range(epochs):
@@ -270,6 +300,6 @@ def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> Data
 
 def learn(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model for ``docs`` and ``labels``; callers leave held-out rows out of ``labels``."""
-    fit = {k: options.pop(k) for k in ("epochs", "batch", "rate", "seed") if k in options}
+    fit = {k: options.pop(k) for k in ("epochs", "batch", "rate", "seed", "first") if k in options}
     sample = training_sample(docs, labels, **options)
     return train(sample["text"].tolist(), sample["y"].astype(int).tolist(), **fit)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontamination, language_model, token_counts, token_files, toxicity
+from quernstone.llm import queries as llm_queries
 from quernstone.llm.text import HashMemo, column_words
 from quernstone.runtime import table
 
@@ -174,6 +175,40 @@ def test_toxicity_counts_a_word_once_in_each_window():
         assert model.score(" ".join(words)) == pytest.approx(1 / (1 + math.exp(model.bias[0] - model.bias[1] - best)), abs=1e-9)
 
 
+def test_toxicity_by_plain_loops():
+    """Scores from loops over windows, words and n-grams; an n-gram has one table row wherever it stands."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    model = toxicity.train([" ".join(words[i : i + 9]) for i in range(290)], [int(i % 3 == 0) for i in range(290)])
+    ids, starts = toxicity.ngram_ids(words)
+    rows, grams_of = {}, {}
+    for w, a, b in zip(words, starts, [*starts[1:], len(ids)]):
+        held = f"<{w}>"
+        grams_of[w] = [(n, held[i : i + n]) for n in toxicity.NGRAMS for i in range(len(held) - n + 1)] + [("word", held)]
+        for gram, row in zip(grams_of[w], ids[a:b].tolist(), strict=True):
+            assert rows.setdefault(gram, row) == row
+    assert len(set(rows.values())) > 0.98 * len(rows)
+    for n in (1, 7, 64, 65, 200, 300):
+        best = -math.inf
+        for s in toxicity.window_starts(n).tolist():
+            vector = np.zeros(toxicity.DIM)
+            for w in set(words[s : s + toxicity.WINDOW][: n - s]):
+                vector += sum(model.table[rows[g]] for g in grams_of[w]) / len(grams_of[w])
+            logits = vector / min(n, toxicity.WINDOW) @ model.top + model.bias
+            best = max(best, logits[1] - logits[0])
+        assert model.score(" ".join(words[:n])) == pytest.approx(1 / (1 + math.exp(-best)), abs=1e-9)
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    """On the held-out rows of sf0.01, with 37 toxic labels to learn from."""
+    data = "/root/testdata/sf0.01"
+    scored = llm_queries.queries()["op3_toxicity"](spark, data).filter("held_out").select("doc_id", "score")
+    got = scored.join(table(spark, data, "labels").filter("toxic is not null"), "doc_id").select("score", F.col("toxic").cast("int").alias("y")).toPandas()
+    bad, good = got.score[got.y == 1].to_numpy(), got.score[got.y == 0].to_numpy()
+    assert ((bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2) >= 0.85
+    assert (bad >= 0.3).mean() >= 0.5 and (good >= 0.3).mean() <= 0.05
+
+
 def base_score(words, counts):
     n, v = sum(counts.values()), len(counts)
     return sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
