@@ -193,7 +193,7 @@ def evidence(docs: list[np.ndarray], y: np.ndarray, ids: np.ndarray, starts: np.
     return np.where(np.abs(held[1] - expected) >= STANDS_OUT * error, log_ratio, 0.0)
 
 
-def train(texts: list[str | None], labels: list[int], *, epochs: int = 4, batch: int = 32, rate: float = 0.02, seed: int = 7, first: float = 32.0) -> Model:
+def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch: int = 32, rate: float = 0.2, seed: int = 7, first: float = 16.0) -> Model:
     """Joint gradient steps (AdaGrad) on the table and the softmax.
 
     The vectors' first component starts at the row's ``evidence``, which the softmax weighs by ``first``, so that few labels don't leave the
@@ -255,13 +255,13 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 4, batch:
 def training_sample(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_rows: int = 3000, max_chars: int = 14_000_000) -> pd.DataFrame:
     """At most ``max_rows`` labelled toxic documents and twice as many others, first in hash order.
 
-    ``max_chars`` bounds their characters, three sevenths for the toxic ones; a text that no longer fits is passed over.
+    ``max_chars`` bounds their characters, two sevenths for the toxic ones (with more, the bias alone nears the threshold); a text that no longer fits is passed over.
     """
     marked = labels.filter(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))  # a document marked twice counts as its higher mark
     there = docs.select(F.col("doc_id").alias("_id")).join(marked, "_id").withColumn("_h", F.xxhash64("_id"))
     out = []
-    for y, rows, chars in ((1, max_rows, max_chars * 3 // 7), (0, 2 * max_rows, max_chars * 4 // 7)):
+    for y, rows, chars in ((1, max_rows, max_chars * 2 // 7), (0, 2 * max_rows, max_chars * 5 // 7)):
         drawn = there.filter(F.col("_y") == y).orderBy("_h", "_id").limit(rows).distinct()  # a bounded table, so texts aren't shuffled
         pool = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_h", "text", F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
         got, total = [], 0
