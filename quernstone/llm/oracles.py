@@ -53,4 +53,20 @@ best AS (SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(ac
 SELECT page_id, host, path, rule, CASE WHEN action IS NOT NULL THEN action
   WHEN regexp_matches(host || path, '^(?:[^/]*\.)?(?:spam-farm\.|cheap-pills\.|www\.cheap-pills\.|free-casino\.|adult-)') OR regexp_matches(host || path, '/casino/.*/bonus(?:[^A-Za-z0-9_.%-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN best USING (page_id)""",
+    "op11_exact_dedup": r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_source_audit": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce({_LOW}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL), l AS (SELECT lang, term, sum(n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL), ls AS (SELECT lang, sum(n) AS n FROM l GROUP BY lang),
+dense AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + CAST((coalesce(c.n, 0) + 5) * 1000000000::HUGEINT // (coalesce(s.n, 0) + 5 * v) AS BIGINT) AS p, 1 + CAST((l.n + 5) * 1000000000::HUGEINT // (ls.n + 5 * v) AS BIGINT) AS q
+  FROM groups JOIN k USING (lang) JOIN v USING (lang) JOIN l USING (lang, term) JOIN ls USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT x.lang, x.source, y.source AS item, CAST(coalesce(sum(abs(a.p - b.p)), 0) AS BIGINT) AS value FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN dense a ON a.lang = x.lang AND a.source = x.source LEFT JOIN dense b ON b.lang = y.lang AND b.source = y.source AND b.term = a.term GROUP BY ALL),
+term AS (SELECT lang, source, term AS item, p - q AS value FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 50""",
 }

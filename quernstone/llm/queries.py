@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontamination, embedding_dedup, language_model, minhash_dedup, mixing, sharding, token_counts, token_files, toxicity, url_rules
+from quernstone.llm import decontamination, embedding_dedup, exact_dedup, language_model, minhash_dedup, mixing, sharding, source_audit, token_counts, token_files, toxicity, url_rules, whitening
 from quernstone.llm.oracles import ORACLES
 from quernstone.runtime import new_folder, table
 
@@ -82,8 +82,24 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True)
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_compact_shards, op3_toxicity, op4_token_counts, op5_embedding_dedup, op6_minhash_dedup, op7_lm_scoring, op8_decontaminate, op9_token_files, op10_url_rules)}
+    every = (
+        op1_mix_sources, op2_compact_shards, op3_toxicity, op4_token_counts, op5_embedding_dedup, op6_minhash_dedup, op7_lm_scoring, op8_decontaminate,
+        op9_token_files, op10_url_rules, op11_exact_dedup, op12_source_audit, op13_whitening,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
