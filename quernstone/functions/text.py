@@ -119,3 +119,13 @@ def source_label(filename: Column, page: Column) -> Column:
     """A file's name, with the page for paged formats (suffixes in lower case)."""
     paged = F.rlike(filename, F.lit(r"\.(pdf|pptx|docx|doc)$"))
     return F.when(paged, F.concat(filename, F.lit(" (page: "), page.cast("string"), F.lit(")"))).otherwise(filename)
+
+
+def hash_order(*parts: str | Column) -> Column:
+    """A seeded random order that other engines can make too: md5 of the parts, joined by bars."""
+    return F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]).cast("binary"))
+
+
+def hash_number(*parts: str | Column) -> Column:
+    """The first 32 bits of ``hash_order``'s hash as a long."""
+    return F.conv(F.substring(hash_order(*parts), 1, 8), 16, 10).cast("long")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions import text as T
+
 
 def join_qrels(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     """Queries with the sorted list of their relevant ids; queries without any go."""
@@ -55,7 +57,7 @@ def cluster_members(rows: DataFrame) -> DataFrame:
 
 def sample_per_cluster(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n members of each cluster in seeded hash order; noise (-1) goes."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
+    order = Window.partitionBy("label").orderBy(T.hash_order("vec_id", F.lit(seed)), "vec_id")
     return rows.filter(F.col("label") != -1).withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= n)
 
 
@@ -68,11 +70,11 @@ def question_groups(rows: DataFrame, *, per_cluster: int = 10, n_min: int = 1, n
     sizes = ids.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     asked = sizes.select("label", "size", F.explode(F.sequence(F.lit(0), F.lit(per_cluster - 1))).alias("question"))
     wide = F.least(F.lit(n_max), F.col("size")) - n_min + 1
-    asked = asked.withColumn("n", n_min + F.pmod(F.xxhash64("label", "question", F.lit(seed)), F.greatest(wide, F.lit(1))))
+    asked = asked.withColumn("n", n_min + T.hash_number("label", "question", F.lit(seed)) % F.greatest(wide, F.lit(1)))
     # a question starts at a hashed place of the cluster's hash order and takes the members from there on
-    order = Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
+    order = Window.partitionBy("label").orderBy(T.hash_order("vec_id", F.lit(seed)), "vec_id")
     placed = ids.withColumn("place", F.row_number().over(order) - 1)
-    starts = asked.withColumn("start", F.pmod(F.xxhash64("question", "label", F.lit(seed + 1)), F.col("size")))
+    starts = asked.withColumn("start", T.hash_number("question", "label", F.lit(seed + 1)) % F.col("size"))
     wanted = starts.select("label", "question", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.pmod(F.col("start") + i, F.col("size")))).alias("place"))
     return wanted.join(placed, ["label", "place"]).groupBy("label", "question").agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.runtime import small_batches, staged
+from quernstone.runtime import broadcast_if_small, small_batches, staged
 
 RRF_K = 100
 ALL = ["all"]
 QUERY_SCAN = 65_536  # queries of one scan of the chunks, which bounds what is broadcast
+BROADCAST_FOUND = 1_000_000  # results (32 bytes each) that are broadcast; more are joined by a shuffle
 QUERY_BLOCK = 2048  # queries that are compared with a batch of chunks at a time
 
 
@@ -277,7 +278,14 @@ def search(queries: DataFrame, chunks: DataFrame, *, partitions: str | Sequence[
     """
     some = scope(chunks, partitions, filters)
     found = hybrid_topk(queries, some, top_k, threshold=threshold) if hybrid else dense_topk(queries, some, top_k, threshold=threshold)
-    return found.select("query_id", "chunk_id", "score", "rank").join(some.drop("vector", "score", "rank"), "chunk_id")
+    return with_chunks(found, some)
+
+
+def with_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """found (query_id, chunk_id, score, rank) with the chunks' columns but the vector. The results, a few for each query, go to the
+    chunks where they are: they are written once, and broadcast when there are ``BROADCAST_FOUND`` at most."""
+    few = broadcast_if_small(staged(found.select("query_id", "chunk_id", "score", "rank"), "found"), BROADCAST_FOUND)
+    return few.join(chunks.drop("vector", "score", "rank"), "chunk_id")
 
 
 def page(rows: DataFrame, order: str | Sequence[str], *, offset: int, limit: int) -> DataFrame:

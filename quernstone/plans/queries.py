@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import models
 from quernstone.functions import text as T
 from quernstone.functions import vectors as V
-from quernstone.operators import catalog, chunking, evaluation, prompts, retrieval, search, tasks
+from quernstone.operators import catalog, chunking, dense_index, evaluation, prompts, retrieval, search, tasks
 from quernstone.runtime import new_folder, small_batches, table
 from quernstone.sources import loaders
 from quernstone.streaming import ingest
@@ -370,6 +370,95 @@ SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (P
 def search_hybrid(spark, sf_dir):
     return vector_store(spark, sf_dir).search(vector_queries(spark, sf_dir), partitions=["src1", "src2"], threshold=0.1).select("query_id", "chunk_id", "score", "rank")
 
+def embedded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as chunk-store rows, a partition for each label."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(
+        F.col("vec_id").alias("chunk_id"), F.concat(F.lit("label "), F.coalesce(F.col("label").cast("string"), F.lit("none"))).alias("partition"), F.col("vec_id").cast("string").alias("file_id"), F.lit(0).alias("chunk_no"),
+        F.lit("").alias("text"), F.lit(1).alias("page"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
+
+
+@query(f"""WITH {SCOPED_BM25}, {WITH_VECTORS}, legs AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm UNION ALL
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense WHERE source IN ('src1', 'src2') AND score > 0.1),
+fused AS (SELECT query_id, chunk_id, round(sum(1 / (100.0::DOUBLE + rank)), 9) AS score FROM legs WHERE rank <= 5 GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fused) WHERE rank <= 5""")
+def search_indexed(spark, sf_dir):
+    """The same search through both stored indexes."""
+    store = vector_store(spark, sf_dir)
+    store.build_dense_index()
+    store.build_sparse_index()
+    found = store.search(vector_queries(spark, sf_dir), partitions=["src1", "src2"], threshold=0.1, probes=dense_index.MAX_CELLS, shortlist=100)
+    return found.select("query_id", "chunk_id", "score", "rank")
+
+
+def dense_store(spark: SparkSession, sf_dir: str) -> catalog.ChunkStore:
+    store = catalog.ChunkStore(spark, new_folder(spark, "store"))
+    store.insert(embedded_rows(spark, sf_dir))
+    store.build_dense_index()
+    return store
+
+
+@query()
+def index_dense_topk(spark, sf_dir):
+    """Inverted-file search with the probes of the index; tests measure its recall."""
+    return dense_store(spark, sf_dir).ann_topk(vectors(spark, sf_dir)[0], 5)
+
+
+@query(f"WITH {FOUND} SELECT query_id, chunk_id, score, rank FROM found WHERE rank <= 5")
+def index_dense_every_cell(spark, sf_dir):
+    """All cells probed and a long list re-ranked: the same rows as a scan."""
+    return dense_store(spark, sf_dir).ann_topk(vectors(spark, sf_dir)[0], 5, probes=dense_index.MAX_CELLS, shortlist=100)
+
+
+def keyword_store(spark: SparkSession, sf_dir: str) -> catalog.ChunkStore:
+    """Documents in two inserts, the second after the postings were built."""
+    store, rows = catalog.ChunkStore(spark, new_folder(spark, "store")), vector_rows(spark, sf_dir)
+    store.insert(rows.filter("chunk_id % 3 <> 0"))
+    store.build_sparse_index()
+    store.insert(rows.filter("chunk_id % 3 = 0"))
+    return store
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 5")
+def index_bm25_topk(spark, sf_dir):
+    return keyword_store(spark, sf_dir).keyword_topk(questions(spark, sf_dir), 5)
+
+
+@query(f"WITH {BM25.replace('FROM documents)', 'FROM documents WHERE doc_id % 7 <> 0)')} SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 5")
+def index_bm25_after_delete(spark, sf_dir):
+    store = keyword_store(spark, sf_dir)
+    store.delete_files(files_of(spark, sf_dir).filter("doc_id % 7 = 0"))
+    return store.keyword_topk(questions(spark, sf_dir), 5)
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.col("source").alias("partition"), F.col("doc_id").cast("string").alias("file_id"))
+
+
+@query("""SELECT doc_id AS chunk_id, source AS partition, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 5 = 0 THEN 'second' WHEN doc_id % 3 = 0 THEN 'first' END AS tag FROM documents WHERE doc_id % 4 <> 1""")
+def store_merge_on_read(spark, sf_dir):
+    """Two patches of many files and a deletion, laid over the segments as they are read."""
+    store, some = vector_store(spark, sf_dir), files_of(spark, sf_dir)
+    as_map = lambda **kv: F.create_map(*[F.lit(x) for k, v in kv.items() for x in (k, v)])
+    store.patch_files(some.filter("doc_id % 3 = 0").withColumn("metadata", as_map(tag="first")))
+    store.delete_files(some.filter("doc_id % 4 = 1"))
+    store.patch_files(some.filter("doc_id % 5 = 0").withColumn("metadata", as_map(tag="second", lang="xx")))
+    return store.chunks().select("chunk_id", "partition", F.element_at("metadata", "lang").alias("lang"), F.element_at("metadata", "tag").alias("tag"))
+
+
+@query("SELECT doc_id AS chunk_id, source AS partition, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS lang, md5(text) AS text_md5 FROM documents WHERE doc_id % 4 <> 1")
+def store_compacted(spark, sf_dir):
+    """Small inserts, deletions and patches folded into one segment a partition."""
+    store, rows, some = catalog.ChunkStore(spark, new_folder(spark, "store")), vector_rows(spark, sf_dir), files_of(spark, sf_dir)
+    for i in range(3):
+        store.insert(rows.filter(F.col("chunk_id") % 3 == i))
+    store.delete_files(some.filter("doc_id % 4 = 1"))
+    store.patch_files(some.filter("doc_id % 5 = 0").withColumn("metadata", F.create_map(F.lit("lang"), F.lit("xx"))))
+    store.compact()
+    store.vacuum()
+    return store.chunks().select("chunk_id", "partition", F.element_at("metadata", "lang").alias("lang"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
 
 @query(f"""WITH {WITH_VECTORS}, found AS ({SEARCHED.format(where='')})
 SELECT query_id, chunk_id, rank, 'http://host/static/file%20' || chunk_id || '%3F.txt' AS file_url, 'http://host/extract/' || chunk_id AS chunk_url FROM found""")
@@ -667,7 +756,7 @@ def replace_file(spark, sf_dir):
     return store.chunks().select("chunk_id", F.substring("text", 1, 10).alias("head"))
 
 
-@query()
+@query(f"WITH {CHUNKS} SELECT chunk_id, CAST(doc_id AS VARCHAR) AS file_id FROM chunks WHERE source = 'src1' ORDER BY md5(chunk_id || '|7'), chunk_id LIMIT 200")
 def sample_chunks(spark, sf_dir):
     return _store(spark, sf_dir).sample_chunks("src1", 200, seed=7).select("chunk_id", "file_id")
 
@@ -840,12 +929,16 @@ def cluster_members(spark, sf_dir):
     return rows.select("label", F.size("members").cast("long").alias("n"), F.element_at("members", 1).alias("first_id"), F.element_at("members", -1).alias("last_id"))
 
 
-@query()
+@query("SELECT label, vec_id, CAST(pick AS INTEGER) AS pick FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '|5'), vec_id) AS pick FROM embeddings WHERE label <> -1) WHERE pick <= 3")
 def cluster_sample_questions(spark, sf_dir):
     return evaluation.sample_per_cluster(table(spark, sf_dir, "embeddings").drop("embedding"), 3, seed=5).select("label", "vec_id", "pick")
 
 
-@query()
+@query("""WITH m AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '|3'), vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS size FROM embeddings WHERE label <> -1),
+a AS (SELECT DISTINCT label, size, question FROM m, (SELECT unnest(range(10)) AS question)),
+b AS (SELECT *, 1 + CAST('0x' || substring(md5(label || '|' || question || '|3'), 1, 8) AS BIGINT) % least(2, size) AS n, CAST('0x' || substring(md5(question || '|' || label || '|4'), 1, 8) AS BIGINT) % size AS start FROM a),
+c AS (SELECT label, question, (start + i) % size AS place FROM (SELECT *, unnest(range(n)) AS i FROM b))
+SELECT label, CAST(question AS INTEGER) AS question, CAST(count(*) AS INTEGER) AS n, min(vec_id) AS first_id FROM c JOIN m USING (label, place) GROUP BY label, question""")
 def cluster_question_groups(spark, sf_dir):
     groups = evaluation.question_groups(table(spark, sf_dir, "embeddings"), per_cluster=10, n_max=2, seed=3)
     return groups.select("label", "question", F.size("members").alias("n"), F.element_at("members", 1).alias("first_id"))
