@@ -57,12 +57,6 @@ def caption_block(caption: Column) -> Column:
     return F.concat(F.lit("\n<image_description>\n"), F.coalesce(caption, F.lit("")), F.lit("\n</image_description>\n"))
 
 
-def replace_linked_images(markdown: Column, caption: Column) -> Column:
-    """``![alt](http…)`` images become ``caption``, or their alt text where it is null."""
-    with_caption = F.regexp_replace(markdown, F.lit(r"!\[[^\]]*\]\(https?://[^)]*\)"), F.replace(F.replace(caption, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))
-    return F.coalesce(with_caption, F.regexp_replace(markdown, r"!\[([^\]]*)\]\(https?://[^)]*\)", "$1"))
-
-
 def human_size(size: Column) -> Column:
     """Bytes as ``2.40 MB``."""
     value = size.cast("double")

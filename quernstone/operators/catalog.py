@@ -254,9 +254,9 @@ class ChunkStore:
         return self.delete_files(self._one(partition, file_id)) > 0
 
     def delete_partition(self, partition: str) -> bool:
-        state = self.log.state()
-        if not state.of([partition]):
+        if not self.partition_exists(partition):
             return False
+        state = self.log.state()
         drop = lambda now: Change(drop=[s.dir for s in now.of([partition])], touched={partition: EVERY})
         self.log.commit(state, drop(state), lambda before, now, others: drop(now))
         return True

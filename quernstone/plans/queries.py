@@ -16,7 +16,7 @@ from quernstone.functions import text as T
 from quernstone.functions import vectors as V
 from quernstone.operators import catalog, chunking, dense_index, evaluation, prompts, retrieval, search, tasks
 from quernstone.runtime import new_folder, small_batches, table
-from quernstone.sources import loaders
+from quernstone.sources import images, loaders
 from quernstone.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +144,28 @@ def image_caption_wrap(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.caption_block(F.when(F.col("lang") == "en", F.col("lang"))).alias("text"))
 
 
+#: A document's text cut in up to four pieces with an image after each but the last; every fifth link has no caption.
+ILLUSTRATED = """marks AS (SELECT doc_id, text, doc_id % 4 AS n, length(text) // 4 AS w FROM documents),
+link AS (SELECT *, unnest(range(n)) AS i, 'https://host/' || ((doc_id + i * 2) % 40) || '.png' AS url FROM marks)"""
+
+
+def illustrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, w = F.col("doc_id") % 4, F.floor(F.length("text") / 4).cast("int")
+    parts = [F.lit("")]
+    for i in range(3):
+        mark = F.concat(F.lit(f"![alt $ {i}](https://host/"), ((F.col("doc_id") + i * 2) % 40).cast("string"), F.lit(".png)"))
+        parts.append(F.when(n > i, F.concat(F.substr("text", w * i + 1, w), mark)).otherwise(""))
+    return documents(spark, sf_dir).select("doc_id", F.concat(*parts, F.substr("text", w * n.cast("int") + 1)).alias("text"))
+
+
+@query(f"""WITH {ILLUSTRATED}, said AS (SELECT doc_id, string_agg(substring(text, w * i + 1, w) || CASE WHEN url LIKE '%5.png' THEN 'alt $ ' || i ELSE chr(10) || '<image_description>' || chr(10) || 'cap of ' || url || chr(10) || '</image_description>' || chr(10) END, '' ORDER BY i) AS s FROM link GROUP BY doc_id)
+SELECT doc_id, coalesce(s, '') || substring(text, w * n + 1) AS text FROM marks LEFT JOIN said USING (doc_id)""")
+def image_captions(spark, sf_dir):
+    """Texts with none to three linked images, each distinct link captioned once."""
+    caption = lambda link: F.when(~F.endswith(link, F.lit("5.png")), F.concat(F.lit("cap of "), link))
+    return images.caption_images(illustrated(spark, sf_dir), caption=caption)
+
+
 @query("SELECT page_id, CASE WHEN contains(url, '.') THEN lower(list_last(string_split(url, '.'))) ELSE '' END AS ext, (CASE WHEN contains(url, '.') THEN lower(list_last(string_split(url, '.'))) ELSE '' END) IN ('html', 'htm') AS accepted FROM pages")
 def validate_file_format(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.extension(F.col("url")).alias("ext"), T.valid_format(F.col("url"), ["html", "htm"]).alias("accepted"))

@@ -2,12 +2,14 @@
 
 Text formats are read by Spark's own sources and stay in the JVM; containers (mail, office files) are parsed with the
 standard library in Arrow batches. Formats that need a model or a converter (PDF, images, audio, old office files) take a
-registered parser: ``register(extension, parser)`` with ``parser(bytes) -> str``.
+registered parser: ``register(extension, parser)`` with ``parser(bytes) -> str``, or (text, contents of its embedded images), with ``images.mark_of``
+at each image's place in the text.
 """
 
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -19,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.runtime import small_batches
+from quernstone.runtime import small_batches, staged
+from quernstone.sources import images
 
-Parser = Callable[[bytes], str]
+Parser = Callable[[bytes], str | tuple[str, list[bytes]]]
 _PARSERS: dict[str, Parser] = {}
 NATIVE = {"txt": "text", "md": "text", "html": "html", "htm": "html"}
 
@@ -86,23 +89,55 @@ def _texts(node: ElementTree.Element, tag: str) -> str:
     return "".join(t.text or "" for t in node.iter() if t.tag.endswith(tag))
 
 
-def parse_docx(data: bytes) -> str:
-    """Paragraphs in order; headings get # marks; page breaks end a page."""
+def _relations(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """(kind, part) of what a part of an office file refers to, by id."""
+    folder, _, name = part.rpartition("/")
+    at = f"{folder}/_rels/{name}.rels"
+    if at not in z.namelist():
+        return {}
+    out = {}
+    for r in ElementTree.fromstring(z.read(at)):
+        target = r.get("Target", "")
+        path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+        out[r.get("Id")] = (r.get("Type", "").rpartition("/")[2], path)
+    return out
+
+
+def _attribute(node: ElementTree.Element, name: str) -> str | None:
+    return next((v for k, v in node.attrib.items() if k.rpartition("}")[2] == name), None)
+
+
+def _pictures(node: ElementTree.Element, z: zipfile.ZipFile, relations: dict[str, tuple[str, str]], contents: list[bytes]) -> list[str]:
+    """Marks of the images below a node, in order; their contents are added to ``contents``."""
+    out = []
+    alt = next((_attribute(e, "descr") or "" for e in node.iter() if e.tag.rpartition("}")[2] in ("docPr", "cNvPr")), "")
+    for blip in (e for e in node.iter() if e.tag.endswith("}blip")):
+        kind, part = relations.get(_attribute(blip, "embed"), ("", ""))
+        if kind == "image" and part in z.namelist():
+            contents.append(z.read(part))
+            out.append(images.mark_of(contents[-1], alt))
+    return out
+
+
+def parse_docx(data: bytes) -> tuple[str, list[bytes]]:
+    """Paragraphs in order; headings get # marks; images stand as marks at the end of their paragraph; page breaks end a page."""
+    out, page, contents = [], 1, []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    out, page = [], 1
-    for p in root.iter():
-        if not p.tag.endswith("}p"):
-            continue
-        style = next((v for e in p.iter() if e.tag.endswith("}pStyle") for k, v in e.attrib.items() if k.endswith("}val")), "")
-        level = re.fullmatch(r"Heading(\d)", style)
-        line = _texts(p, "}t").strip()
-        if line:
-            out.append(("#" * int(level[1]) + " " if level else "") + line)
-        if any(e.tag.endswith("}br") and "page" in e.attrib.values() for e in p.iter()):
-            out.append(f"[PAGE_{page}]")
-            page += 1
-    return "\n".join([*out, f"[PAGE_{page}]"]) + "\n"
+        root, relations = ElementTree.fromstring(z.read("word/document.xml")), _relations(z, "word/document.xml")
+        for p in root.iter():
+            if not p.tag.endswith("}p"):
+                continue
+            style = next((v for e in p.iter() if e.tag.endswith("}pStyle") for k, v in e.attrib.items() if k.endswith("}val")), "")
+            level = re.fullmatch(r"Heading(\d)", style)
+            line = _texts(p, "}t").strip()
+            if line:
+                out.append(("#" * int(level[1]) + " " if level else "") + line)
+            for drawing in (e for e in p.iter() if e.tag.endswith("}drawing")):
+                out += _pictures(drawing, z, relations, contents)
+            if any(e.tag.endswith("}br") and "page" in e.attrib.values() for e in p.iter()):
+                out.append(f"[PAGE_{page}]")
+                page += 1
+    return "\n".join([*out, f"[PAGE_{page}]"]) + "\n", contents
 
 
 def parse_odt(data: bytes) -> str:
@@ -111,31 +146,61 @@ def parse_odt(data: bytes) -> str:
     return "\n".join("".join(p.itertext()).strip() for p in root.iter() if p.tag.endswith(("}p", "}h"))) + "\n[PAGE_1]\n"
 
 
-def parse_pptx(data: bytes) -> str:
-    """Slides in order: title, text, pictures, tables as Markdown, notes, then the page marker."""
-    out = []
+def _markdown(rows: list[list[str]]) -> list[str]:
+    return ["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]
+
+
+def chart_lines(root: ElementTree.Element) -> list[str]:
+    """A chart part as a heading with its title and a table: a row for each category, a column for each series."""
+    named = lambda node, name: next((e for e in node.iter() if e.tag.rpartition("}")[2] == name), None)
+
+    def points(node: ElementTree.Element | None) -> dict[int, str]:
+        return {int(p.get("idx", 0)): _texts(p, "}v") for p in node.iter() if p.tag.endswith("}pt")} if node is not None else {}
+
+    title = named(root, "title")
+    series = [e for e in root.iter() if e.tag.endswith("}ser")]
+    names = [_texts(tx, "}v") if (tx := named(s, "tx")) is not None else "" for s in series]
+    labels = points(named(series[0], "cat")) if series else {}
+    values = [points(named(s, "val")) for s in series]
+    rows = [["Category", *names]] + [[labels.get(i, ""), *(v.get(i, "") for v in values)] for i in sorted({*labels, *(i for v in values for i in v)})]
+    heading = f"### Chart: {text}" if title is not None and (text := _texts(title, "}t").strip()) else "### Chart"
+    return [heading, *_markdown(rows)]
+
+
+def parse_pptx(data: bytes) -> tuple[str, list[bytes]]:
+    """Slides in the presentation's order: title, text, pictures as marks, tables and charts as Markdown, notes, then the page marker."""
+    out, contents = [], []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+        if "ppt/presentation.xml" in z.namelist():
+            order = _relations(z, "ppt/presentation.xml")
+            listed = [order.get(_attribute(e, "id") if e.get("id") is None else next(v for k, v in e.attrib.items() if k.endswith("}id")), ("", ""))[1] for e in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter() if e.tag.endswith("}sldId")]
+            slides = [n for n in listed if n in slides] or slides
         for number, name in enumerate(slides, 1):
+            relations = _relations(z, name)
             for shape in ElementTree.fromstring(z.read(name)).iter():
                 kind = shape.tag.rpartition("}")[2]
                 if kind == "pic":
-                    out.append("<image>")
+                    out += _pictures(shape, z, relations, contents) or [images.PLACEHOLDER]
                 elif kind == "graphicFrame":
                     rows = [[_texts(c, "}t").strip() for c in r if c.tag.endswith("}tc")] for r in shape.iter() if r.tag.endswith("}tr")]
                     if rows:
-                        out += ["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0]), *("| " + " | ".join(r) + " |" for r in rows[1:])]
+                        out += _markdown(rows)
+                    for chart in (e for e in shape.iter() if e.tag.endswith("}chart")):
+                        part = relations.get(_attribute(chart, "id"), ("", ""))[1]
+                        if part in z.namelist():
+                            out += chart_lines(ElementTree.fromstring(z.read(part)))
                 elif kind == "sp":
                     title = any(e.tag.endswith("}ph") and e.get("type") in ("title", "ctrTitle") for e in shape.iter())
                     lines = [_texts(p, "}t") for p in shape.iter() if p.tag.endswith("}p")]
                     text = "\n".join(x for x in lines if x.strip())
                     if text:
                         out.append(f"# {text}" if title else text)
-            notes = f"ppt/notesSlides/notesSlide{number}.xml"
+            notes = next((part for kind, part in relations.values() if kind == "notesSlide"), f"ppt/notesSlides/notesSlide{number}.xml" if not relations else "")
             if notes in z.namelist() and (text := _texts(ElementTree.fromstring(z.read(notes)), "}t").strip()):
                 out.append(f"### Notes:\n{text}")
             out.append(f"\n[PAGE_{number}]\n")
-    return "\n".join(out)
+    return "\n".join(out), contents
 
 
 def parse_xlsx(data: bytes) -> str:
@@ -179,43 +244,49 @@ def decoded(content: Column) -> Column:
     return F.when(mark(3) == "EFBBBF", F.substring(content, 4, 1 << 30).cast("string")).when(mark(2).isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).otherwise(rest)
 
 
-def load_files(files: DataFrame, *, caption: Callable[[Column], Column] | None = None) -> DataFrame:
+def load_files(files: DataFrame, *, caption: Callable[[Column], Column] | None = None, caption_content: Callable[[Column], Column] | None = None) -> DataFrame:
     """scan_files rows with their text; files whose format nobody parses, or whose parser fails, get a null text and an error.
 
     Text, Markdown and HTML stay in the JVM; only other contents, and HTML with entities that ``html_to_text`` doesn't know, go to
-    a parser. With ``caption`` (of a link) images that Markdown links become blocks with their captions.
+    a parser. ``caption`` (of a link) and ``caption_content`` (of an embedded image's bytes) write the captions of the images of Markdown and office
+    files, once for each distinct image (``images.caption_images``); without ``caption`` linked images stay as they are, without
+    ``caption_content`` embedded ones become ``<image>``.
     """
     small_batches(files.sparkSession, 64)
     parsers = dict(_PARSERS)
     text = T.strip(decoded(F.col("content")))
-    if caption is not None:
-        link = F.regexp_extract(text, r"!\[[^\]]*\]\((https?://[^)]*)\)", 1)
-        text = F.when((F.col("extension") == "md") & (link != ""), T.replace_linked_images(text, T.caption_block(caption(link)))).otherwise(text)
     is_html = F.col("extension").isin("html", "htm")
     native = F.when(is_html, T.with_page_marker(T.html_to_text(decoded(F.col("content"))), F.lit(1))).otherwise(text)
     odd = F.rlike(decoded(F.col("content")), F.lit(r"&(?!(?:nbsp|lt|gt|quot|amp|#39|#160);)#?\w+;"))
     is_native = F.col("extension").isin(*NATIVE) & ~(is_html & odd)
 
-    @F.pandas_udf("text string, error string")
+    @F.pandas_udf("text string, error string, contents array<binary>")
     def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for extensions, contents in batches:
             rows = []
             for ext, data in zip(extensions, contents):
                 try:
                     if data is None:
-                        rows.append((None, None))
+                        rows.append((None, None, None))
                     elif ext in ("html", "htm"):
-                        rows.append((parse_html(data), None))
+                        rows.append((parse_html(data), None, None))
                     elif ext in parsers:
-                        rows.append((parsers[ext](data), None))
+                        made = parsers[ext](data)
+                        rows.append((made, None, None) if isinstance(made, str) else (made[0], None, made[1]))
                     else:
-                        rows.append((None, f"no parser for {ext!r}"))
+                        rows.append((None, f"no parser for {ext!r}", None))
                 except Exception as e:
-                    rows.append((None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["text", "error"])
+                    rows.append((None, f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(rows, columns=["text", "error", "contents"])
 
     parts = files.withColumn("_p", parsed("extension", F.when(~is_native, F.col("content"))))
-    return parts.withColumn("text", F.when(is_native, native).otherwise(F.col("_p.text"))).withColumn("error", F.col("_p.error")).drop("content", "_p")
+    parts = parts.withColumn("text", F.when(is_native, native).otherwise(F.col("_p.text"))).withColumn("error", F.col("_p.error")).withColumn("_contents", F.col("_p.contents")).drop("content", "_p")
+    rows = staged(parts, "parsed")  # parsed once, for the texts and for the images
+    inside = F.size(F.coalesce("_contents", F.array().cast("array<binary>"))) > 0
+    illustrated = inside if caption is None else inside | (F.col("extension") == "md")
+    contents = rows.filter(inside).select(F.explode("_contents").alias("content")).select(F.sha2("content", 256).alias("id"), "content")
+    some = images.caption_images(rows.filter(illustrated).drop("_contents"), caption=caption, caption_content=caption_content, contents=contents)
+    return rows.filter(~illustrated).drop("_contents").unionByName(some)
 
 
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:

@@ -32,11 +32,6 @@ def test_marker_normalise(spark):
     assert one(df.select(T.marker_normalise(F.col("t")))) == [("a <br> b[PAGE_3] c",), (None,)]
 
 
-def test_linked_images(spark):
-    df = spark.createDataFrame([("a ![alt](http://x/y.png) b", "cap $1"), ("a ![alt](https://x) b", None), ("![l](local.png)", None)], "t string, c string")
-    assert one(df.select(T.replace_linked_images(F.col("t"), F.col("c")))) == [("a cap $1 b",), ("a alt b",), ("![l](local.png)",)]
-
-
 def test_sizes_and_ids(spark):
     df = spark.createDataFrame([(0,), (1023,), (1024,), (2516582,), (2**60,)], "n long")
     assert [r[0] for r in one(df.select(T.human_size(F.col("n"))))] == ["0.00 B", "1023.00 B", "1.00 KB", "2.40 MB", "1024.00 PB"]
