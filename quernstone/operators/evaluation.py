@@ -15,12 +15,6 @@ def join_qrels(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.join(qrels.groupBy("query_id").agg(F.array_sort(F.collect_list("corpus_id")).alias("relevant")), "query_id")
 
 
-def zip_rows(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
-    """Positional join of two tables in their orders, as long as the shorter. Evaluation sets: a few thousand rows, numbered in one task."""
-    number = lambda df, o: df.withColumn("_pos", F.row_number().over(Window.orderBy(o)))
-    return number(left, order_left).join(number(right, order_right), "_pos").drop("_pos")
-
-
 def judged(found: DataFrame, qrels: DataFrame) -> DataFrame:
     """found (query_id, corpus_id, rank) with rel (1 if relevant, else 0)."""
     marks = qrels.select("query_id", "corpus_id", F.lit(1).alias("rel")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.operators.numbering import numbered
 from quernstone.runtime import broadcast_if_small, small_batches, staged
 
 RRF_K = 100
@@ -299,7 +300,8 @@ def merge_queries(found: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     The last query's copy of a chunk counts, at the place where the chunk first came up; best score first.
     """
     one = found.groupBy(*by, "chunk_id").agg(F.max_by("score", "query_idx").alias("score"), F.min(F.struct("query_idx", "rank")).alias("first"))
-    ranked = one.withColumn("position", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"), "first")))
+    order = (F.desc("score"), F.col("first"))
+    ranked = one.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else numbered(one, *order).withColumn("position", F.col("position").cast("int"))
     return ranked.select(*by, "chunk_id", "score", F.col("first.query_idx").alias("first_query"), F.col("first.rank").alias("first_rank"), "position")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import models
 from quernstone.functions import text as T
 from quernstone.functions import vectors as V
-from quernstone.operators import catalog, chunking, dense_index, evaluation, prompts, retrieval, search, tasks
+from quernstone.operators import catalog, chunking, dense_index, density, evaluation, numbering, prompts, retrieval, search, tasks
 from quernstone.runtime import new_folder, small_batches, table
 from quernstone.sources import images, loaders
 from quernstone.streaming import ingest
@@ -800,6 +800,12 @@ def page_of_chunks(spark, sf_dir):
     return search.page(_store(spark, sf_dir).chunks(), "chunk_id", offset=200, limit=100).select("chunk_id", "partition")
 
 
+@query(f"WITH {CHUNKS}, n AS (SELECT chunk_id, row_number() OVER (ORDER BY source DESC, chunk_id) - 1 AS place FROM chunks) SELECT CAST(place // 100 AS BIGINT) AS page, arg_min(chunk_id, place) AS first, arg_max(chunk_id, place) AS last, count(*) AS n FROM n GROUP BY place // 100")
+def page_bounds(spark, sf_dir):
+    """All pages of all chunks, from one sort."""
+    return numbering.Pages(_store(spark, sf_dir).chunks().select("chunk_id", "partition"), F.desc("partition"), "chunk_id").bounds(100, "chunk_id")
+
+
 @query("""SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN source || '.pdf (page: ' || (doc_id % 5) || ')' ELSE source || '.txt' END AS label FROM documents""")
 def source_labels(spark, sf_dir):
     name = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(".pdf"))).otherwise(F.concat("source", F.lit(".txt")))
@@ -930,7 +936,7 @@ def ndcg_mean_std(spark, sf_dir):
 def positional_zip(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.col("text").cast("binary")).alias("item"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
-    return evaluation.zip_rows(items, turns, "item_id", "at").select("item", "conv_id")
+    return numbering.zip_rows(items, turns, "item_id", "at").select("item", "conv_id")
 
 
 @query("SELECT verdict, count(*) AS n, axis FROM (SELECT CASE WHEN toxic = 1 THEN 'complete' ELSE 'partial' END AS verdict, 'completeness' AS axis FROM labels UNION ALL SELECT CASE WHEN quality = 1 THEN 'precise' ELSE 'mixed' END, 'precision' FROM labels) GROUP BY verdict, axis")
@@ -966,6 +972,12 @@ def cluster_question_groups(spark, sf_dir):
     return groups.select("label", "question", F.size("members").alias("n"), F.element_at("members", 1).alias("first_id"))
 
 
+@query()
+def density_clusters(spark, sf_dir):
+    """HDBSCAN of all embeddings; tests hold it against brute force."""
+    return density.density_clusters(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def pca_kmeans(spark, sf_dir):
     return evaluation.reduce_and_cluster(table(spark, sf_dir, "embeddings"))
