@@ -17,7 +17,7 @@ from quernstone.functions import vectors as V
 from quernstone.operators import catalog, chunking, dense_index, density, evaluation, numbering, prompts, retrieval, search, tasks
 from quernstone.runtime import new_folder, small_batches, table
 from quernstone.sources import images, loaders
-from quernstone.streaming import ingest
+from quernstone.streaming import ingest, machine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -857,6 +857,23 @@ def task_transitions(spark, sf_dir):
     return tasks.transitions(task_events(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("allowed"))
 
 
+@query(f"""WITH RECURSIVE {TASKS}, e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS n FROM events_t),
+f AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS c, CAST(NULL AS TIMESTAMP) AS since, false AS marked, false AS ok, false AS stuck FROM e
+  UNION ALL SELECT task_id, n, CASE WHEN ok THEN state ELSE c END, CASE WHEN ok THEN ts ELSE since END, NOT ok AND (marked OR stuck), ok, stuck
+  FROM (SELECT e.task_id, e.n, e.state, e.ts, c, since, marked, coalesce(c IN ('QUEUED', 'SERIALIZING', 'CHUNKING', 'INSERTING') AND NOT marked AND e.ts - since > INTERVAL 2 DAY, false) AS stuck,
+    coalesce(c IS NULL AND e.state = 'QUEUED' OR c = 'QUEUED' AND e.state IN ('SERIALIZING', 'FAILED') OR c = 'SERIALIZING' AND e.state IN ('CHUNKING', 'FAILED') OR c = 'CHUNKING' AND e.state IN ('INSERTING', 'COMPLETED', 'FAILED')
+      OR c = 'INSERTING' AND e.state IN ('COMPLETED', 'FAILED'), false) AS ok FROM f JOIN e ON e.task_id = f.task_id AND e.n = f.n + 1)),
+g AS (SELECT task_id, count(*) FILTER (n > 0 AND ok) AS accepted, count(*) FILTER (n > 0 AND NOT ok) AS refused, count(*) FILTER (stuck) AS stuck, arg_max(c, n) AS c, arg_max(since, n) AS since, arg_max(marked, n) AS marked FROM f GROUP BY task_id)
+SELECT task_id, accepted, refused, stuck + CASE WHEN c IN ('QUEUED', 'SERIALIZING', 'CHUNKING', 'INSERTING') AND NOT marked AND since + INTERVAL 2 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR THEN 1 ELSE 0 END AS stuck, c AS state FROM g""")
+def stream_task_machine(spark, sf_dir):
+    """Every task's accepted and refused steps, times it was stuck for two days, and its state, by a stateful stream."""
+    source = f"{sf_dir}/events.parquet"
+    out = machine.machine_once(spark, source, spark.read.parquet(source).schema, as_tasks, stuck_after=2 * 86_400)
+    count = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    last = F.max_by(F.when(F.col("verdict") == "accepted", F.col("state")), F.when(F.col("verdict") == "accepted", F.struct("ts", "event_id")))
+    return out.groupBy("task_id").agg(count("accepted"), count("refused"), count("stuck"), last.alias("state"))
+
+
 @query(f"WITH {TASKS} SELECT date_trunc('day', ts) AS start, state, count(*) AS n FROM events_t GROUP BY ALL")
 def stream_task_counts(spark, sf_dir):
     source = f"{sf_dir}/events.parquet"

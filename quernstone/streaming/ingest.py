@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 from quernstone.runtime import new_folder, staged
 
 FILES = "partition string, file_id string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, on disk; the session's setting is put back."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def _batches(spark: SparkSession, folder: str) -> list[str]:
@@ -18,25 +32,30 @@ def _batches(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().toString() for s in (path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or [])]
 
 
+def known_elsewhere(spark: SparkSession, sink: str, run: str) -> DataFrame | None:
+    """The files that other runs accepted."""
+    others = [b for b in _batches(spark, f"{sink}/files") if f"/run={run}/" not in b]
+    return spark.read.schema(FILES).parquet(*others) if others else None
+
+
 def ingest_stream(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, *, run: str = "0") -> StreamingQuery:
     """Chunk new files into ``sink``/chunks; a (partition, file_id) that came before, in any batch or run, is refused.
 
-    The catalog of accepted files, also of those without chunks, is a narrow table of its own (``sink``/files), so a batch is
-    compared with names and never with chunks. Each batch writes below its own number and overwrites it when it is run again,
-    so a restart repeats nothing; the catalog is written last. ``run`` names a stream with a checkpoint of its own.
+    What came earlier in this run is known to the stream's state store, one key a file, looked up for the batch's own keys: no batch reads what
+    the batches before it wrote. The files of other runs (streams with checkpoints of their own) are a narrow catalog, ``sink``/files,
+    whose size doesn't grow with this run; a batch is compared with names and never with chunks. Each batch writes below its own number and
+    overwrites it when it is run again, so a restart repeats nothing; the catalog, with files that gave no chunks too, is written last.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark, own = batch.sparkSession, f"run={run}/batch={number}"
-        fresh = batch.dropDuplicates(["partition", "file_id"])
-        earlier = [b for b in _batches(spark, f"{sink}/files") if not b.endswith(f"/{own}")]
-        if earlier:
-            fresh = fresh.join(spark.read.schema(FILES).parquet(*earlier), ["partition", "file_id"], "left_anti")
-        fresh = staged(fresh, "fresh")
+        earlier = known_elsewhere(spark, sink, run)
+        fresh = staged(batch if earlier is None else batch.join(earlier, ["partition", "file_id"], "left_anti"), "fresh")
         chunk(fresh).write.mode("overwrite").parquet(f"{sink}/chunks/{own}")
         fresh.select("partition", F.col("file_id").cast("string").alias("file_id")).write.mode("overwrite").parquet(f"{sink}/files/{own}")
 
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocksdb(docs.sparkSession):
+        return docs.dropDuplicates(["partition", "file_id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_of(spark: SparkSession, source: str, schema, **options) -> DataFrame:
