@@ -7,6 +7,10 @@ d2 <= d1 + 2r (triangle inequality) and (d2^2 - d1^2) / (2 d(p, q)) <= r (distan
 copied only where both hold. Cells are then joined independently, in blocks of ``BLOCK`` rows by matrix products; a
 home row meets all partners there, so links are counted once and nothing crosses cells.
 
+A label of many vectors is split in steps of at most ``PIVOTS`` cells, and cells that are still large are split again by pivots of their
+own, in which a vector that only visits the cell goes on visiting. That ends when every cell fits, or when splitting no longer parts a cell
+(its vectors are all within the radius of each other), which the blocks then join.
+
 Equal vectors of a label form one class and are compared once; a class counts with its size. A block reports, for each row,
 its number of links and one link to the root of the block's own components, so its output is linear in its rows.
 
@@ -29,8 +33,8 @@ from quernstone.runtime import small_batches, staged
 
 BLOCK = 2048
 CELL = 4096  # distinct vectors a cell should hold
-MAX_PIVOTS = 1024  # of a label
-CHUNK = 16_384  # vectors of a label that one task assigns to pivots
+PIVOTS = 1024  # of one step of splitting, which bounds what a task holds beside its vectors
+CHUNK = 16_384  # vectors that one task assigns to pivots
 SLACK = 1e-7
 
 
@@ -73,6 +77,64 @@ def block_roots(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]
     return row_root, col_root
 
 
+CELL_ROW = "group string, node long, n long, parts array<double>, home boolean"
+
+
+def split_cells(rows: DataFrame, radius: float, cell: int) -> DataFrame:
+    """``rows`` (CELL_ROW) with groups split into cells, groups of their own, until each has about ``cell`` home rows or can't be split.
+
+    Every home row stands in one cell, together with all rows of its group within ``radius``; rows that aren't at home don't come home.
+    """
+    done = None
+    while True:
+        sizes = rows.groupBy("group").agg(F.count_if("home").alias("size"))
+        scaled = rows.join(sizes, "group").withColumn("pivots", F.least(F.ceil(F.col("size") / cell), F.lit(PIVOTS)))
+        one = scaled.filter("pivots <= 1").select("group", "node", "n", "parts", "home")
+        split = staged(_deal(scaled.filter("pivots > 1"), radius), "vector-cells")
+        done = one if done is None else done.unionByName(one)
+        # a cell that is large still goes on if it has lost a fifth of the rows that met in its group
+        before = rows.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes")).withColumnRenamed("group", "parent")
+        after = split.groupBy("parent", "group").agg(F.count(F.lit(1)).alias("now"), F.count_if("home").alias("now_homes"))
+        large = staged(after.filter(F.col("now_homes") > 2 * cell).join(before, "parent").filter("5 * now <= 4 * rows").select("group"), "large")
+        fits = split.drop("parent")
+        if large.limit(1).count() == 0:
+            return staged(done.unionByName(fits), "vector-cells")
+        done = done.unionByName(fits.join(large, "group", "left_anti"))
+        rows = fits.join(large, "group", "left_semi")
+
+
+def _deal(rows: DataFrame, radius: float) -> DataFrame:
+    """Groups with their ``pivots`` (a number) and ``size`` to cells by random pivots: parent, and CELL_ROW with the cell as group."""
+    draw = F.pmod(F.xxhash64("node", "group"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = staged(rows.filter(F.col("home") & (draw < F.col("pivots") / F.col("size"))).select("group", "parts"), "pivots")
+    counts = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    spread = chosen.join(counts, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", "chunk", "parts")
+    dealt = rows.join(counts, "group").withColumn("chunk", F.pmod(F.hash("node"), "chunks")).select("group", "chunk", "node", "n", "parts", "home")
+    columns = ["parent", "group", "node", "n", "parts", "home"]
+
+    def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({c: [] for c in columns})
+        left = left.rename(columns={"group": "parent"})
+        if not len(right):
+            return left.assign(group=left["parent"] + "/0")[columns]
+        pivots = np.stack(sorted(right["parts"], key=tuple))
+        pivots = pivots / np.sqrt((pivots**2).sum(axis=1))[:, None]
+        out = []
+        for lo in range(0, len(left), BLOCK):
+            part = left.iloc[lo : lo + BLOCK]
+            raw = np.stack(part["parts"].to_list())
+            home, copies = assign(raw / np.sqrt((raw**2).sum(axis=1))[:, None], pivots, radius)
+            index = np.repeat(np.arange(len(part)), [len(c) for c in copies])
+            both = pd.concat([part, part.iloc[index].assign(home=False)])
+            cell = np.concatenate([home, *copies]).astype("int64")
+            out.append(both.assign(group=both["parent"] + "/" + cell.astype(str).astype(object)))
+        return pd.concat(out)[columns]
+
+    schema = f"parent string, {CELL_ROW}"
+    return dealt.groupBy("group", "chunk").cogroup(spread.groupBy("group", "chunk")).applyInPandas(deal, schema)
+
+
 def link_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL) -> DataFrame:
     """One row per vector: the id, n_links, component_id, kept."""
     small_batches(vectors.sparkSession, 4096)
@@ -90,37 +152,7 @@ def link_vectors(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
     classes = classes.withColumn("group", F.concat_ws("/", F.col("label").cast("string"), F.size("parts").cast("string"))).withColumn("node", F.monotonically_increasing_id())
     classes = staged(classes.select("node", "key", "n", "least", "group", "parts"), "vector-classes")
 
-    sizes = classes.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    scaled = classes.join(sizes, "group").withColumn("pivots", F.least(F.ceil(F.col("size") / cell), F.lit(MAX_PIVOTS)))
-    one = scaled.filter("pivots = 1").select(F.col("group"), F.lit(0).alias("cell"), "node", "n", "parts", F.lit(True).alias("home"))
-    more = scaled.filter("pivots > 1")
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = more.filter(draw < F.col("pivots") / F.col("size")).select("group", "parts", "size")
-    chosen = staged(chosen, "pivots")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    spread = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("group", "chunk", "parts")
-    dealt = more.withColumn("chunk", F.pmod(F.hash("node"), chunks)).select("group", "chunk", "node", "n", "parts")
-    schema = "group string, cell int, node long, n long, parts array<double>, home boolean"
-
-    def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"group": [], "cell": [], "node": [], "n": [], "parts": [], "home": []})
-        if not len(right):
-            return left.assign(cell=0, home=True)[["group", "cell", "node", "n", "parts", "home"]]
-        pivots = np.stack(sorted(right["parts"], key=tuple))
-        pivots = pivots / np.sqrt((pivots**2).sum(axis=1))[:, None]
-        out = []
-        for lo in range(0, len(left), BLOCK):
-            part = left.iloc[lo : lo + BLOCK]
-            raw = np.stack(part["parts"].to_list())
-            home, copies = assign(raw / np.sqrt((raw**2).sum(axis=1))[:, None], pivots, radius)
-            out.append(part.assign(cell=home, home=True))
-            index = np.repeat(np.arange(len(part)), [len(c) for c in copies])
-            out.append(part.iloc[index].assign(cell=np.concatenate(copies).astype("int64") if len(index) else [], home=False))
-        return pd.concat(out)[["group", "cell", "node", "n", "parts", "home"]]
-
-    split = dealt.groupBy("group", "chunk").cogroup(spread.groupBy("group", "chunk")).applyInPandas(deal, schema)
-    cells = staged(one.unionByName(split), "vector-cells")
+    cells = split_cells(classes.select("group", "node", "n", "parts", F.lit(True).alias("home")), radius, cell).withColumn("cell", F.lit(0))
 
     counts = cells.groupBy("group", "cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("all"))
     sized = cells.join(counts, ["group", "cell"]).withColumn("hb", F.ceil(F.col("homes") / BLOCK).cast("int")).withColumn("ob", F.ceil(F.col("all") / BLOCK).cast("int"))

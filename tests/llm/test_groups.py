@@ -129,7 +129,7 @@ def test_shards_keep_every_row_and_version(spark):
     done = store.version()
     assert store.compact() == done
     with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), first)
+        store._commit(store.manifest(), first, store.schema())
     assert store.vacuum(done) > 0 and store.read().count() == docs.count()
     assert store.read(with_shard=True).filter("shard is null").count() == 0
 
@@ -414,3 +414,41 @@ def test_pipeline_stages(spark):
     run = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "text", "shard"} <= set(run.columns) and run.count() > 0
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_shard_schemas_widen_or_are_refused(spark):
+    store = sharding.ShardStore(spark, new_folder(spark, "shards"))
+    store.append(spark.createDataFrame([(1, "a", 1.5)], "id int, text string, score float"))
+    store.append(spark.createDataFrame([(5_000_000_000, "b", "x")], "ID long, text string, extra string"))
+    for bad in ("id string", "text int", "score string, id long"):
+        before = store.version(), sorted(f.getPath().toString() for f in store._fs.listStatus(store._path("runs")))
+        with pytest.raises(sharding.SchemaConflict):
+            store.append(spark.createDataFrame([], bad))
+        assert (store.version(), sorted(f.getPath().toString() for f in store._fs.listStatus(store._path("runs")))) == before
+    store.append(spark.createDataFrame([(3, 2.25)], "id int, score double"))
+    want = [(1, "a", 1.5, None), (3, None, 2.25, None), (5_000_000_000, "b", None, "x")]
+    assert store.read().columns == ["id", "text", "score", "extra"]
+    assert sorted(map(tuple, store.read().collect())) == want
+    store.fanout = 2
+    store.compact_all()
+    store.vacuum(store.version())
+    assert sorted(map(tuple, store.read().collect())) == want and store.manifest().count() == 1
+    assert dict(store.read().dtypes) == {"id": "bigint", "text": "string", "score": "double", "extra": "string"}
+
+
+def test_vectors_split_again_until_cells_fit(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", 3)
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((150, 12))
+    rows = np.concatenate([base, base[:60] + rng.standard_normal((60, 12)) * 0.03, np.repeat(base[:1], 5, axis=0), base[:1] + rng.standard_normal((40, 12)) * 0.001])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(3)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & ~np.eye(len(rows), dtype=bool)
+    want = roots_of(range(len(rows)), zip(*np.nonzero(linked)))
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(df, cell=16).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(linked[i].sum()), want[i]) for i in want}
+    radius = float(np.sqrt(2 - 2 * 0.98))
+    classes = spark.createDataFrame([("g", i, 1, v.tolist(), True) for i, v in enumerate(rows[:210])], embedding_dedup.CELL_ROW)
+    cells = embedding_dedup.split_cells(classes, radius, 16)
+    assert max(r.group.count("/") for r in cells.select("group").distinct().collect()) >= 2  # split more than once
+    assert cells.filter("home").count() == 210 == cells.filter("home").select("node").distinct().count()
