@@ -313,3 +313,20 @@ def test_decontamination(spark, max_words):
             assert t[a:b].strip(" .,-!") == t[a:b]
     assert decontamination.find_overlaps(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontamination.find_overlaps(docs.limit(0), bench).count() == 0
+
+
+def test_items_of_several_passes_give_the_same(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for i in range(30)] + [(30, None), (31, ""), (None, "nobody's item")]
+    texts = [" ".join(rng.choices(words, k=5)) + " " + items[i % 30][1].upper() + ", " + " ".join(rng.choices(words, k=4)) + " " + items[(i * 7) % 30][1] for i in range(40)]
+    texts += [None, "", "!?", "nobody's item here", "long " * 40_000 + items[3][1] + " w1" * 40_000] + texts[:3]
+    docs = spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate(texts)], "doc_id long, text string, row string, hit int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda df: sorted((repr(r) for r in df.collect()))
+    one = decontamination.find_overlaps(docs, bench, keep=("doc_id", "row", "hit"))
+    many = decontamination.find_overlaps(docs, bench, keep=("doc_id", "row", "hit"), max_words=30, pass_words=60)
+    assert plain(one) == plain(many) and one.filter("contaminated").count() >= 40
+    assert len(list(decontamination.passes(bench, 10, 30, 60))) > 3
+    kept = decontamination.keep_clean(docs, bench, max_words=30, pass_words=60)
+    assert kept.columns == docs.columns and plain(kept) == plain(decontamination.keep_clean(docs, bench))
