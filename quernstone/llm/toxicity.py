@@ -7,7 +7,7 @@ toxic window, in training (the gradient goes through that window) and in scoring
 
 Windows cover the whole text: ``WINDOW`` words each, the last one stretched back to full length.
 
-Training takes a bounded sample of labelled rows (``max_rows`` toxic, twice as many others, ``max_chars`` in all, in hash order);
+Training begins with one diagonal Newton step over whole documents and goes on with joint AdaGrad epochs (``train``). It takes a bounded sample of labelled rows (``max_rows`` toxic, twice as many others, ``max_chars`` in all, in hash order);
 scoring covers every document. As the model is linear in the word vectors, a word adds a fixed amount to its window,
 kept in a bounded cache per worker.
 
@@ -35,8 +35,8 @@ from quernstone.runtime import small_batches
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5, 6)
 WINDOW = 64
-STANDS_OUT = 3  # standard errors from which on a row's evidence is taken for more than chance
-SMALL = 0.1  # what is left of the other components' first values, so that the evidence leads at the start
+STANDS_OUT = 3  # standard errors from which on a row's first step is taken for more than chance
+SMALL = 0.1  # what is left of the other components' first values, so that the first step leads at the start
 CACHE = 2_000_000  # words whose margins a worker keeps
 
 
@@ -173,31 +173,30 @@ def window_means(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.n
     return np.cumsum(change[:windows]) / min(WINDOW, len(values))
 
 
-def evidence(docs: list[np.ndarray], y: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each table row the log of its rate in documents of label 1 over that in the others; 0 for rows whose count in documents
-    of label 1 lies within ``STANDS_OUT`` standard errors of what their share of all documents gives."""
-    held = np.zeros((2, BUCKETS))
+def newton_step(docs: list[np.ndarray], y: np.ndarray, share: float, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each table row the step of a logistic loss at its start, gradient over curvature, on the row's presence in whole documents.
+
+    A step within ``STANDS_OUT`` standard errors of none (gradient over the root of the curvature) is not taken.
+    """
+    gradient, curvature = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for d, label in zip(docs, y.tolist()):
         words = np.unique(d)
         per_word = counts[words]
         before = np.cumsum(per_word) - per_word
         seen = np.zeros(BUCKETS, dtype=bool)
         seen[ids[np.repeat(starts[words] - before, per_word) + np.arange(per_word.sum())]] = True
-        held[label] += seen
-    rows, ones = len(y), int(y.sum())
-    both = held.sum(axis=0)
-    expected = both * ones / rows
-    error = np.sqrt(np.maximum(expected * (1 - ones / rows), 1e-9))
-    prior = (both + 1) / (rows + 2)
-    log_ratio = np.log((held[1] + prior) / (ones + 1)) - np.log((held[0] + prior) / (rows - ones + 1))
-    return np.where(np.abs(held[1] - expected) >= STANDS_OUT * error, log_ratio, 0.0)
+        gradient += seen * (label - share)
+        curvature += seen * (share * (1 - share))
+    clear = np.abs(gradient) >= STANDS_OUT * np.sqrt(np.maximum(curvature, 1e-9))
+    return np.where(clear, gradient / (curvature + 0.25), 0.0)
 
 
-def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch: int = 32, rate: float = 0.2, seed: int = 7, first: float = 16.0) -> Model:
-    """Joint gradient steps (AdaGrad) on the table and the softmax.
+def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch: int = 32, rate: float = 0.2, seed: int = 7, first: float = 16.0, step: float = 2.0) -> Model:
+    """Gradient epochs on the table and the softmax together.
 
-    The vectors' first component starts at the row's ``evidence``, which the softmax weighs by ``first``, so that few labels don't leave the
-    table to the chance of its first values.
+    The vectors start small and random but for their first component, which starts at 0 and has weight ``first`` in the softmax. In the first
+    epoch it takes ``step`` times its ``newton_step`` over whole documents, as nothing tells yet which windows count; the other
+    epochs are joint AdaGrad steps of all components and of the softmax through each document's most toxic window. Without epochs nothing is learned.
     """
     y = np.array(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
@@ -210,13 +209,13 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 6, batch:
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)] or [vocabulary.setdefault("", len(vocabulary))], dtype=np.int32) for t in texts]
     ids, starts, counts = _all_ngrams(list(vocabulary))
     del vocabulary
-    model.table[:, 0] = evidence(docs, y, ids, starts, counts)
-    model.table[:, 1:] *= SMALL
+    model.table *= SMALL
+    model.table[:, 0] = step * newton_step(docs, y, share, ids, starts, counts) if epochs else 0.0
     model.top[0] = (-first, first)
     model.bias[:] = np.log([1 - share, share]) / 2
     befores = [previous(d).astype(np.int32) for d in docs]
     squares = [np.full(model.table.shape[0], 1e-3), np.full(model.top.shape, 1e-3), np.full(2, 1e-3)]
-    for _ in range(epochs):
+    for _ in range(epochs - 1):
         margin = np.add.reduceat((model.table @ (model.top[:, 1] - model.top[:, 0]))[ids], starts) / counts
         bags, widths = [], []
         for d, before in zip(docs, befores):
@@ -300,6 +299,6 @@ def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> Data
 
 def learn(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model for ``docs`` and ``labels``; callers leave held-out rows out of ``labels``."""
-    fit = {k: options.pop(k) for k in ("epochs", "batch", "rate", "seed", "first") if k in options}
+    fit = {k: options.pop(k) for k in ("epochs", "batch", "rate", "seed", "first", "step") if k in options}
     sample = training_sample(docs, labels, **options)
     return train(sample["text"].tolist(), sample["y"].astype(int).tolist(), **fit)
