@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import models
 from quernstone.functions import text as T
 from quernstone.functions import vectors as V
-from quernstone.operators import catalog, chunking, dense_index, density, evaluation, numbering, prompts, retrieval, search, tasks
+from quernstone.operators import catalog, chunking, dense_index, density, evaluation, layout, numbering, prompts, retrieval, search, tasks
 from quernstone.runtime import new_folder, small_batches, table
 from quernstone.sources import images, loaders
 from quernstone.streaming import ingest, machine
@@ -995,6 +995,13 @@ def density_clusters(spark, sf_dir):
     return density.density_clusters(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def layout_clusters(spark, sf_dir):
+    """Neighbour-graph reduction to five dimensions, then density clusters; tests hold both against exact neighbours and brute force."""
+    placed = layout.graph_layout(table(spark, sf_dir, "embeddings"), dims=5)
+    return density.density_clusters(placed, vector="position")
+
+
 @query()
 def pca_kmeans(spark, sf_dir):
     return evaluation.reduce_and_cluster(table(spark, sf_dir, "embeddings"))
