@@ -130,8 +130,8 @@ def measure_of(length: str) -> Callable[[str], int]:
     return token_length(length) if length.endswith(".json") else LENGTHS[length]
 
 
-def length_totals(rows: DataFrame, by: str, *, length: str = "words", text: str = "chunk") -> DataFrame:
-    """The summed length of each group's texts: by, n."""
+def with_length(rows: DataFrame, *, length: str = "words", text: str = "chunk", name: str = "n") -> DataFrame:
+    """``rows`` with the length of each text; null is empty."""
     small_batches(rows.sparkSession)
     measure = measure_of(length)
 
@@ -139,7 +139,12 @@ def length_totals(rows: DataFrame, by: str, *, length: str = "words", text: str
     def measured(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: measure(t or "")).astype("int64")
 
-    return rows.select(by, measured(text).alias("n")).groupBy(by).agg(F.sum("n").alias("n"))
+    return rows.withColumn(name, measured(text))
+
+
+def length_totals(rows: DataFrame, by: str, *, length: str = "words", text: str = "chunk") -> DataFrame:
+    """The summed length of each group's texts: by, n."""
+    return with_length(rows.select(by, text), length=length, text=text).groupBy(by).agg(F.sum("n").alias("n"))
 
 
 def chunk_with(docs: DataFrame, splitter: str, *, size: int = 200, overlap: int = 20, length: str = "characters", keep: tuple[str, ...] = ("doc_id",), min_length: int = 3) -> DataFrame:

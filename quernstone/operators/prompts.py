@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,12 +93,10 @@ def qa_block(chunks: DataFrame, by: str) -> DataFrame:
 
 
 def fill(template: str, **values: Column) -> Column:
-    """A template with each ``{name}`` replaced; ``query`` and ``question`` stand for each other."""
+    """A template with each ``{name}`` replaced, all at once: a value that holds braces itself stays as it is; ``query`` and ``question`` stand for each other."""
     if "query" in values:
         values.setdefault("question", values["query"])
     elif "question" in values:
         values["query"] = values["question"]
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    parts = re.split(r"\{(\w+)\}", template)  # text, name, text, name, ...
+    return F.concat(*[F.lit(p) if i % 2 == 0 else values.get(p, F.lit("{" + p + "}")) for i, p in enumerate(parts)])

@@ -6,6 +6,8 @@ benchmark items, or every embedding whose id is divisible by 100, against all ro
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +17,7 @@ from quernstone.functions import models
 from quernstone.functions import text as T
 from quernstone.functions import vectors as V
 from quernstone.operators import catalog, chunking, dense_index, density, evaluation, layout, numbering, prompts, retrieval, search, tasks
+from quernstone.operators.templates import TEMPLATES
 from quernstone.runtime import new_folder, small_batches, table
 from quernstone.sources import images, loaders
 from quernstone.streaming import ingest, machine
@@ -209,6 +212,16 @@ def chunk_recursive(spark, sf_dir):
     return chunking.chunk_with(documents(spark, sf_dir), "recursive", size=500, overlap=50)
 
 
+@query()
+def chunk_by_tokens(spark, sf_dir):
+    """Recursive chunks of at most 128 tokens of a public vocabulary, each with its length; a test holds both against the library."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = chunking.chunk_with(documents(spark, sf_dir), "recursive", size=128, overlap=16, length=path, keep=("doc_id",))
+    return chunking.with_length(rows, length=path)
+
+
 def with_headers(spark, sf_dir):
     """Documents whose lines alternate between headers and bodies."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), x)).otherwise(x))
@@ -691,6 +704,30 @@ def qa_prompt_block(spark, sf_dir):
     return prompts.qa_block(chunked(spark, sf_dir).withColumn("n", F.col("chunk_no") + 1), "doc_id")
 
 
+def filled(name: str, **columns: str) -> str:
+    """SQL for a template with columns in the places of its names."""
+    return "'" + re.sub(r"\{(\w+)\}", lambda m: f"' || {columns[m[1]]} || '", TEMPLATES[name].replace("'", "\'\'")) + "'"
+
+
+@query(f"""WITH {CHUNKS}, w AS (SELECT *, lag(chunk, 1, '') OVER (PARTITION BY doc_id ORDER BY chunk_no) AS prev_chunk FROM chunks),
+f AS (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY chunk_no) AS first_chunks FROM chunks WHERE chunk_no < 4 GROUP BY doc_id)
+SELECT doc_id, chunk_no, md5({filled("chunk_context", source="source", first_chunks="first_chunks", prev_chunk="prev_chunk", chunk="chunk")}) AS prompt_md5 FROM w JOIN f USING (doc_id)""")
+def prompt_chunk_context(spark, sf_dir):
+    """The contextualiser's prompt for every chunk."""
+    rows = chunking.with_context(chunked(spark, sf_dir))
+    prompt = prompts.fill(TEMPLATES["chunk_context"], **{c: F.col(c) for c in ("source", "first_chunks", "prev_chunk", "chunk")})
+    return rows.select("doc_id", "chunk_no", F.md5(prompt.cast("binary")).alias("prompt_md5"))
+
+
+@query(f"""SELECT item_id AS query_id, {filled("multi_query", k_queries="'3'", query="text")} AS multi_query, {filled("hyde", question="text")} AS hyde, {filled("answer", context="'{question} ' || text")} AS answer,
+{filled("query_context")} AS query_context, {filled("image_caption")} AS image_caption FROM benchmark""")
+def prompt_templates(spark, sf_dir):
+    """Every other template, filled for each question; a name in braces within a value stays."""
+    text = F.col("text")
+    values = {"multi_query": {"k_queries": F.lit("3"), "query": text}, "hyde": {"query": text}, "answer": {"context": F.concat(F.lit("{question} "), text), "question": text}, "query_context": {}, "image_caption": {}}
+    return questions(spark, sf_dir).select("query_id", *[prompts.fill(TEMPLATES[name], **v).alias(name) for name, v in values.items()])
+
+
 # --- catalog -----------------------------------------------------------------------------------------------------
 
 

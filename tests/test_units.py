@@ -200,3 +200,35 @@ def test_loaders(spark, tmp_path):
     assert got["h.docx"][0] is None and got["h.docx"][1]
     known = spark.createDataFrame([("_default", "a.txt")], "partition string, file_id string")
     assert loaders.scan_files(spark, str(tmp_path), known=known).count() == len(got) - 1
+
+
+def test_templates_fill_all_names_at_once(spark):
+    df = spark.createDataFrame([("has {chunk} in it", "the chunk {source}")], "a string, b string")
+    out = df.select(prompts.fill("<{source}|{chunk}|{unknown}|{query}>", source=F.col("a"), chunk=F.col("b"), question=F.lit("q"))).head()[0]
+    assert out == "<has {chunk} in it|the chunk {source}|{unknown}|q>"
+    assert df.select(prompts.fill("plain")).head()[0] == "plain"
+
+
+def test_chunks_by_tokens_equal_the_library(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "One sentence here. " * 60 + "\n\n" + "añother wörd " * 90), (2, "short text"), (3, None)], "doc_id long, text string")
+    rows = chunking.with_length(chunking.chunk_with(docs, "recursive", size=40, overlap=8, length=path), length=path).collect()
+    library = Tokenizer.from_file(path)
+    assert [r.n for r in rows] == [len(library.encode(r.chunk, add_special_tokens=False).ids) for r in rows]
+    assert max(r.n for r in rows) <= 40 and {r.doc_id for r in rows} == {1, 2} and len(rows) > 10
+
+
+@pytest.mark.parametrize("gone, fails", [("quernstone.llm", False), ("ahocorasick", True)])
+def test_only_the_subpackage_itself_may_be_absent(gone, fails):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"import sys; sys.path.insert(0, {str(root)!r}); sys.modules[{gone!r}] = None; import __spark_entry__ as e; assert 'op8_decontaminate' not in e.queries() and 'bm25_topk' in e.queries()"
+    if fails and not (root / "quernstone/llm").exists():
+        pytest.skip("the subpackage is absent")
+    assert (subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode != 0) == fails
