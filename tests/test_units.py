@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import models
 from quernstone.functions import text as T
-from quernstone.operators import catalog, chunking, evaluation, prompts, retrieval, search, tasks
+from quernstone.operators import catalog, chunking, evaluation, numbering, prompts, retrieval, search, tasks
 from quernstone.runtime import new_folder
 from quernstone.sources import loaders
 
@@ -144,7 +144,7 @@ def test_metrics(spark):
 def test_positional_zip(spark):
     a = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "i int, x string")
     b = spark.createDataFrame([(20, "q"), (10, "p")], "j int, y string")
-    assert sorted(one(evaluation.zip_rows(a, b, "i", "j").select("x", "y"))) == [("a", "p"), ("b", "q")]
+    assert sorted(one(numbering.zip_rows(a, b, "i", "j").select("x", "y"))) == [("a", "p"), ("b", "q")]
 
 
 def test_task_states(spark):
