@@ -195,14 +195,10 @@ class ChunkStore:
             raise
         self._keep_indexed()
 
-    def _overlay(self, changes: DataFrame) -> Overlay | None:
-        """Write an overlay of (partition, file_id, deleted, metadata)."""
+    def _overlay(self, changes: DataFrame, masks: Masks) -> Overlay:
+        """Write an overlay of (partition, file_id, deleted, metadata), a table of the files that change."""
         name = f"overlays/{uuid.uuid4().hex}"
         changes.select("partition", "file_id", "deleted", "metadata").coalesce(1).write.parquet(f"{self.root}/{name}")
-        masks = masks_of(self._read([name], OVERLAY))
-        if not masks:
-            self.log.delete(name)
-            return None
         return Overlay(name, masks)
 
     def _mutate(self, wanted: DataFrame, deleted: bool, added: Sequence[Segment] = (), missing: str = "ignore") -> int:
@@ -218,13 +214,14 @@ class ChunkStore:
             masks = masks_of(wanted)
             there = files(self._rows(state, state.of(masks, masks)))
             found = staged(wanted.join(there, ["partition", "file_id"], "left_semi"), "found")
-            counts[0] = found.count()
+            met = found.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), *mask_words(F.col("file_id"))).collect()  # a row for each partition
+            counts[0] = sum(r.n for r in met)
             if not counts[0]:
                 if missing != "ignore":
                     raise NotFound(missing)
                 return Change()
             data = F.col("metadata") if "metadata" in found.columns else F.lit(None).cast("map<string,string>")
-            one = self._overlay(found.select("partition", "file_id", F.lit(deleted).alias("deleted"), data.alias("metadata")))
+            one = self._overlay(found.select("partition", "file_id", F.lit(deleted).alias("deleted"), data.alias("metadata")), {r.partition: mask_of(r) for r in met})
             written.append(one)
             touched = dict(one.masks)
             for s in added:
