@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: A trained classifier and signatures have no SQL form; tests hold each stage against a brute-force version.
+#: A trained classifier and signatures have no SQL form; tests check what each stage keeps, drops and returns, and the operators below them against brute force.
 ORACLE_SQL = None
