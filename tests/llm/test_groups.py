@@ -1,6 +1,7 @@
 """Mixing, sharding, near-duplicates, URL rules and the pipeline against brute force."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -296,6 +297,25 @@ def test_a_crowd_of_near_copies_needs_few_candidates(spark):
     assert sum(got[d] == c for d, c in want.items()) >= 0.99 * len(want)
 
 
+def test_a_crowd_hides_few_links(spark):
+    """Texts with 4 edits of one base are hardly ever links of each other; those with 2 edits are."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(630):
+        c = list(base)
+        for at in rng.sample(range(200), 4 if i < 600 else 2):
+            c[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(c)))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = linked_groups(rows, 5)
+    size = Counter(want.values())
+    linked = [d for d, c in want.items() if size[c] > 1]
+    assert len(linked) > 30
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)
+    assert all(got[d] == d for d, c in want.items() if c == d)
+
+
 def brute_vectors(rows, cosine=0.98):
     def fine(v, label):
         return label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
