@@ -86,10 +86,11 @@ def retrieve(
     # a query's number among all of its question's, as one id for the search
     numbered = queries.withColumn("question", F.col("query_id")).withColumn("query_id", F.xxhash64("question", "query_idx"))
     staged_queries = staged(numbered.withColumn("vector", embed(F.col("text"))), "queries")
-    found = search.search(staged_queries.select("query_id", "text", "vector"), chunks, partitions=partitions, filters=filters, top_k=top_k, threshold=threshold, hybrid=hybrid)
+    some = search.scope(chunks, partitions, filters)
+    found = search.ranked(staged_queries.select("query_id", "text", "vector"), some, top_k=top_k, threshold=threshold, hybrid=hybrid)
     found = found.select("query_id", "rank", "chunk_id", "score").join(staged_queries.select("query_id", "question", "query_idx"), "query_id")
     merged = search.merge_queries(found.select(F.col("question").alias("query_id"), "query_idx", "rank", "chunk_id", "score"), by=("query_id",))
-    rows = merged.select("query_id", "chunk_id", "score", F.col("position").alias("rank")).join(chunks.drop("vector", "score", "rank"), "chunk_id")
+    rows = search.with_chunks(merged.withColumn("rank", F.col("position")), some)
     asked = questions.select("query_id", F.col("text").alias("question_text"))
     if grade is not None:
         rows = keep_relevant(rows.join(asked, "query_id").withColumn("grade", grade(F.col("question_text"), F.col("text"))), F.col("grade")).drop("question_text", "grade")

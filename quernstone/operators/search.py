@@ -278,8 +278,12 @@ def search(queries: DataFrame, chunks: DataFrame, *, partitions: str | Sequence[
     chunks whose cosine is above ``threshold`` count.
     """
     some = scope(chunks, partitions, filters)
-    found = hybrid_topk(queries, some, top_k, threshold=threshold) if hybrid else dense_topk(queries, some, top_k, threshold=threshold)
-    return with_chunks(found, some)
+    return with_chunks(ranked(queries, some, top_k=top_k, threshold=threshold, hybrid=hybrid), some)
+
+
+def ranked(queries: DataFrame, chunks: DataFrame, *, top_k: int = 5, threshold: float | None = 0.8, hybrid: bool = True) -> DataFrame:
+    """What ``search`` finds in ``chunks``, as ids only: query_id, chunk_id, score, rank."""
+    return (hybrid_topk if hybrid else dense_topk)(queries, chunks, top_k, threshold=threshold)
 
 
 def with_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import catalog, commits, dense_index, postings, search
-from quernstone.runtime import new_folder
+from quernstone.operators import catalog, commits, dense_index, postings, retrieval, search
+from quernstone.runtime import new_folder, staged
 
 DATA = "/root/testdata/sf0.01"
 
@@ -342,9 +342,13 @@ def test_search_results_meet_chunks_without_shuffling_them(spark, vectors, quest
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = search.search(questions, vectors, threshold=0.1, hybrid=False)
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" not in plan.split("chunk_id")[0] and "BroadcastHashJoin" in plan
-        assert Path(DATA).exists()
+        chunks = staged(vectors, "chunks")
+        size = len(chunks.first().vector)
+        embed = lambda text: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.hash(text, i) % 7).cast("float"))
+        asked = questions.select("query_id", "text")
+        for found in (search.search(questions, chunks, threshold=0.1, hybrid=False), retrieval.retrieve(asked, chunks, embed=embed, threshold=-1.0, hybrid=False)):
+            assert found.count()
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
