@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quernstone.runtime import small_batches, staged
 
 SCALE, SHIFT = 1024, 100_000
-LARGEST = 2.0**20  # entries beyond are dropped, so that sums of a task stay within a long
-BLOCK = 8
+LARGEST = 2.0**20  # entries beyond are dropped, so that x fits an int and a task's sums a long
+BLOCK = 32  # directions of a pass: reading and decoding a row then costs about as much as multiplying it
 TOLERANCE = 1e-14
 FLOOR = 1e-12  # smallest eigenvalue, as a share of the largest, that a component needs
 
@@ -61,7 +61,7 @@ class Fit:
 def whole_vectors(rows: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(key, x) of the vectors that take part, written once."""
     fine = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda c: F.coalesce(F.abs(c.cast("double")) <= LARGEST, F.lit(False)))
-    scaled = F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE).cast("long") + SHIFT)
+    scaled = F.transform(vector, lambda c: (F.floor(c.cast("double") * SCALE) + SHIFT).cast("int"))
     made = staged(rows.filter(fine).select(F.col(key), scaled.alias("x")), "whole-vectors")
     common = made.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     return made.filter(F.size("x") == common[0].d) if common else made
@@ -78,7 +78,7 @@ def column_sums(x: DataFrame) -> tuple[int, list[int]]:
         n, total = 0, None
         for batch in batches:
             if batch.num_rows:
-                part = _matrix(batch).sum(axis=0)
+                part = _matrix(batch).sum(axis=0, dtype=np.int64)
                 n, total = n + batch.num_rows, part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total), dtype=np.int32)), pa.array(np.concatenate(([n], total)).astype(np.int64))], ["i", "s"])
