@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, at most 1."""
-    return F.least(dot(a, b) / (norm(a) * norm(b)), F.lit(1.0))
+    """Cosine of two vectors, at most 1; 0 if one of them is zero."""
+    product = dot(a, b)
+    return F.least(F.coalesce(F.try_divide(product, norm(a) * norm(b)), product * 0.0), F.lit(1.0))
 
 
 def normalise(a: Column) -> Column:

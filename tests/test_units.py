@@ -2,12 +2,14 @@
 
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import models
 from quernstone.functions import text as T
+from quernstone.functions import vectors as V
 from quernstone.operators import catalog, chunking, evaluation, numbering, prompts, retrieval, search, tasks
 from quernstone.runtime import new_folder
 from quernstone.sources import loaders
@@ -81,6 +83,23 @@ def test_semantic_keeps_all_sentences(spark):
     assert " ".join(r.chunk for r in out.orderBy("chunk_no").collect()) == "One two. Three four! Five six? Seven eight. Nine ten."
 
 
+def test_semantic_takes_sentences_whose_vector_is_zero(spark):
+    """Words of opposite signs cancel out in the hashed vector: the cosine is 0, not an error."""
+    word, n, seen = "w", 0, {}
+    while True:  # two words of one place and opposite signs
+        h = zlib.crc32(f"{word}{n}.".encode())
+        other = seen.get((h % 64, not h & 0x80000000))
+        if other is not None:
+            break
+        seen[h % 64, bool(h & 0x80000000)] = n
+        n += 1
+    docs = spark.createDataFrame([(1, f"{word}{n}. {word}{other}.")], "doc_id long, text string")
+    out = chunking.semantic_chunks(docs, lambda t: models.apply_model("hash-embedder", "array<float>", t), min_size=5)
+    assert [r.chunk for r in out.collect()] == [f"{word}{n}. {word}{other}."]
+    rows = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
+    assert [r.c for r in rows.select(V.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [0.0, 1.0]
+
+
 def test_dense_ties_threshold_empty(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
     c = spark.createDataFrame([(3, [2.0, 0.0]), (2, [1.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "chunk_id long, vector array<float>")
