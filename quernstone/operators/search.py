@@ -64,19 +64,33 @@ class _Best:
     """The k best chunks of each query that a task has seen, ties to the smaller id."""
 
     def __init__(self, n: int, k: int):
-        self.scores, self.ids, self.k = np.full((n, 0), -np.inf), np.empty((n, 0), dtype=np.int64), k
+        self.scores, self.ids, self.k = np.full((n, k), -np.inf), np.zeros((n, k), dtype=np.int64), k
 
     def add(self, scores: np.ndarray, ids: np.ndarray, floor: float) -> None:
-        """Take in the scores of chunks in the order of their ids; those at ``floor`` or below don't count."""
-        scores = np.where(scores > floor, scores, -np.inf)
-        if scores.shape[1] > self.k:
-            near = np.sort(np.argsort(-scores, axis=1, kind="stable")[:, : self.k], axis=1)
-            scores, ids = np.take_along_axis(scores, near, axis=1), ids[near]
-        else:
-            ids = np.broadcast_to(ids, scores.shape)
-        scores, ids = np.concatenate([self.scores, scores], axis=1), np.concatenate([self.ids, ids], axis=1)
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        """Take in the scores of chunks in the order of their ids; those at ``floor`` or below don't count.
+
+        Only scores that reach a query's k-th best so far are sorted; a query that has many takes its k best of them first.
+        """
+        fine = (scores > floor) & (scores >= self.scores[:, -1:])
+        many = np.flatnonzero(np.count_nonzero(fine, axis=1) > 4 * self.k)
+        rest = fine.copy() if len(many) else fine
+        rest[many] = False
+        row, column = np.nonzero(rest)
+        if len(many):
+            near = np.argsort(np.where(fine[many], -scores[many], np.inf), axis=1, kind="stable")[:, : self.k]
+            row, column = np.concatenate([row, np.repeat(many, near.shape[1])]), np.concatenate([column, near.reshape(-1)])
+        if not len(row):
+            return
+        touched = np.unique(row)
+        held = np.isfinite(self.scores[touched])
+        row = np.concatenate([row, np.repeat(touched, held.sum(axis=1))])
+        new, found = np.concatenate([scores[row[: len(column)], column], self.scores[touched][held]]), np.concatenate([ids[column], self.ids[touched][held]])
+        order = np.lexsort((found, -new, row))
+        row, new, found = row[order], new[order], found[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.scores[touched] = -np.inf
+        self.scores[row[keep], place[keep]], self.ids[row[keep], place[keep]] = new[keep], found[keep]
 
 
 def _kept(blocks: list[tuple[np.ndarray, np.ndarray]], query_ids: np.ndarray) -> pa.RecordBatch:
@@ -114,7 +128,7 @@ def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, threshold: float | None = None, decimals: int = 6) -> DataFrame:
     """Exact cosine top-k: query_id, chunk_id, score, rank.
 
-    One scan of the chunks serves ``QUERY_SCAN`` queries (query_id, vector): their vectors go to the workers as a broadcast of
+    Queries of one vector are searched once. One scan of the chunks serves ``QUERY_SCAN`` vectors of the queries (query_id, vector): they go to the workers as a broadcast of
     that size at most, each task multiplies its batches with them in blocks of ``QUERY_BLOCK`` and keeps k for each query, and one
     window picks among those. Only scores above ``threshold`` count. Scores are capped at 1 and rounded, then ranked, so ranks
     don't depend on summation noise. Chunks (chunk_id, vector) without a vector are left out; vectors are of one length.
@@ -122,7 +136,8 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, threshold:
     spark = chunks.sparkSession
     small_batches(spark, 4096)
     floor = -np.inf if threshold is None else threshold
-
+    asked = queries.filter("vector is not null").select("query_id", "vector")
+    each = staged(asked.groupBy("vector").agg(F.min("query_id").alias("query_id")), "vectors")
     def unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
@@ -146,7 +161,11 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, threshold:
 
         return chunks.filter("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(run, SCORED)
 
-    return top(_union([search(b) for b in _blocks(queries.filter("vector is not null"), ("query_id", "vector"))], spark), k)
+    found = top(_union([search(b) for b in _blocks(each, ("query_id", "vector"))], spark), k)
+    if asked.count() == each.count():
+        return found
+    as_first = asked.join(each.withColumnRenamed("query_id", "first"), "vector").select("query_id", "first")
+    return as_first.join(found.withColumnRenamed("query_id", "first"), "first").select("query_id", "chunk_id", "score", "rank")
 
 
 def _term_rows(chunks: DataFrame, vocabulary: list[str]) -> DataFrame:

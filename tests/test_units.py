@@ -4,6 +4,7 @@ import io
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,34 @@ def test_dense_ties_threshold_empty(spark):
     assert one(search.dense_topk(q.limit(0), c, 3)) == []
 
 
+def test_dense_searches_equal_query_vectors_once(spark, monkeypatch):
+    scanned, blocks = [], search._blocks
+    monkeypatch.setattr(search, "_blocks", lambda *a: (scanned.append(len(held)) or held for held in blocks(*a)))
+    q = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(30)] + [(99, None)], "query_id long, vector array<double>")
+    c = spark.createDataFrame([(i, [1.0, float(i % 7)]) for i in range(50)], "chunk_id long, vector array<float>")
+    got = one(search.dense_topk(q, c, 4).orderBy("query_id", "rank"))
+    assert scanned == [3]
+    alike = lambda i, j: round(min((1 + (i % 3) * (j % 7)) / ((1 + (i % 3) ** 2) ** 0.5 * (1 + (j % 7) ** 2) ** 0.5), 1.0), 6)
+    want = []
+    for i in range(30):
+        best = sorted((-alike(i, j), j) for j in range(50))[:4]
+        want += [(i, j, -s, n + 1) for n, (s, j) in enumerate(best)]
+    assert got == want
+
+
+def test_best_keeps_the_same_rows_in_any_batches():
+    rng = np.random.default_rng(0)
+    scores, ids = np.round(rng.random((40, 900)), 2), rng.permutation(900)
+    scores[3], scores[4, ::2] = 0.5, 0.0
+    for size in (7, 64, 900):
+        best = search._Best(40, 5)
+        for lo in range(0, 900, size):
+            some = np.argsort(ids[lo : lo + size])
+            best.add(scores[:, lo : lo + size][:, some], ids[lo : lo + size][some], 0.1)
+        for row in range(40):
+            assert best.ids[row].tolist() == sorted((i for i, s in zip(ids.tolist(), scores[row]) if s > 0.1), key=lambda i: (-scores[row, np.flatnonzero(ids == i)[0]], i))[:5]
+
+
 def test_rrf_bound(spark):
     leg = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id long, chunk_id long, rank int")
     out = one(search.rrf([leg, leg], 5).orderBy("rank"))
