@@ -329,12 +329,55 @@ def merge_queries(found: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 
 
 def lsh_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, *, bucket: float = 0.5, tables: int = 8, distance: float = 1.2) -> DataFrame:
-    """Approximate top-k of unit vectors: random-projection buckets fetch candidates, exact cosine ranks them."""
+    """Approximate top-k of unit vectors: random-projection buckets fetch candidates, exact cosine ranks them.
+
+    Chunks whose bucket is a query's in one of the tables are its candidates, those nearer than ``distance`` count. As in ``dense_topk``, queries go
+    to the chunks by broadcast, ``QUERY_SCAN`` at a time, and each task keeps k for each, so no candidate is shuffled.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    as_vector = lambda df, i: df.select(F.col(i), array_to_vector(F.col("vector")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(as_vector(chunks, "chunk_id"))
-    pairs = model.approxSimilarityJoin(as_vector(queries, "query_id"), as_vector(chunks, "chunk_id"), distance, "d")
-    cosine = F.round(1 - F.col("d") * F.col("d") / 2, 6)
-    return top(pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), cosine.alias("score")), k)
+    spark = chunks.sparkSession
+    small_batches(spark, 4096)
+
+    @F.udf("array<int>")
+    def buckets_of(h):
+        return [int(x[0]) for x in h]
+
+    def as_vector(df: DataFrame, i: str) -> DataFrame:
+        return df.filter("vector is not null").select(F.col(i).cast("long").alias(i), "vector", array_to_vector(F.col("vector")).alias("v"))
+
+    asked, held_chunks = as_vector(queries, "query_id"), as_vector(chunks, "chunk_id")
+    if held_chunks.isEmpty():
+        return top(_union([], spark), k)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(held_chunks)
+
+    def bucketed(df: DataFrame, i: str) -> DataFrame:
+        return model.transform(df).select(i, "vector", buckets_of("h").alias("h"))
+
+    def matrix(column: pa.Array, rows: int, kind: type) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(rows, -1)
+
+    def search(held: list) -> DataFrame:
+        ids = np.array([r.query_id for r in held], dtype=np.int64)
+        shared = spark.sparkContext.broadcast((np.array([r.vector for r in held], dtype=np.float64), np.array([r.h for r in held], dtype=np.int32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vectors, buckets = shared.value
+            squares = (vectors * vectors).sum(axis=1)
+
+            def score(at: int, batch: pa.RecordBatch) -> np.ndarray:
+                mine = slice(at, at + QUERY_BLOCK)
+                rows, theirs = matrix(batch.column("vector"), batch.num_rows, np.float64), matrix(batch.column("h"), batch.num_rows, np.int32)
+                apart = squares[mine, None] + (rows * rows).sum(axis=1)[None, :] - 2 * (vectors[mine] @ rows.T)
+                met = np.zeros(apart.shape, dtype=bool)
+                for t in range(theirs.shape[1]):
+                    met |= buckets[mine, t][:, None] == theirs[:, t][None, :]
+                met &= apart < distance * distance
+                return np.where(met, np.round(1 - np.maximum(apart, 0) / 2, 6), -np.inf)
+
+            yield from _task_best(list(range(0, len(ids), QUERY_BLOCK)), batches, ids, k, score, -np.inf)
+
+        return bucketed(held_chunks, "chunk_id").mapInArrow(run, SCORED)
+
+    return top(_union([search(held) for held in _blocks(bucketed(asked, "query_id"), ("query_id", "vector", "h"))], spark), k)

@@ -137,6 +137,28 @@ def test_best_keeps_the_same_rows_in_any_batches():
             assert best.ids[row].tolist() == sorted((i for i, s in zip(ids.tolist(), scores[row]) if s > 0.1), key=lambda i: (-scores[row, np.flatnonzero(ids == i)[0]], i))[:5]
 
 
+def test_lsh_gives_the_rows_of_spark_s_join_and_shuffles_no_candidate(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((300, 8))
+    rows[200:250] = rows[100:150]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    c = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)] + [(999, None)], "chunk_id long, vector array<float>")
+    q = c.filter("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    v = lambda df, i: df.filter("vector is not null").select(i, array_to_vector("vector").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=8, seed=1).fit(v(c, "chunk_id"))
+    pairs = model.approxSimilarityJoin(v(q, "query_id"), v(c, "chunk_id"), 1.2, "d")
+    want = search.top(pairs.select("datasetA.query_id", "datasetB.chunk_id", F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score")), 5)
+    got = search.lsh_topk(q, c, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    near = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 5)) for r in df.collect())
+    assert near(got) == near(want.select("query_id", "chunk_id", "score", "rank"))
+    assert search.lsh_topk(q, c.limit(0)).collect() == []
+
+
 def test_rrf_bound(spark):
     leg = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id long, chunk_id long, rank int")
     out = one(search.rrf([leg, leg], 5).orderBy("rank"))
