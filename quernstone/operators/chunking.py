@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,27 +28,26 @@ def fixed_chunks(docs: DataFrame, *, size: int = 1000, overlap: int = 100, keep:
     return rows.select(*keep, "chunk_no", F.substring(F.col("text"), F.col("chunk_no") * step + 1, F.lit(size)).alias("chunk"))
 
 
-def _merge(pieces: list[str], glue: str, size: int, overlap: int, length: Callable[[str], int]) -> list[str]:
-    """Greedy chunks of up to ``size`` from pieces; each new chunk keeps trailing pieces of up to ``overlap``."""
+def _merge(pieces: list[tuple[str, int]], glue: str, size: int, overlap: int, length: Callable[[str], int]) -> list[str]:
+    """Greedy chunks of up to ``size`` from pieces with their lengths; each new chunk keeps trailing pieces of up to ``overlap``."""
     out: list[str] = []
-    held: list[str] = []
+    held: deque[tuple[str, int]] = deque()
     total, gap = 0, length(glue)
-    for p in pieces:
-        n = length(p)
+    for p, n in pieces:
         if held and total + n + gap > size:
-            out.append(glue.join(held).strip())
+            out.append(glue.join(t for t, _ in held).strip())
             while held and (total > overlap or total + n + gap > size):
-                total -= length(held[0]) + (gap if len(held) > 1 else 0)
-                held = held[1:]
+                total -= held[0][1] + (gap if len(held) > 1 else 0)
+                held.popleft()
         total += n + (gap if held else 0)
-        held.append(p)
+        held.append((p, n))
     if held:
-        out.append(glue.join(held).strip())
+        out.append(glue.join(t for t, _ in held).strip())
     return [c for c in out if c]
 
 
 def split_recursive(text: str | None, size: int, overlap: int, length: Callable[[str], int] = len, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Split at the coarsest separator there is, keep it at the start of its piece, split long pieces further, merge short ones."""
+    """Split at the coarsest separator there is, keep it at the start of its piece, split long pieces further, merge short ones. A piece is measured once."""
     text = (text or "").strip()
     if not text:
         return []
@@ -55,10 +55,11 @@ def split_recursive(text: str | None, size: int, overlap: int, length: Callable[
     sep, finer = separators[at], separators[at + 1 :]
     parts = list(text) if sep == "" else [p for i, p in enumerate(text.split(sep)) for p in [(sep if i else "") + p] if p]
     out: list[str] = []
-    short: list[str] = []
+    short: list[tuple[str, int]] = []
     for p in parts:
-        if length(p) < size or not finer:
-            short.append(p)
+        n = length(p)
+        if n < size or not finer:
+            short.append((p, n))
             continue
         out += _merge(short, "", size, overlap, length)
         short = []
@@ -109,18 +110,51 @@ def word_length(text: str) -> int:
 
 
 LENGTHS: dict[str, Callable[[str], int]] = {"characters": len, "words": word_length}
-_TOKENIZERS: dict[str, object] = {}
+_TOKENIZERS: dict[str, tuple] = {}
+OTHER_SPACE, WORDS = re.compile(r"\s\s|[^\S \n]|\u180e"), re.compile(r"[ \n]?[^ \n]+|[ \n]")
+KEPT_LENGTH, KEPT = 48, 500_000  # characters of a text whose tokens are counted once in a worker, and how many of those are kept
+
+
+def _word_by_word(tokenizer) -> bool:
+    """Whether a text's tokens are those of its words, each with the white space character before it: byte-level, cut by the usual pattern first."""
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    cut, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+    plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not re.search(r"\s", a["content"]) for a in added)
+    whole = spec["normalizer"] is None and spec["truncation"] is None and spec["padding"] is None
+    return plain and whole and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
 
 
 def token_length(tokenizer_file: str) -> Callable[[str], int]:
-    """Length in a model's tokens, by its tokenizer file; loaded once in each worker."""
+    """Length in a model's tokens, by its tokenizer file; loaded once in each worker.
+
+    A worker keeps the lengths of words, which come again and again. Where the tokenizer cuts texts before each space and line feed anyway (and
+    these stand alone), a text's length is the sum over its words; any other text is encoded as a whole.
+    """
 
     def length(text: str) -> int:
         if tokenizer_file not in _TOKENIZERS:
             from tokenizers import Tokenizer
 
-            _TOKENIZERS[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
-        return len(_TOKENIZERS[tokenizer_file].encode(text, add_special_tokens=False).ids)
+            tokenizer = Tokenizer.from_file(tokenizer_file)
+            _TOKENIZERS[tokenizer_file] = tokenizer, {}, _word_by_word(tokenizer)
+        tokenizer, known, by_words = _TOKENIZERS[tokenizer_file]
+
+        def encoded(text: str) -> int:
+            n = len(tokenizer.encode(text, add_special_tokens=False))
+            if len(text) <= KEPT_LENGTH:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[text] = n
+            return n
+
+        n = known.get(text)
+        if n is not None:
+            return n
+        if not by_words or OTHER_SPACE.search(text):
+            return encoded(text)
+        return sum(encoded(w) if (n := known.get(w)) is None else n for w in WORDS.findall(text))
 
     return length
 

@@ -190,6 +190,33 @@ def test_evaluation_lists_no_query_with_every_row_of_its_label(spark, tmp_path,
     assert 0 < most <= 8000
 
 
+def test_token_lengths_are_the_library_s_and_words_are_encoded_once(monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, calls = tokenizers.Tokenizer.from_file(path), []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, text, **options):
+            calls.append(text)
+            return self.tokenizer.encode(text, **options)
+
+        def to_str(self):
+            return self.tokenizer.to_str()
+
+    monkeypatch.setitem(chunking._TOKENIZERS, path, (Counting(plain), {}, chunking._word_by_word(plain)))
+    length = chunking.token_length(path)
+    texts = ["", " ", "a", "a  b", "a \n b", "it's\tone\u00a0word", "caf\u00e9 \u4e2d\u6587 \U0001f600!", "x<|endoftext|> y", "one two\nthree " * 50, "a\u180e b", "tail ", "\nhead"]
+    assert [length(t) for t in texts] == [len(plain.encode(t, add_special_tokens=False)) for t in texts]
+    calls.clear()
+    pieces = chunking.split_recursive("alpha beta gamma delta\nepsilon zeta " * 400, 128, 16, length)
+    assert len(pieces) > 10 and [length(p) for p in pieces] and len(calls) < 20
+
+
 def test_rrf_bound(spark):
     leg = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id long, chunk_id long, rank int")
     out = one(search.rrf([leg, leg], 5).orderBy("rank"))
