@@ -2,6 +2,7 @@
 
 The core distance of a vector is the distance to its ``min_samples``-th other one; two vectors' mutual reachability is the largest of their distance and
 both core distances. Neighbour lists are exact: blocks of ``SCAN`` vectors are broadcast and met by one pass over all rows, each task keeping a few for each.
+A matrix product rules out most pairs with a margin for its rounding; the rest are measured by differences.
 
 A round takes for every component the least edge that leaves it. The neighbour lists prove most of them: what a list leaves out is farther than
 its last entry. Only the vectors of components that no list proves (and not those of the largest component, which the others reach)
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import search as S
 from quernstone.runtime import small_batches, staged
 
-SCAN = 8192
+SCAN = 32_768
 ONE_TASK = 1_000_000
 MOST = 50_000_000
 LEAST = 1e-12
@@ -44,6 +45,20 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def squares_apart(a: np.ndarray, squares_a: np.ndarray, b: np.ndarray, squares_b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one matrix product, and what they can be off by at most; they tell which pairs ``apart`` has to measure."""
+    return squares_a[:, None] + squares_b[None, :] - 2 * (a @ b.T), 1e-11 * (squares_a.max(initial=0.0) + squares_b.max(initial=0.0)) + 1e-300
+
+
+def apart(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the pairs (a[i], b[j]) by differences, so that both orders of a pair give the same bits."""
+    out, step = np.empty(len(i)), max(1, CELLS // max(1, a.shape[1]))
+    for lo in range(0, len(i), step):
+        d = a[i[lo : lo + step]] - b[j[lo : lo + step]]
+        out[lo : lo + step] = np.sqrt(np.einsum("ik,ik->i", d, d))
+    return out
+
+
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
@@ -71,14 +86,28 @@ def neighbour_lists(points: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = shared.value
-
-            def score(block: int, batch: pa.RecordBatch) -> np.ndarray:
-                mine = slice(block * S.QUERY_BLOCK, (block + 1) * S.QUERY_BLOCK)
-                out = -distances(asked[mine], _matrix(batch.column("v"), batch.num_rows))
-                out[ids[mine][:, None] == batch.column("chunk_id").to_numpy()[None, :]] = -np.inf
-                return out
-
-            yield from S._task_best(list(range(-(-len(ids) // S.QUERY_BLOCK))), batches, ids, k, score, -np.inf)
+            squares = (asked * asked).sum(axis=1)
+            best = [S._Best(min(S.QUERY_BLOCK, len(ids) - at), k) for at in range(0, len(ids), S.QUERY_BLOCK)]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                there = batch.column("chunk_id").to_numpy()
+                order = np.argsort(there, kind="stable")
+                there, x = there[order], _matrix(batch.column("v"), batch.num_rows)[order]
+                own = (x * x).sum(axis=1)
+                for n, held in enumerate(best):
+                    mine = slice(n * S.QUERY_BLOCK, n * S.QUERY_BLOCK + len(held.scores))
+                    near, slack = squares_apart(asked[mine], squares[mine], x, own)
+                    near[ids[mine][:, None] == there[None, :]] = np.inf
+                    most = held.scores[:, -1] ** 2
+                    if len(there) > k and not np.isfinite(most).all():
+                        most = np.minimum(most, np.partition(near, k - 1, axis=1)[:, k - 1] + slack)
+                    i, j = np.nonzero((near <= most[:, None] + slack) & np.isfinite(near))
+                    if len(i):
+                        out = np.full(near.shape, -np.inf)
+                        out[i, j] = -apart(asked[mine], x, i, j)
+                        held.add(out, there, -np.inf)
+            yield S._kept([(b.scores, b.ids) for b in best], ids)
 
         return points.select(F.col("id").alias("chunk_id"), "v").mapInArrow(run, S.SCORED)
 
@@ -105,20 +134,29 @@ def least_outside(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, core, ids, comp = shared.value
+            squares = (v * v).sum(axis=1)
             best = tuple(np.empty(0, dtype=t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64))
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = _matrix(batch.column("v"), batch.num_rows)
+                own = (x * x).sum(axis=1)
                 there = [batch.column(c).to_numpy() for c in ("core", "id", "comp")]
                 for at in range(0, len(ids), 1024):
                     some = slice(at, at + 1024)
-                    w = np.maximum(np.maximum(distances(v[some], x), core[some][:, None]), there[0][None, :])
-                    w[comp[some][:, None] == there[2][None, :]] = np.inf
-                    low = w.min(axis=1)
-                    i, j = np.nonzero((w == low[:, None]) & np.isfinite(low)[:, None])
+                    near, slack = squares_apart(v[some], squares[some], x, own)
+                    near = np.maximum(np.maximum(near, core[some][:, None] ** 2), there[0][None, :] ** 2)
+                    near[comp[some][:, None] == there[2][None, :]] = np.inf
+                    most = near.min(axis=1)
+                    if len(best[0]):  # what the component has already
+                        place = np.minimum(np.searchsorted(best[0], comp[some]), len(best[0]) - 1)
+                        most = np.minimum(most, np.where(best[0][place] == comp[some], best[1][place] ** 2, np.inf))
+                    i, j = np.nonzero((near <= most[:, None] + 2 * slack) & np.isfinite(near))
+                    if not len(i):
+                        continue
+                    w = np.maximum(np.maximum(apart(v[some], x, i, j), core[some][i]), there[0][j])
                     a, b = ids[some][i], there[1][j]
-                    new = (comp[some][i], w[i, j], np.minimum(a, b), np.maximum(a, b), there[2][j])
+                    new = (comp[some][i], w, np.minimum(a, b), np.maximum(a, b), there[2][j])
                     best = first_of(*map(np.concatenate, zip(best, new)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["comp", "w", "lo", "hi", "other"])
 

@@ -126,3 +126,20 @@ def test_copies_bad_vectors_and_small_tables(spark):
     assert {got[i] for i in range(8)} == {0} and {got[10 + i] for i in range(8)} == {1} and {got[i] for i in range(30, 35)} == {-1} and len(got) == len(rows)
     assert density.density_clusters(df.limit(0)).count() == 0
     assert {r.cluster for r in density.density_clusters(df.filter("vec_id in (1, 31)")).collect()} == {-1}
+
+
+def test_few_pairs_are_measured_and_the_lists_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.standard_normal((700, 16)) + 50, np.ones((40, 16)), rng.standard_normal((60, 16)) * 1e-6])
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").coalesce(1)
+    d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+    got = {(r.a, r["rank"]): (r.b, r.d) for r in density.neighbour_lists(points, 6).collect()}
+    for a in range(len(v)):
+        want = sorted((d[a, b], b) for b in range(len(v)) if b != a)[:6]
+        assert np.allclose([got[a, n + 1][1] for n in range(6)], [w for w, _ in want], rtol=1e-12, atol=0)
+        if len({w for w, _ in want}) == 6 or want[-1][0] == 0:
+            assert [got[a, n + 1][0] for n in range(6)] == [b for _, b in want]
+    near, slack = density.squares_apart(v, (v * v).sum(axis=1), v, (v * v).sum(axis=1))
+    assert np.abs(near - d * d).max() <= slack
+    i, j = np.nonzero(d < 1e-3)
+    assert (density.apart(v, v, i, j) == density.apart(v, v, j, i)).all()
