@@ -66,24 +66,27 @@ def _term_lists(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk_id long, partition string, file_id string, shard int, dl int, terms array<string>, tf array<int>")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by partition, shard, term and chunk to blocks; a run that a batch cuts goes on in a new block."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c).dictionary_encode().indices.to_numpy() if c != "shard" else batch.column(c).to_numpy() for c in ("partition", "shard", "term")]
-        new = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
-        length = np.diff(np.append(new, batch.num_rows))
-        pieces = -(-length // BLOCK)
-        starts = np.repeat(new, pieces) + BLOCK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        ends = pa.array(np.append(starts, batch.num_rows).astype(np.int32))
-        n = np.diff(np.append(starts, batch.num_rows)).astype(np.int32)
-        ids, tf, dl = (batch.column(c) for c in ("chunk_id", "tf", "dl"))
-        at = pa.array(starts)
-        arrays = [batch.column("partition").take(at), batch.column("shard").take(at), batch.column("term").take(at), pa.array(n)]
-        arrays += [pa.array(np.maximum.reduceat(tf.to_numpy(), starts)), pa.array(np.minimum.reduceat(dl.to_numpy(), starts))]
-        arrays += [pa.ListArray.from_arrays(ends, c) for c in (ids, tf, dl)]
-        yield pa.RecordBatch.from_arrays(arrays, ["partition", "shard", "term", "n", "max_tf", "min_dl", "ids", "tf", "dl"])
+def _cut(lists: pa.Table) -> pa.Table:
+    """A shard's term lists (partition, shard, chunk_id, dl, terms, tf) to its blocks, by term and chunk. Words are sorted once each, postings by number."""
+    terms, tf = (lists.column(c).combine_chunks() for c in ("terms", "tf"))
+    coded = terms.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+    by_word = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(by_word), dtype=np.int64)
+    place[by_word.to_numpy()] = np.arange(len(by_word))
+    term, ids = place[coded.indices.to_numpy()], lists.column("chunk_id").to_numpy()[row]
+    order = np.lexsort((ids, term))
+    term, ids, tf, dl = term[order], ids[order], tf.flatten().to_numpy()[order], lists.column("dl").to_numpy()[row][order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(len(term), 1), dtype=bool), term[1:] != term[:-1])))
+    pieces = -(-np.diff(np.append(new, len(term))) // BLOCK)
+    starts = np.repeat(new, pieces) + BLOCK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    ends = pa.array(np.append(starts, len(term)).astype(np.int32))
+    same = pa.array(np.zeros(len(starts), dtype=np.int64))
+    arrays = [lists.column(c).combine_chunks().take(same) for c in ("partition", "shard")]
+    arrays += [coded.dictionary.take(by_word).take(pa.array(term[starts])), pa.array(np.diff(np.append(starts, len(term))).astype(np.int32))]
+    arrays += [pa.array(f(x, starts) if len(starts) else x) for f, x in ((np.maximum.reduceat, tf), (np.minimum.reduceat, dl))]
+    arrays += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, tf, dl)]
+    return pa.table(arrays, ["partition", "shard", "term", "n", "max_tf", "min_dl", "ids", "tf", "dl"])
 
 
 def write(chunks: DataFrame, path: str) -> dict:
@@ -94,9 +97,8 @@ def write(chunks: DataFrame, path: str) -> dict:
     shard = F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int").alias("shard")
     lists = staged(_term_lists(rows.select("chunk_id", "partition", "file_id", shard, F.lower(F.coalesce("text", F.lit(""))).alias("text"))), "term-lists")
     lists.select("partition", "shard", "chunk_id", "file_id", "dl").write.parquet(f"{path}/docs")
-    flat = lists.select("partition", "shard", "chunk_id", "dl", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("partition", "shard", F.col("x.terms").alias("term"), "chunk_id", F.col("x.tf").alias("tf"), "dl")
-    order = ("partition", "shard", "term", "chunk_id")
-    flat.repartition("partition", "shard").sortWithinPartitions(*order).mapInArrow(_cut, BLOCKS).write.option("parquet.page.row.count.limit", PAGE).parquet(f"{path}/blocks")
+    shards = lists.select("partition", "shard", "chunk_id", "dl", "terms", "tf").groupBy("partition", "shard").applyInArrow(_cut, BLOCKS)
+    shards.write.option("parquet.page.row.count.limit", PAGE).parquet(f"{path}/blocks")
     stats = chunks.sparkSession.read.schema(DOCS).parquet(f"{path}/docs").groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length"))
     return {"stats": {r.partition: [r.n, r.length or 0] for r in stats.toLocalIterator()}}
 

@@ -360,3 +360,18 @@ def test_only_the_subpackage_itself_may_be_absent(gone, fails):
     if fails and not (root / "quernstone/llm").exists():
         pytest.skip("the subpackage is absent")
     assert (subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode != 0) == fails
+
+
+def test_a_shard_s_blocks_are_cut_from_its_term_lists():
+    import pyarrow as pa
+
+    from quernstone.operators import postings
+
+    docs = [(900 - i, ["z", "é"] + (["a"] if i % 2 else []), i % 5 + 1) for i in range(300)] + [(5000, [], 0)]
+    lists = pa.table({"partition": pa.array(["p"] * 301), "shard": pa.array([3] * 301, pa.int32()), "chunk_id": pa.array([d[0] for d in docs]), "dl": pa.array([d[2] for d in docs], pa.int32()),
+                      "terms": pa.array([d[1] for d in docs], pa.list_(pa.string())), "tf": pa.array([[d[0] % 3 + 1] * len(d[1]) for d in docs], pa.list_(pa.int32()))})
+    got = postings._cut(lists).to_pylist()
+    assert [(b["term"], b["n"]) for b in got] == [("a", 128), ("a", 22), ("z", 128), ("z", 128), ("z", 44), ("é", 128), ("é", 128), ("é", 44)]
+    for b in got:
+        assert (b["partition"], b["shard"], b["max_tf"], b["min_dl"]) == ("p", 3, max(b["tf"]), min(b["dl"])) and b["ids"] == sorted(b["ids"]) and b["tf"] == [i % 3 + 1 for i in b["ids"]]
+    assert postings._cut(lists.slice(300)).num_rows == 0
