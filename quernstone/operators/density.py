@@ -2,7 +2,9 @@
 
 The core distance of a vector is the distance to its ``min_samples``-th other one; two vectors' mutual reachability is the largest of their distance and
 both core distances. Neighbour lists are exact: blocks of ``SCAN`` vectors are broadcast and met by one pass over all rows, each task keeping a few for each.
-A matrix product rules out most pairs with a margin for its rounding; the rest are measured by differences.
+A matrix product rules out most pairs with a margin for its rounding; the rest are measured by differences. Vectors of at most ``NARROW`` dimensions are not
+scanned but cut into cells (``cells.py``): what a row has found bounds which other cells it is sent to, so that work grows with the rows; lists and edges are the same.
+Where copies crowd a cell beyond ``CROWDED`` rows, and in more dimensions, where boxes rule out little, scans remain.
 
 A round takes for every component the least edge that leaves it. The neighbour lists prove most of them: what a list leaves out is farther than
 its last entry. Only the vectors of components that no list proves (and not those of the largest component, which the others reach)
@@ -21,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators import cells as C
 from quernstone.operators import search as S
 from quernstone.runtime import small_batches, staged
 
@@ -33,6 +36,10 @@ MOST = 50_000_000
 LEAST = 1e-12
 NEIGHBOURS = 15
 CELLS = 2_000_000  # entries of a block of differences
+LEAF, CROWDED = 1024, 32_768  # rows of a cell, and more than copies may make of it
+NARROW = 8  # dimensions
+EDGE = "comp long, w double, lo long, hi long, other long"
+NONE = tuple(np.empty(0, dtype=t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,18 +122,41 @@ def neighbour_lists(points: DataFrame, k: int) -> DataFrame:
     return S.top(found, k).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), (-F.col("score")).alias("d"), "rank")
 
 
+def _first_of(comp, w, lo, hi, other) -> tuple:
+    order = np.lexsort((hi, lo, w, comp))
+    head = order[np.concatenate(([True], comp[order][1:] != comp[order][:-1]))] if len(order) else order
+    return tuple(x[head] for x in (comp, w, lo, hi, other))
+
+
+def lesser(best: tuple, asked: tuple, there: tuple) -> tuple:
+    """``best`` (comp, w, lo, hi, other) with the least edges from ``asked`` to ``there``, both (v, squares, core, id, comp)."""
+    v, squares, core, ids, comp = asked
+    x, own, core_there, ids_there, comp_there = there
+    for at in range(0, len(ids), 1024):
+        some = slice(at, at + 1024)
+        near, slack = squares_apart(v[some], squares[some], x, own)
+        near = np.maximum(np.maximum(near, core[some][:, None] ** 2), core_there[None, :] ** 2)
+        near[comp[some][:, None] == comp_there[None, :]] = np.inf
+        most = near.min(axis=1)
+        if len(best[0]):  # what the component has already
+            place = np.minimum(np.searchsorted(best[0], comp[some]), len(best[0]) - 1)
+            most = np.minimum(most, np.where(best[0][place] == comp[some], best[1][place] ** 2, np.inf))
+        i, j = np.nonzero((near <= most[:, None] + 2 * slack) & np.isfinite(near))
+        if not len(i):
+            continue
+        w = np.maximum(np.maximum(apart(v[some], x, i, j), core[some][i]), core_there[j])
+        a, b = ids[some][i], ids_there[j]
+        new = (comp[some][i], w, np.minimum(a, b), np.maximum(a, b), comp_there[j])
+        best = _first_of(*map(np.concatenate, zip(best, new)))
+    return best
+
+
 def least_outside(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """(comp, w, lo, hi, other): for each component of ``asked`` the least edge from one of those vectors to a row of another component.
 
     Both are (id, v, core, comp).
     """
     spark = rows.sparkSession
-    schema = "comp long, w double, lo long, hi long, other long"
-
-    def first_of(comp, w, lo, hi, other) -> tuple:
-        order = np.lexsort((hi, lo, w, comp))
-        head = order[np.concatenate(([True], comp[order][1:] != comp[order][:-1]))] if len(order) else order
-        return tuple(x[head] for x in (comp, w, lo, hi, other))
 
     def one(held: list) -> DataFrame:
         made = (np.array([r.v for r in held], dtype=np.float64), *(np.array([r[c] for r in held], dtype=t) for c, t in (("core", np.float64), ("id", np.int64), ("comp", np.int64))))
@@ -135,40 +165,133 @@ def least_outside(rows: DataFrame, asked: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, core, ids, comp = shared.value
             squares = (v * v).sum(axis=1)
-            best = tuple(np.empty(0, dtype=t) for t in (np.int64, np.float64, np.int64, np.int64, np.int64))
+            best = NONE
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = _matrix(batch.column("v"), batch.num_rows)
-                own = (x * x).sum(axis=1)
-                there = [batch.column(c).to_numpy() for c in ("core", "id", "comp")]
-                for at in range(0, len(ids), 1024):
-                    some = slice(at, at + 1024)
-                    near, slack = squares_apart(v[some], squares[some], x, own)
-                    near = np.maximum(np.maximum(near, core[some][:, None] ** 2), there[0][None, :] ** 2)
-                    near[comp[some][:, None] == there[2][None, :]] = np.inf
-                    most = near.min(axis=1)
-                    if len(best[0]):  # what the component has already
-                        place = np.minimum(np.searchsorted(best[0], comp[some]), len(best[0]) - 1)
-                        most = np.minimum(most, np.where(best[0][place] == comp[some], best[1][place] ** 2, np.inf))
-                    i, j = np.nonzero((near <= most[:, None] + 2 * slack) & np.isfinite(near))
-                    if not len(i):
-                        continue
-                    w = np.maximum(np.maximum(apart(v[some], x, i, j), core[some][i]), there[0][j])
-                    a, b = ids[some][i], there[1][j]
-                    new = (comp[some][i], w, np.minimum(a, b), np.maximum(a, b), there[2][j])
-                    best = first_of(*map(np.concatenate, zip(best, new)))
+                best = lesser(best, (v, squares, core, ids, comp), (x, (x * x).sum(axis=1), *(batch.column(c).to_numpy() for c in ("core", "id", "comp"))))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["comp", "w", "lo", "hi", "other"])
 
-        return rows.select("id", "v", "core", "comp").mapInArrow(run, schema)
+        return rows.select("id", "v", "core", "comp").mapInArrow(run, EDGE)
 
     parts = [one(held) for held in _held(asked, ("id", "v", "core", "comp"))]
-    out = spark.createDataFrame([], schema)
+    out = spark.createDataFrame([], EDGE)
     for p in parts:
         out = out.unionAll(p)
     return _least(out)
 
 
+def _sorted(group: pa.Table, *columns: str) -> list[np.ndarray]:
+    """ids, vectors, their squares and ``columns`` of a group, by id."""
+    ids = group.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    v = C.matrix(group.column("v").combine_chunks(), group.num_rows)[order]
+    return [ids[order], v, (v * v).sum(axis=1), *(group.column(c).to_numpy()[order] for c in columns)]
+
+
+def _some_nearest(asked: tuple, there: tuple, k: int) -> Iterator[tuple]:
+    """(first row, i, j, d): the ``k`` nearest of ``there`` within the reach of each of ``asked``, both (ids, v, squares), asked with its reach, by distance and id."""
+    ids, v, squares, reach = asked
+    others, x, own = there
+    for at in range(0, len(ids), 1024):
+        some = slice(at, at + 1024)
+        near, slack = squares_apart(v[some], squares[some], x, own)
+        near[ids[some][:, None] == others[None, :]] = np.inf
+        most = reach[some] ** 2
+        if len(others) > k:
+            most = np.minimum(most, np.partition(near, k - 1, axis=1)[:, k - 1] + slack)
+        i, j = np.nonzero((near <= most[:, None] + slack) & np.isfinite(near))
+        d = apart(v[some], x, i, j)
+        order = np.lexsort((j, d, i))
+        order = order[(d <= reach[some][i])[order]]
+        place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+        order = order[place < k]
+        yield at, i[order], j[order], d[order]
+
+
+def lists_by_cells(celled: DataFrame, boxes: C.Boxes, k: int) -> DataFrame:
+    """What ``neighbour_lists`` gives, for (id, v, cell): the k-th nearest in a row's own cell bounds which other cells it has to see."""
+
+    def inside(group: pa.Table) -> pa.Table:
+        ids, v, squares = _sorted(group)
+        reach, lists, far = np.full(len(ids), np.inf), [], np.full(len(ids), np.inf)
+        for at, i, j, d in _some_nearest((ids, v, squares, far), (ids, v, squares), k):
+            full = np.bincount(i, minlength=min(1024, len(ids) - at)) == k
+            reach[at : at + len(full)][full] = d[np.searchsorted(i, np.flatnonzero(full), "right") - 1]
+            lists.append((at + i, ids[j], d))
+        i, b, d = (np.concatenate(x) for x in zip(*lists))
+        ends = pa.array(np.searchsorted(i, np.arange(len(ids) + 1)).astype(np.int32))
+        cell = np.full(len(ids), group.column("cell")[0].as_py(), dtype=np.int32)
+        columns = [pa.array(ids), pa.array(list(v)), pa.array(cell), pa.array(reach), pa.ListArray.from_arrays(ends, pa.array(b)), pa.ListArray.from_arrays(ends, pa.array(d))]
+        return pa.table(columns, names=["id", "v", "cell", "reach", "b", "d"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, cell = C.within(boxes, C.matrix(batch.column("v"), batch.num_rows), batch.column("reach").to_numpy())
+                elsewhere = cell != batch.column("cell").to_numpy()[row]
+                row = pa.array(row[elsewhere])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("v").take(row), batch.column("reach").take(row), pa.array(cell[elsewhere].astype(np.int32))], ["id", "v", "reach", "cell"])
+
+    def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
+        out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        if asked.num_rows and there.num_rows:
+            ids, v, squares, reach = _sorted(asked, "reach")
+            others = _sorted(there)
+            out += [(ids[at + i], others[0][j], d) for at, i, j, d in _some_nearest((ids, v, squares, reach), tuple(others), k)]
+        return pa.table(dict(zip("abd", (pa.array(np.concatenate(x)) for x in zip(*out)))))
+
+    own = staged(celled.groupBy("cell").applyInArrow(inside, "id long, v array<double>, cell int, reach double, b array<long>, d array<double>"), "own-cells")
+    asked = own.select("id", "v", "cell", "reach").mapInArrow(walk, "id long, v array<double>, reach double, cell int")
+    met = asked.groupBy("cell").cogroup(celled.groupBy("cell")).applyInArrow(meet, "a long, b long, d double")
+    listed = own.select(F.col("id").alias("a"), F.explode(F.arrays_zip("b", "d")).alias("x")).select("a", "x.b", "x.d")
+    order = Window.partitionBy("a").orderBy("d", "b")
+    return listed.unionAll(met).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def outside_by_cells(rows: DataFrame, asked: DataFrame, cells: int, width: int) -> DataFrame:
+    """What ``least_outside`` gives, for (id, v, core, comp, cell), ``asked`` with what is ``listed`` for its component: an edge that is known bounds which cells a row has to see."""
+    one = F.struct("comp", "id", "v", "core")
+    found = rows.groupBy("cell").agg(*C.bounds(width), F.min("core").alias("core"), F.min(one).alias("first"), F.max(one).alias("last")).collect()
+    boxes = C.boxes_of([(r.cell, r.low, r.high, r.core, r.first.comp, r.last.comp) for r in found], cells, width)
+    ends = [x for r in found for x in (r.first, r.last)]
+    comp_there, v_there, core_there = np.array([x.comp for x in ends]), np.array([x.v for x in ends]).reshape(-1, width), np.array([x.core for x in ends])
+
+    def some_edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = distances(C.matrix(batch.column("v"), batch.num_rows), v_there)
+                comp = batch.column("comp").to_numpy()
+                d = np.maximum(np.maximum(d, batch.column("core").to_numpy()[:, None]), core_there[None, :])
+                d[comp[:, None] == comp_there[None, :]] = np.inf
+                yield pa.RecordBatch.from_arrays([batch.column("comp"), pa.array(d.min(axis=1))], ["comp", "most"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                most, core = batch.column("most").to_numpy(), batch.column("core").to_numpy()
+                reach = np.where(core <= most * C.NEAR_ONE, most, -1.0)
+                near = np.flatnonzero(reach >= 0)
+                row, cell = C.within(boxes, C.matrix(batch.column("v"), batch.num_rows)[near], reach[near], batch.column("comp").to_numpy()[near])
+                row = pa.array(near[row])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("id", "v", "core", "comp")), pa.array(cell.astype(np.int32))], ["id", "v", "core", "comp", "cell"])
+
+    def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
+        best = NONE
+        if asked.num_rows and there.num_rows:
+            (ids, v, squares, core, comp), (others, x, own, core_, comp_) = (_sorted(t, "core", "comp") for t in (asked, there))
+            best = lesser(best, (v, squares, core, ids, comp), (x, own, core_, others, comp_))
+        return pa.table([pa.array(c) for c in best], names=["comp", "w", "lo", "hi", "other"])
+
+    # a component without any listed edge takes one from a row of each of its cells to the first and last component of every cell
+    lone = asked.filter("listed is null").groupBy("cell", "comp").agg(F.min(F.struct("core", "id", "v")).alias("x")).select("comp", "x.v", "x.core")
+    some = lone.mapInArrow(some_edge, "comp long, most double").groupBy("comp").agg(F.min("most").alias("most"))
+    known = asked.join(some, "comp", "left").select("id", "v", "core", "comp", F.coalesce("listed", "most").alias("most"))
+    visits = known.mapInArrow(walk, "id long, v array<double>, core double, comp long, cell int")
+    return _least(visits.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(meet, EDGE))
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*")
 
@@ -206,11 +329,24 @@ def spanning_tree(points: DataFrame, min_samples: int) -> DataFrame:
     """(w, lo, hi): the minimum spanning tree of ``points`` (id, v) under mutual reachability."""
     spark = points.sparkSession
     k = max(min_samples, NEIGHBOURS)
-    lists = staged(neighbour_lists(points, k), "neighbours")
+    width = len((points.select("v").head() or [[]])[0])
+    cells, narrow = 0, 0 < width <= NARROW
+    if narrow:
+        small_batches(spark, 4096)
+        celled, cells = C.cut_up(points, points.count(), LEAF)
+        celled = staged(celled, "cells")
+        found = celled.groupBy("cell").agg(*C.bounds(width), F.count(F.lit(1)).alias("n")).collect()
+        narrow = max(r.n for r in found) <= CROWDED
+    if narrow:
+        points = celled
+        boxes = C.boxes_of([(r.cell, r.low, r.high, 0.0, 0, 0) for r in found], cells, width)
+        lists = staged(lists_by_cells(points, boxes, k), "neighbours")
+    else:
+        lists = staged(neighbour_lists(points, k), "neighbours")
     core = lists.filter(F.col("rank") <= min_samples).groupBy("a").agg(F.max("d").alias("core"))
     reach = lists.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("reach"))
     rows = points.join(core.withColumnRenamed("a", "id"), "id").join(reach.withColumnRenamed("a", "id"), "id")
-    rows = staged(rows.select("id", "v", "core", "reach"), "cores")
+    rows = staged(rows.select("id", "v", "core", "reach", *["cell"] * narrow), "cores")
     weight = F.greatest("d", "core_a", "core_b")
     named = lambda c: rows.select(F.col("id").alias(c), F.col("core").alias(f"core_{c}"))
     edges = lists.join(named("a"), "a").join(named("b"), "b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), weight.alias("w")).distinct()
@@ -233,7 +369,7 @@ def spanning_tree(points: DataFrame, min_samples: int) -> DataFrame:
         proven = bound.filter(F.col("w") < F.col("reach")).select("comp", "w", "lo", "hi", "other")
         unproven = bound.filter(F.coalesce(F.col("w") >= F.col("reach"), F.lit(True)) & (F.col("comp") != largest[0].comp)).select("comp", F.col("w").alias("listed"))
         asked = known.join(unproven, "comp").filter(F.coalesce(F.col("reach") <= F.col("listed"), F.lit(True)))
-        found = least_outside(known, asked.select("id", "v", "core", "comp"))
+        found = outside_by_cells(known, asked, cells, width) if narrow else least_outside(known, asked.select("id", "v", "core", "comp"))
         chosen = staged(_least(proven.unionByName(found).unionByName(bound.join(unproven.select("comp"), "comp", "left_semi").filter("w is not null").select("comp", "w", "lo", "hi", "other"))), "chosen")
         new = chosen.select("w", "lo", "hi").distinct()
         tree = staged(new if tree is None else tree.unionAll(new), "tree")
@@ -310,12 +446,10 @@ def condensed_labels(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, min_size: in
         elif chosen[c]:
             label[c] = c
     labels = np.where(fallen >= 0, label[fallen], -1)
-    names = np.unique(labels[labels >= 0])
-    first = sorted((np.flatnonzero(labels == c)[0], c) for c in names)
-    out = np.full(n, -1)
-    for number, (_, c) in enumerate(first):
-        out[labels == c] = number
-    return ids, out
+    names, first = np.unique(labels[labels >= 0], return_index=True)
+    number = np.full(m, -1)
+    number[names[np.argsort(first)]] = np.arange(len(names))
+    return ids, np.where(labels >= 0, number[labels], -1)
 
 
 def density_clusters(rows: DataFrame, *, min_cluster_size: int = 5, min_samples: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -2,7 +2,8 @@
 
 The graph comes from neighbour descent: rows stand next to each other in the sort orders of a few random projections, which gives every row a first
 list; in each round a row's neighbours, and a hashed choice of the rows that have it as a neighbour, are introduced to each other, and every
-list keeps its nearest. A group is at most ``2 k + 1`` vectors, so rounds are linear in the rows and no list of pairs is made.
+list keeps its nearest. A group is at most ``2 k + 1`` vectors, so rounds are linear in the rows and no list of pairs is made. Groups whose centers lie
+together (a cell of ``cells.py``) are looked at together: a vector goes there once, a pair is measured once, and only what betters a list comes back.
 
 Edges get fuzzy weights: each row's scale is such that its neighbours' memberships add up to log2(k), and both directions are united. The layout starts
 from principal components. Rows are dealt by their first coordinate to blocks of ``BLOCK``; in each round every block moves its own rows for a few epochs
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.operators.density import distances
+from quernstone.operators import cells as C
+from quernstone.operators.density import apart
 from quernstone.operators.numbering import numbered
 from quernstone.runtime import small_batches, staged
 
 BLOCK, SAMPLE, NEGATIVES = 4096, 4096, 5
 ORDERS, ROUNDS, SETTLED = 4, 6, 0.002
+GROUP, TOGETHER = 2048, 256  # centers of a block, and of a product
 #: The curve 1 / (1 + A d^2B) that fits a least distance of 0.1 at a spread of 1.
 CURVE_A, CURVE_B = 1.577, 0.895
 PAIR = "a long, b long, d double"
@@ -38,8 +41,8 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each a, each b once, ties to the smaller id."""
-    once = pairs.groupBy("a", "b").agg(F.min("d").alias("d"))
+    """The k nearest of each a, each b once, ties to the smaller id; ``new`` is 0 if any of a pair's rows says so."""
+    once = pairs.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     return once.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("n") <= k).drop("n")
 
 
@@ -81,34 +84,84 @@ def first_lists(points: DataFrame, k: int, seed: int) -> DataFrame:
     for turn in range(ORDERS):
         one = points.mapInArrow(projected(turn), "id long, v array<double>, along double").repartitionByRange("along", "id").sortWithinPartitions("along", "id").mapInArrow(near, PAIR)
         pairs = one if pairs is None else pairs.unionAll(one)
-    return staged(_nearest(pairs, k), "lists")
+    return staged(_nearest(pairs.withColumn("new", F.lit(1)), k), "lists")
+
+
+def introduced(ids: np.ndarray, v: np.ndarray, reach: np.ndarray, listed: tuple, center: np.ndarray, member: np.ndarray, k: int) -> tuple:
+    """(a, b, d): for each row of ``ids`` the k nearest of those that stand with it at some center, within its reach and not listed as near as that.
+
+    ``listed`` is (row, id, distance); ``center`` and ``member`` are ids, a pair may come twice.
+    """
+    n, squares = len(ids), (v * v).sum(axis=1)
+    slack = 2e-11 * squares.max(initial=0.0) + 1e-300
+    _, center = np.unique(center, return_inverse=True)
+    pairs = np.unique(center * n + np.searchsorted(ids, member))
+    center, member = pairs // n, pairs % n
+    starts = np.searchsorted(center, np.arange(center[-1] + 2 if len(center) else 1))
+    limit, met = reach * reach + slack, [np.empty(0, dtype=np.int64)]
+    for at in range(0, len(starts) - 1, TOGETHER):
+        lo = starts[at : at + TOGETHER + 1]
+        size = np.diff(lo)
+        column = np.arange(size.max())
+        there = column[None, :] < size[:, None]
+        at_ = member[np.minimum(lo[:-1, None] + column[None, :], len(member) - 1)]
+        x = v[at_]
+        near = squares[at_][:, :, None] + squares[at_][:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1))
+        near = (near <= np.maximum(limit[at_][:, :, None], limit[at_][:, None, :])) & there[:, :, None] & there[:, None, :] & (column[:, None] < column[None, :])
+        g, i, j = np.nonzero(near)
+        met.append(np.unique(at_[g, i] * n + at_[g, j]))
+    met = np.unique(np.concatenate(met))
+    i, j = met // n, met % n
+    d = apart(v, v, i, j)
+    a, b, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+    row, other, listed_d = listed
+    place = np.minimum(np.searchsorted(ids, other), n - 1)
+    here = ids[place] == other
+    had, had_d = row[here] * n + place[here], listed_d[here]
+    order = np.argsort(had)
+    had, had_d = had[order], had_d[order]
+    keep = d <= reach[a]
+    if len(had):
+        code = a * n + b
+        at_ = np.minimum(np.searchsorted(had, code), len(had) - 1)
+        keep &= (had[at_] != code) | (d < had_d[at_])
+    a, b, d = a[keep], b[keep], d[keep]
+    order = np.lexsort((b, d, a))
+    order = order[np.arange(len(order)) - np.searchsorted(a[order], a[order]) < k]
+    return ids[a[order]], ids[b[order]], d[order]
 
 
 def neighbour_graph(points: DataFrame, k: int = 15, *, seed: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """(a, b, d): about the k nearest neighbours of each of ``points`` (id, v)."""
     lists = first_lists(points, k, seed)
     total = lists.count()
-
-    def introduce(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("id").to_numpy(), kind="stable")
-        ids, reach = group.column("id").to_numpy()[order], group.column("reach").to_numpy()[order]
-        v = np.array(group.column("v").to_pylist(), dtype=np.float64)[order]
-        d = distances(v, v)
-        i, j = np.nonzero((d <= reach[:, None]) & (ids[:, None] != ids[None, :]))
-        return pa.table({"a": pa.array(ids[i]), "b": pa.array(ids[j]), "d": pa.array(d[i, j])})
+    # centers that lie together are looked at together, so that a vector that many of them know goes there once
+    celled, _ = C.cut_up(points, points.count(), GROUP)
+    crowd = F.broadcast(celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * GROUP)).alias("parts")))
+    homes = staged(celled.join(crowd, "cell").select(F.col("id").alias("center"), F.struct("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("home")), "homes")
+
+    def introduce(known: pa.Table, links: pa.Table) -> pa.Table:
+        order = pa.array(np.argsort(known.column("who").to_numpy(), kind="stable"))
+        known = known.take(order).combine_chunks()
+        lists_ = known.column("listed").combine_chunks()
+        row = np.repeat(np.arange(known.num_rows), np.diff(lists_.offsets.to_numpy().astype(np.int64)))
+        b, d = (lists_.flatten().field(c).to_numpy() for c in ("b", "d"))
+        v = C.matrix(known.column("v").combine_chunks(), known.num_rows)
+        out = introduced(known.column("who").to_numpy(), v, known.column("reach").to_numpy(), (row, b, d), links.column("center").to_numpy(), links.column("id").to_numpy(), k)
+        return pa.table(dict(zip("abd", map(pa.array, out))))
 
     for turn in range(rounds):
-        reach = lists.groupBy("a").agg(F.max("d").alias("reach")).withColumnRenamed("a", "id")
+        known = points.join(lists.groupBy("a").agg(F.max("d").alias("reach"), F.collect_list(F.struct("b", "d")).alias("listed")).withColumnRenamed("a", "id"), "id").withColumnRenamed("id", "who")
         chance = F.xxhash64("a", "b", F.lit(seed), F.lit(turn))
         back = lists.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy(chance, "a"))).filter(F.col("n") <= k).select(F.col("b").alias("center"), F.col("a").alias("id"))
-        members = lists.select(F.col("a").alias("center"), F.col("b").alias("id")).unionAll(back).unionAll(points.select(F.col("id").alias("center"), "id")).distinct()
-        met = members.join(points.join(reach, "id"), "id").groupBy("center").applyInArrow(introduce, PAIR)
-        after = staged(_nearest(lists.unionAll(met), k), "lists")
-        new = after.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
-        lists = after
-        if new <= SETTLED * total:
+        members = lists.select(F.col("a").alias("center"), F.col("b").alias("id")).unionAll(back).unionAll(points.select(F.col("id").alias("center"), "id"))
+        links = staged(members.join(homes, "center").select("home", "center", "id"), "links")
+        there = links.select(F.col("home").alias("at"), F.col("id").alias("who")).distinct().join(known, "who")
+        met = there.groupBy("at").cogroup(links.groupBy("home")).applyInArrow(introduce, PAIR)
+        lists = staged(_nearest(lists.withColumn("new", F.lit(0)).unionByName(met.withColumn("new", F.lit(1))), k), "lists")
+        if lists.agg(F.sum("new")).head()[0] <= SETTLED * total:
             break
-    return lists
+    return lists.select("a", "b", "d")
 
 
 def fuzzy_edges(lists: DataFrame, k: int) -> DataFrame:
@@ -166,11 +219,11 @@ def _worker(shared, turn: int, dims: int, epochs: int, seed: int, fall: float):
 
     def work(key: tuple, mine: pa.Table, links: pa.Table) -> pa.Table:
         order = np.argsort(mine.column("id").to_numpy(), kind="stable")
-        ids, y = mine.column("id").to_numpy()[order], np.array(mine.column("own").to_pylist(), dtype=np.float64).reshape(-1, dims)[order]
+        ids, y = mine.column("id").to_numpy()[order], C.matrix(mine.column("own").combine_chunks(), mine.num_rows)[order]
         a, b = links.column("a").to_numpy(), links.column("b").to_numpy()
         by = np.lexsort((b, a))
         a, b, w = a[by], b[by], links.column("w").to_numpy()[by]
-        there = np.array(links.column("y").to_pylist(), dtype=np.float64).reshape(-1, dims)[by]
+        there = C.matrix(links.column("y").combine_chunks(), links.num_rows)[by] if len(a) else np.empty((0, dims))
         at = np.minimum(np.searchsorted(ids, b), len(ids) - 1)
         at = np.where(ids[at] == b, at, -1)
         block = key[0].as_py()

@@ -1,10 +1,12 @@
 """Density clusters against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import density
+from quernstone.operators import cells, density
 
 DATA = "/root/testdata/sf0.001"
 
@@ -143,3 +145,58 @@ def test_few_pairs_are_measured_and_the_lists_are_exact(spark, monkeypatch):
     assert np.abs(near - d * d).max() <= slack
     i, j = np.nonzero(d < 1e-3)
     assert (density.apart(v, v, i, j) == density.apart(v, v, j, i)).all()
+
+
+def listed(df):
+    return sorted((r.a, r["rank"], r.b, r.d) for r in df.collect())
+
+
+def test_cells_give_what_scans_give_and_see_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(density, "LEAF", 32)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([blobs(1200, 5, d=3), np.repeat(rng.uniform(-9, 9, (6, 3)), 9, axis=0), rng.integers(0, 4, (80, 3)), rng.standard_normal((40, 3)) + 400])
+    points = spark.createDataFrame([(7 * i - 900, x.tolist()) for i, x in enumerate(v.astype(float))], "id long, v array<double>").repartition(3).cache()
+    celled, n = cells.cut_up(points, points.count(), 32)
+    celled = celled.cache()
+    found = celled.groupBy("cell").agg(*cells.bounds(3)).collect()
+    boxes = cells.boxes_of([(r.cell, r.low, r.high, 0.0, 0, 0) for r in found], n, 3)
+    assert n == 64 and len(found) > 48
+    by_cells = listed(density.lists_by_cells(celled, boxes, 6))
+    assert by_cells == listed(density.neighbour_lists(points, 6))
+    reach = {a: d for a, rank, _, d in by_cells if rank == 6}
+    asked = celled.orderBy("id").collect()
+    row, _ = cells.within(boxes, np.array([r.v for r in asked]), np.array([reach[r.id] for r in asked]))
+    assert len(row) / len(asked) < n / 4
+    # far components without a listed edge, and near ones with one
+    comp = F.when(F.col("v")[0] > 300, 5).when(F.col("id") % 3 == 0, F.col("id") - F.pmod("id", F.lit(60))).otherwise(-1).cast("long")
+    known = celled.withColumn("core", F.pmod(F.xxhash64("id"), F.lit(100)) / 80).withColumn("comp", comp).cache()
+    want = sorted(density.least_outside(known, known.filter("comp <> -1")).collect())
+    upper = spark.createDataFrame([(r.comp, r.w if r.comp % 2 else None) for r in want], "comp long, listed double")
+    got = density.outside_by_cells(known, known.join(upper, "comp"), n, 3)
+    assert sorted(got.collect()) == want and len(want) > 50
+
+
+def test_narrow_vectors_are_not_scanned(spark, monkeypatch):
+    """The tree of a few dimensions comes without a comparison of all rows, but where copies crowd a cell."""
+    v = blobs(400, 6, d=5)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").cache()
+    want = sorted(t[1:] for t in brute_tree(list(range(400)), v, 5))
+    monkeypatch.setattr(density, "LEAF", 40)
+    monkeypatch.setattr(density, "CROWDED", 30)
+    assert sorted(t[1:] for t in map(tuple, density.spanning_tree(points, 5).collect())) == want
+    monkeypatch.setattr(density, "CROWDED", 400)
+    for name in ("neighbour_lists", "least_outside"):
+        monkeypatch.setattr(density, name, None)
+    assert sorted(t[1:] for t in map(tuple, density.spanning_tree(points, 5).collect())) == want
+
+
+def test_labels_of_many_clusters_take_no_pass_a_cluster():
+    """60,000 clusters of 5 in a line: numbered by their smallest id, in the time of a sort."""
+    n = 60_000
+    ids = np.arange(5 * n).reshape(n, 5)[np.random.default_rng(7).permutation(n)]
+    near = (ids[:, :-1].ravel(), ids[:, 1:].ravel(), np.full(4 * n, 0.1))
+    far = (ids[:-1, 4], ids[1:, 0], 1.0 + np.arange(n - 1) / n)
+    start = time.process_time()
+    got, labels = density.condensed_labels(*(np.concatenate(x) for x in zip(near, far)), 5)
+    assert time.process_time() - start < 15
+    assert (got == np.arange(5 * n)).all() and (labels == np.arange(5 * n) // 5).all()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import layout
+from quernstone.operators import density, layout
 from tests.test_density import blobs
 
 
@@ -65,3 +65,19 @@ def test_odd_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)] + [(9, [])], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.position for r in layout.graph_layout(same, dims=3, rounds=2).collect()}
     assert got[9] is None and all(np.isfinite(got[i]).all() and len(got[i]) == 3 for i in range(5))
+
+
+def test_a_block_of_centers_gives_what_its_centers_give_one_by_one():
+    rng = np.random.default_rng(5)
+    n, k = 60, 4
+    v = np.concatenate([rng.standard_normal((50, 6)), np.ones((10, 6))])
+    ids = np.sort(rng.choice(10_000, n, replace=False)) - 5_000
+    d = density.distances(v, v)
+    lists = [rng.choice(np.delete(np.arange(n), a), k, replace=False) for a in range(n)]
+    reach = np.array([d[a, x].max() for a, x in enumerate(lists)])
+    center, member = np.repeat(np.arange(n), k + 1), np.concatenate([[*x, a] for a, x in enumerate(lists)])
+    met = {(a, b) for c in range(n) for a in member[center == c] for b in member[center == c] if a != b and d[a, b] <= reach[a] and b not in lists[a]}
+    want = {(ids[a], ids[b]) for a in range(n) for b in sorted((b for x, b in met if x == a), key=lambda b: (d[a, b], b))[:k]}
+    known = (np.repeat(np.arange(n), k), np.concatenate([ids[x] for x in lists]), np.concatenate([d[a, x] for a, x in enumerate(lists)]))
+    a, b, far = layout.introduced(ids, v, reach, known, np.concatenate([ids[center], ids[center[:9]]]), np.concatenate([ids[member], ids[member[:9]]]), k)
+    assert set(zip(a, b)) == want and (far == d[np.searchsorted(ids, a), np.searchsorted(ids, b)]).all()
